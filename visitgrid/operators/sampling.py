@@ -108,9 +108,9 @@ def smote(df: DataFrame, row_id: str, vec: str, label: str, minority, ratio=0.6,
     pos = (h.withColumn("__i", F.row_number().over(inner))
            .join(ranked.select("__h", (F.col("cum_n") - F.col("n")).alias("__b")), "__h")
            .select("q_id", (F.col("__i") + F.col("__b")).alias("__pos")))
-    copies = F.lit(base) + (F.col("__pos") <= extra).cast("int")
+    copies = F.lit(base).cast("long") + (F.col("__pos") <= extra).cast("long")
     todo = (pos.where(copies > 0)
-            .select("q_id", F.explode(F.sequence(F.lit(1), copies)).cast("long").alias("copy")))
+            .select("q_id", F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("copy")))
     tag = F.concat_ws("-", F.col("q_id"), F.col("copy"))
     todo = todo.select("q_id", "copy", (md5_int(tag) % k_eff + 1).alias("rn"),
                        md5_unit(F.concat(tag, F.lit("s"))).alias("step"))

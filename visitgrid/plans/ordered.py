@@ -101,19 +101,19 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs: dict[str, float],
 
     Ranks come from running counts over distinct values, so no task holds a whole key.
     """
-    cells = value_cells(df.where(F.col(value).isNotNull()), keys, value)
-    ranked = prefix_sums(cells, keys, value, ["n"], window_cells=window_cells)
-    lo_rank = F.col("cum_n") - F.col("n")
+    cells = value_cells(df.where(F.col(value).isNotNull()), keys, value, __cnt=F.lit(1))
+    ranked = prefix_sums(cells, keys, value, ["__cnt"], window_cells=window_cells)
+    lo_rank = F.col("cum___cnt") - F.col("__cnt")
     aggs = []
     for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("tot_n") - 1)
+        pos = F.lit(float(p)) * (F.col("tot___cnt") - 1)
         for side, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            hit = (lo_rank <= at) & (at < F.col("cum_n"))
+            hit = (lo_rank <= at) & (at < F.col("cum___cnt"))
             aggs.append(F.max(F.when(hit, F.col(value).cast("double"))).alias(f"__{side}_{name}"))
-    out = ranked.groupBy(*keys).agg(F.max("tot_n").alias("__n"), *aggs)
+    out = ranked.groupBy(*keys).agg(F.max("tot___cnt").alias("__tot"), *aggs)
     cols = []
     for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("__n") - 1)
+        pos = F.lit(float(p)) * (F.col("__tot") - 1)
         lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
         cols.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
     return out.select(*keys, *cols)
