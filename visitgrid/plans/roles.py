@@ -140,21 +140,21 @@ cl AS (
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """Binary labels with a noisy score (many ties): id, y, p, and a second score p2."""
     m = md5_int("o_orderkey") % 10000 / F.lit(10000.0)
-    m2 = md5_int(F.concat(F.col("o_orderkey"), F.lit("b"))) % 10000 / F.lit(10000.0)
+    m2 = md5_int(F.concat(F.col("o_orderkey"), F.lit("b"))) % 10000
     y = (F.col("o_orderstatus") == "F").cast("long")
     return table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("id"), y.alias("y"),
         F.round((m + 0.35 * y) / 1.35, 3).alias("p"),
-        F.round((m2 + 0.20 * y) / 1.20, 3).alias("p2"))
+        (F.floor((m2 + 2000 * y) / 12) / 1000.0).alias("p2"))
 
 
 MD5 = "CAST('0x'||substr(md5(CAST({} AS VARCHAR)),1,8) AS BIGINT)"
 SCORED_SQL = f"""
 sc AS (
-  SELECT id, y, round((m+0.35*y)/1.35,3) AS p, round((m2+0.20*y)/1.20,3) AS p2 FROM (
+  SELECT id, y, round((m+0.35*y)/1.35,3) AS p, ((m2+2000*y)//12)/1000.0::DOUBLE AS p2 FROM (
     SELECT o_orderkey AS id, CASE WHEN o_orderstatus='F' THEN 1 ELSE 0 END AS y,
       {MD5.format('o_orderkey')}%10000/10000.0::DOUBLE AS m,
-      {MD5.format("o_orderkey||'b'")}%10000/10000.0::DOUBLE AS m2 FROM orders))
+      {MD5.format("o_orderkey||'b'")}%10000 AS m2 FROM orders))
 """
 
 # The packages that return flags can form.
