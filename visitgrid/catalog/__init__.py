@@ -1,6 +1,7 @@
 """The query catalog: importing it registers every query and its SQL."""
 
 from visitgrid.catalog.registry import ORACLES, QUERIES
-from visitgrid.catalog import cleansing, evaluation, tables  # noqa: F401
+from visitgrid.catalog import (cleansing, evaluation, modelling, scoring, series,  # noqa: F401
+                               storage, tables) # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -353,9 +353,9 @@ def _(spark, sf):
     return df.select("type", "count", *[r6(c).alias(c) for c in ("mean", "std", "median")])
 
 
-def type_mapping(spark, sf):
+def type_mapping(visits):
     """Package -> coarse group table, from the packages that occur."""
-    v = cleaned(spark, sf).select(F.col("umr_art").alias("package")).distinct()
+    v = visits.select(F.col("umr_art").alias("package")).distinct()
     g = F.when(F.col("package").contains("R"), F.lit("with R")).when(
         F.col("package").contains("A"), F.lit("with A"))
     return v.select("package", g.alias("type_group")).where(F.col("type_group").isNotNull())
@@ -368,8 +368,9 @@ TYPE_GROUP_SQL = "CASE WHEN contains(umr_art,'R') THEN 'with R' WHEN contains(um
   quantile_cont(cost,0.5) AS median, round(avg(cost),4) AS mean, count(*) AS count
 FROM cl WHERE umr_status='Completed' AND {TYPE_GROUP_SQL} IS NOT NULL GROUP BY 1""")
 def _(spark, sf):
-    v = cleaned(spark, sf).where(F.col("umr_status") == C.COMPLETED)
-    df = A.type_stats(A.with_type_group(v, type_mapping(spark, sf)), "type_group", "cost")
+    v = cleaned(spark, sf)
+    done = v.where(F.col("umr_status") == C.COMPLETED)
+    df = A.type_stats(A.with_type_group(done, type_mapping(v)), "type_group", "cost")
     return df.select("type_group", "median", F.round("mean", 4).alias("mean"), "count")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from visitgrid import columns as C
 from visitgrid.functions.core import add_days, month_index, month_start, package_parts, ratio, ts
 from visitgrid.operators.features import lookup
-from visitgrid.plans.ordered import prefix_sums
+from visitgrid.plans.ordered import materialize, prefix_sums
 
 
 def select_unseen(df: DataFrame, as_of, label=C.LABEL, months=6) -> DataFrame:
@@ -139,6 +139,7 @@ def row_calibration(df: DataFrame, factors: DataFrame, type_col="type", p="p", r
     type comes from running counts over distinct probabilities, so a dominant type is not
     sorted in one task. Adds ``copy`` (0, or 1 for a duplicate).
     """
+    df = materialize(df)  # read several times below
     f = factors.select(F.col("type").alias("__t"), F.col("factor").alias("__f"))
     d = df.join(f, F.col(type_col) == F.col("__t"), "left").drop("__t")
     cells = (df.where(F.col(p).isNotNull()).groupBy(type_col, p).agg(F.count(F.lit(1)).alias("n")))
@@ -159,9 +160,11 @@ def row_calibration(df: DataFrame, factors: DataFrame, type_col="type", p="p", r
     plain = plain.withColumn("__in", F.coalesce(within, F.lit(True)))
     tied = _rank_ties(tied, type_col, row_id)
     both = plain.unionByName(tied)
-    copies = F.when(F.col("__drop"), F.when(F.col("__in"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-                    ).when(F.col("__dup") & F.col("__in"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    return both.select(*df.columns, F.explode(copies).cast("long").alias("copy"))
+    one, two = F.array(F.lit(0).cast("long")), F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))
+    keep = ~F.col("__drop") | F.col("__in")
+    copies = F.when(F.col("__dup") & F.col("__in"), two).when(F.coalesce(keep, F.lit(True)), one)
+    # explode drops rows without a copy list
+    return both.select(*df.columns, F.explode(copies).alias("copy"))
 
 
 def _rank_ties(tied: DataFrame, type_col: str, row_id: str) -> DataFrame:

@@ -418,3 +418,28 @@ def lag_regression_walkforward(lags: DataFrame, by, n_lags: int, y="y", month="m
     per = regression_metrics(scores, y, "p", ["model", "f"])
     return per.groupBy("model").agg(F.avg("mae").alias("mae"), F.avg("rmse").alias("rmse"),
                                     F.avg("r2").alias("r2"), F.count(F.lit(1)).alias("folds"))
+
+
+def best_duration_model(train: DataFrame, new: DataFrame, row_id: str, features, label, days: str,
+                        kinds=("ridge", "rf"), k=3, known_days=True):
+    """Durations of new rows by the better of the best single model and the stack.
+
+    Models learn log1p days. Train out-of-fold errors decide; the stack wins ties.
+    Returns (rows with ``days`` and ``chosen``, error table).
+    """
+    from visitgrid.operators.regression import from_log, regression_metrics
+    kinds = list(kinds)
+    oof, meta = stacking_oof(train, row_id, features, label, kinds, k, "reg")
+    stacked = predicted(meta, oof, "oof_stack")
+    rows = F.array(*[F.struct(F.lit(m).alias("model"), from_log(F.col(f"oof_{m}")).alias("p"))
+                     for m in [*kinds, "stack"]])
+    errors = regression_metrics(stacked.select(F.expm1(label).alias("y"), F.inline(rows)), "y", "p", ["model"])
+    errors = materialize(errors)
+    best = errors.orderBy("mae", F.when(F.col("model") == "stack", 0).otherwise(1), "model").first()["model"]
+    bases = {m: fit_regressor(train, features, label, m) for m in (kinds if best == "stack" else [best])}
+    if best == "stack":
+        out = stack_predict(bases, meta, new, "reg", "__lp")
+    else:
+        out = predicted(bases[best], new, "__lp")
+    keep = [c for c in new.columns if c != "days"]
+    return out.select(*keep, from_log(F.col("__lp")).alias("days"), F.lit(best).alias("chosen")), errors

@@ -8,6 +8,7 @@ key by global value ranges, so no task sees more than about one range of one key
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,20 +19,27 @@ WINDOW_CELLS = 2_000_000
 MAX_SPLITS = 4096
 
 
+_LOCAL: list[tempfile.TemporaryDirectory] = []
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a temporary one only where none is set."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current is None:
-        current = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-")
-        sc.setCheckpointDir(current)
-    return current
+    """The session's shared folder (spark.checkpoint.dir); a temporary one only where unset."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if path:
+        return path.rstrip("/")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.TemporaryDirectory(prefix="visitgrid-"))
+    return _LOCAL[0].name
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write an intermediate result once and cut its lineage (survives lost executors)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write an intermediate result once, as a table in the shared checkpoint folder.
+
+    Cuts the lineage, survives lost executors, and gives later joins its measured size.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def value_cells(df: DataFrame, keys, value, **sums) -> DataFrame:
