@@ -2,6 +2,6 @@
 
 from visitgrid.catalog.registry import ORACLES, QUERIES
 from visitgrid.catalog import (cleansing, evaluation, modelling, scoring, series,  # noqa: F401
-                               storage, tables) # noqa: F401
+                               storage, tables)
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -175,7 +175,7 @@ def _(spark, sf):
 def _(spark, sf):
     tr, te = parts(train_table(spark, sf))
     df = M.ice_sample(M.fit_classifier(tr, FEATURES, "y", "logreg"), te, "id", "p", rows=100, points=5)
-    return df.withColumns({"value": F.round("value", 4), "p": F.round("p", 3)})
+    return df.withColumns({"value": F.round("value", 4), "score": F.round("score", 3)})
 
 
 @query("learning_curve")

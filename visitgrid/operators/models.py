@@ -166,17 +166,17 @@ def feature_selection_retrain(train: DataFrame, test: DataFrame, features, label
     for kind in kinds:
         m = fit_classifier(train, features, label, kind)
         t = importance_table(m, features, kind, train)
-        s = positive_score(m, test).select(F.lit(kind).alias("model"), label, "p")
+        s = positive_score(m, test, "__p").select(F.lit(kind).alias("model"), label, "__p")
         tables = t if tables is None else tables.unionByName(t)
         before = s if before is None else before.unionByName(s)
     kept = [r["feature"] for r in consensus_importance(tables, top).collect()]
     after = None
     for kind in kinds:
         m = fit_classifier(train, kept, label, kind)
-        s = positive_score(m, test).select(F.lit(kind).alias("model"), label, "p")
+        s = positive_score(m, test, "__p").select(F.lit(kind).alias("model"), label, "__p")
         after = s if after is None else after.unionByName(s)
-    a = E.roc_auc(before, label, "p", ["model"]).withColumnRenamed("roc_auc", "auc_all")
-    b = E.roc_auc(after, label, "p", ["model"]).withColumnRenamed("roc_auc", "auc_selected")
+    a = E.roc_auc(before, label, "__p", ["model"]).withColumnRenamed("roc_auc", "auc_all")
+    b = E.roc_auc(after, label, "__p", ["model"]).withColumnRenamed("roc_auc", "auc_selected")
     return a.join(b, "model").withColumn("n_selected", F.lit(len(kept)))
 
 
@@ -188,10 +188,10 @@ def cross_validate(df: DataFrame, row_id: str, features, label, kinds=("logreg",
     for i in range(k):
         for kind in kinds:
             m = fit(folds.where(F.col("fold") != i), features, label, kind)
-            s = positive_score(m, folds.where(F.col("fold") == i)).select(
-                F.lit(kind).alias("model"), "fold", label, "p")
+            s = positive_score(m, folds.where(F.col("fold") == i), "__p").select(
+                F.lit(kind).alias("model"), "fold", label, "__p")
             scores = s if scores is None else scores.unionByName(s)
-    auc = E.roc_auc(scores, label, "p", ["model", "fold"])
+    auc = E.roc_auc(scores, label, "__p", ["model", "fold"])
     return auc.groupBy("model").agg(F.avg("roc_auc").alias("cv_auc_mean"),
                                     F.stddev_pop("roc_auc").alias("cv_auc_std"))
 
@@ -263,11 +263,11 @@ def permutation_importance(model: PipelineModel, test: DataFrame, row_id: str, f
                            top=20) -> DataFrame:
     """AUC loss when one feature is permuted, largest first."""
     perm = materialize(permuted_columns(test, row_id, features))
-    scores = positive_score(model, perm).select(F.lit("").alias("feature"), label, "p")
+    scores = positive_score(model, perm, "__p").select(F.lit("").alias("feature"), label, "__p")
     for f in features:
         moved = perm.withColumn(f, F.col(f"__perm_{f}"))
-        scores = scores.unionByName(positive_score(model, moved).select(F.lit(f).alias("feature"), label, "p"))
-    auc = materialize(E.roc_auc(scores, label, "p", ["feature"]))
+        scores = scores.unionByName(positive_score(model, moved, "__p").select(F.lit(f).alias("feature"), label, "__p"))
+    auc = materialize(E.roc_auc(scores, label, "__p", ["feature"]))
     base = auc.where(F.col("feature") == "").select("roc_auc").scalar()
     return (auc.where(F.col("feature") != "")
             .select("feature", (base - F.col("roc_auc")).alias("importance"))
@@ -283,8 +283,8 @@ def partial_dependence(model: PipelineModel, df: DataFrame, features, points=10)
         at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(v).alias("v"))
                                  for i, v in enumerate(grid)]))
         fixed = df.withColumn("__g", at).withColumn(f, F.col("__g.v"))
-        part = positive_score(model, fixed).groupBy(F.col("__g.i").alias("point"), F.col("__g.v").alias("value")).agg(
-            F.avg("p").alias("mean_p")).select(F.lit(f).alias("feature"), "point", "value", "mean_p")
+        part = positive_score(model, fixed, "__p").groupBy(F.col("__g.i").alias("point"), F.col("__g.v").alias("value")).agg(
+            F.avg("__p").alias("mean_p")).select(F.lit(f).alias("feature"), "point", "value", "mean_p")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -295,7 +295,7 @@ def ice_sample(model: PipelineModel, df: DataFrame, row_id: str, feature: str, r
     q = exact_quantiles(df, [], feature, {"lo": 0.01, "hi": 0.99}).first()
     grid = [q["lo"] + (q["hi"] - q["lo"]) * i / (points - 1) for i in range(points)]
     fixed = some.withColumn(feature, F.explode(F.array(*[F.lit(v) for v in grid])))
-    return positive_score(model, fixed).select(row_id, F.col(feature).alias("value"), "p")
+    return positive_score(model, fixed, "__p").select(row_id, F.col(feature).alias("value"), F.col("__p").alias("score"))
 
 
 # Train shares of the learning curve.
@@ -312,10 +312,10 @@ def learning_curve(df: DataFrame, row_id: str, features, label, kind="logreg", k
             tr = folds.where((F.col("fold") != i) & (F.col("__u") < int(share * 10000)))
             m = fit_classifier(tr, features, label, kind)
             for name, part in (("train", tr), ("valid", folds.where(F.col("fold") == i))):
-                s = positive_score(m, part).select(F.lit(share).alias("share"), F.lit(i).alias("f"),
-                                                   F.lit(name).alias("part"), label, "p")
+                s = positive_score(m, part, "__p").select(F.lit(share).alias("share"), F.lit(i).alias("f"),
+                                                   F.lit(name).alias("part"), label, "__p")
                 scores = s if scores is None else scores.unionByName(s)
-    auc = E.roc_auc(scores, label, "p", ["share", "f", "part"])
+    auc = E.roc_auc(scores, label, "__p", ["share", "f", "part"])
     return auc.groupBy("share", "part").agg(F.avg("roc_auc").alias("auc_mean"),
                                             F.stddev_pop("roc_auc").alias("auc_std"))
 
