@@ -14,9 +14,9 @@ from visitgrid.plans import roles as R
 
 def cleaned(spark, sf):
     """Raw visits through the whole cleansing chain, with the join key as ``jk``."""
-    df = K.filter_not_status(R.visits(spark, sf))
+    # blank packages stay blank under normalisation, so both filters run before the shuffle
+    df = K.filter_blank_package(K.filter_not_status(R.visits(spark, sf)))
     df = K.normalize_package(K.dedup_rows(df))
-    df = K.filter_blank_package(df)
     return K.coalesce_join_key(df, name="jk")
 
 

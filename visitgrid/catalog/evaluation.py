@@ -6,6 +6,7 @@ from visitgrid.catalog.registry import query
 from visitgrid.functions.core import md5_int, r6
 from visitgrid.operators import evaluate as E
 from visitgrid.operators import regression as RG
+from visitgrid.operators import sampling as S
 from visitgrid.operators import significance as SG
 from visitgrid.plans import roles as R
 
@@ -140,7 +141,7 @@ def class_preds(spark, sf):
         h = md5_int(F.concat("visit_id", F.lit(tag)))
         return F.when(h % 100 < share, F.get(pk, (h % n).cast("int"))).otherwise(F.col("y"))
 
-    v = v.select("visit_id", F.array_join(F.array_sort(F.split("umr_art", ",")), ",").alias("y"))
+    v = v.select("visit_id", F.array_join(F.sort_array(F.split("umr_art", ",")), ",").alias("y"))
     return v.select(F.col("visit_id").alias("id"), "y", noisy("p", 40).alias("pred"), noisy("q", 60).alias("pred2"))
 
 
@@ -260,9 +261,9 @@ def _(spark, sf):
 
 
 _NB = 20
-_U = f"({R.MD5.format('b||{q}-{q}||id').replace('{q}', chr(39))}+0.5)/4294967296.0::DOUBLE"
-_POIS = "+".join(f"(u>={c!r})::INT" for c in __import__("visitgrid.operators.sampling", fromlist=["x"]).POISSON_CDF)
-BOOT_SQL = f"""{R.SCORED_SQL}, bw AS (SELECT b, y, p, {_POIS} AS w FROM (SELECT b, y, p, {_U} AS u FROM sc, (SELECT unnest(range({_NB})) AS b))),
+_DRAW = "CAST('0x'||substr(md5((b//4)||'-'||id), (b%4)*8+1, 8) AS BIGINT)"
+_POIS = "+".join(f"(m>={c})::INT" for c in S.POISSON_LIMITS)
+BOOT_SQL = f"""{R.SCORED_SQL}, bw AS (SELECT b, y, p, {_POIS} AS w FROM (SELECT b, y, p, {_DRAW} AS m FROM sc, (SELECT unnest(range({_NB})) AS b))),
 bc AS (SELECT b, p, sum(w*y) AS pos, sum(w*(1-y)) AS neg FROM bw WHERE w>0 GROUP BY 1,2),
 bu AS (SELECT *, sum(pos) OVER v AS tp, sum(neg) OVER v AS fp, sum(pos) OVER (PARTITION BY b) AS np, sum(neg) OVER (PARTITION BY b) AS nn
   FROM bc WINDOW v AS (PARTITION BY b ORDER BY p DESC)),
@@ -281,7 +282,7 @@ def _(spark, sf):
     return r(df, "std", "ci_lo", "ci_hi").drop("point")
 
 
-_MB = f"""{PREDS_SQL}, bw AS (SELECT b, y, pred, {_POIS} AS w FROM (SELECT b, y, pred, {_U} AS u FROM mp, (SELECT unnest(range({_NB})) AS b))),
+_MB = f"""{PREDS_SQL}, bw AS (SELECT b, y, pred, {_POIS} AS w FROM (SELECT b, y, pred, {_DRAW} AS m FROM mp, (SELECT unnest(range({_NB})) AS b))),
 ce AS (SELECT b, y, pred, sum(w) AS n FROM bw WHERE w>0 GROUP BY ALL),
 sd AS (SELECT b, y AS class, n AS support, 0 AS np, CASE WHEN y=pred THEN n ELSE 0 END AS tp FROM ce UNION ALL SELECT b, pred, 0, n, 0 FROM ce),
 pf AS (SELECT b, class, sum(support) AS support, sum(tp) AS tp, coalesce(2*sum(tp)/nullif(sum(support)+sum(np),0),0) AS f1 FROM sd GROUP BY 1,2),

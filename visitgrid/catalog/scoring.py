@@ -1,13 +1,12 @@
 """Scoring, dating, calibration, backtest and export queries."""
 
-from functools import cached_property
-
 from pyspark.sql import functions as F
 
 from visitgrid import columns as C
-from visitgrid.catalog.cleansing import DUR, cleaned, day
+from visitgrid.catalog.cleansing import DUR, day
 from visitgrid.catalog.registry import query
-from visitgrid.catalog.tables import GAPS_SQL, LABELLED_SQL, TYPE_GROUP_SQL, keyed_entities, sql_month, type_mapping
+from visitgrid.catalog.stages import Stages
+from visitgrid.catalog.tables import GAPS_SQL, LABELLED_SQL, TYPE_GROUP_SQL, sql_month, type_mapping
 from visitgrid.functions.core import floor_days, md5_int, r6
 from visitgrid.operators import aggregates as A
 from visitgrid.operators import cleanse as K
@@ -17,7 +16,7 @@ from visitgrid.operators import forecast as FC
 from visitgrid.operators import joins as J
 from visitgrid.operators import series as TS
 from visitgrid.plans import roles as R
-from visitgrid.plans.ordered import exact_quantiles, materialize
+from visitgrid.plans.ordered import discrete_quantiles, materialize
 
 # Example sets for the ranking penalties.
 TYPICAL = {"GERMANY": {"A"}, "FRANCE": {"N", "R"}, "CHINA": {"R"}}
@@ -29,38 +28,6 @@ UN_SQL = f"""{LABELLED_SQL}, un AS (SELECT *, coalesce(derivat,'UNKNOWN') AS der
 wl AS (SELECT * FROM un WHERE prob_coming>=0.05)"""
 
 
-class Stages:
-    """Stage tables of one query run: a stage that several later steps read is written once."""
-
-    def __init__(self, spark, sf):
-        self.spark, self.sf = spark, sf
-
-    @cached_property
-    def cleaned(self):
-        return materialize(cleaned(self.spark, self.sf))
-
-    @cached_property
-    def entities(self):
-        return keyed_entities(self.spark, self.sf)
-
-    @cached_property
-    def joined(self):
-        return K.clean_categoricals(J.inner_join_coalesce(self.cleaned, self.entities, "jk"), ["derivat"])
-
-    @cached_property
-    def labelled(self):
-        v = self.cleaned.where(F.col("umr_start") >= F.lit(R.LABEL_FROM).cast("timestamp"))
-        return J.label_semi_join(self.entities, v, "jk")
-
-    @cached_property
-    def ranked(self):
-        return materialize(ranked_probs(self))
-
-    @cached_property
-    def dated(self):
-        return dated(self)
-
-
 def unseen(st):
     df = K.clean_categoricals(FC.select_unseen(st.labelled, R.AS_OF), ["derivat"])
     return df.withColumn("prob_coming", md5_int(F.concat("ent_id", F.lit("pc"))) % 10000 / F.lit(10000.0))
@@ -131,7 +98,11 @@ pr AS (SELECT kk.*, cls, code, p, p*CASE WHEN {_pen('bo', TYPICAL, 'cls', False)
   FROM kk JOIN cp ON kk.ent_id=cp.ent_id)"""
 
 
-def ranked_probs(st):
+def ranked(st):
+    return st.once("ranked", lambda: _ranked(st))
+
+
+def _ranked(st):
     df = with_k(st).join(R.class_probs(st.spark, st.sf), "ent_id")
     p = F.col("p")
     bo = FC.affinity_penalty(p, "cls", FC.component_sets(TYPICAL, F.col("bo")))
@@ -143,13 +114,13 @@ def ranked_probs(st):
 @query("affinity_penalty", f"WITH {PR_SQL} SELECT ent_id, cls, round(adj_bo,6) AS adj_bo FROM pr")
 def _(spark, sf):
     st = Stages(spark, sf)
-    return st.ranked.select("ent_id", "cls", r6("adj_bo").alias("adj_bo"))
+    return ranked(st).select("ent_id", "cls", r6("adj_bo").alias("adj_bo"))
 
 
 @query("mismatch_penalty", f"WITH {PR_SQL} SELECT ent_id, cls, round(adj_prio,6) AS adj_prio FROM pr")
 def _(spark, sf):
     st = Stages(spark, sf)
-    return st.ranked.select("ent_id", "cls", r6("adj_prio").alias("adj_prio"))
+    return ranked(st).select("ent_id", "cls", r6("adj_prio").alias("adj_prio"))
 
 
 TK_SQL = f"""{PR_SQL}, tk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ent_id ORDER BY adj DESC, code DESC) AS visit_number FROM pr) WHERE visit_number<=k),
@@ -157,7 +128,7 @@ mp AS (SELECT * FROM tk WHERE p>=0.02)"""
 
 
 def top_visits(st):
-    return FC.top_k_classes(st.ranked, "ent_id", "k", "adj")
+    return FC.top_k_classes(ranked(st), "ent_id", "k", "adj")
 
 
 def visits_kept(st):
@@ -212,9 +183,9 @@ def with_durations(st):
     v = st.cleaned
     d = v.withColumn("d", floor_days("umr_av", "umr_start").cast("double")).where(F.col("d") >= 0)
     mapping = type_mapping(v)
-    med = exact_quantiles(A.with_type_group(d, mapping).where(F.col("type_group").isNotNull()), ["type_group"], "d",
-                          {"type_median": 0.5})
-    overall = exact_quantiles(d, [], "d", {"m": 0.5}).scalar()
+    med = discrete_quantiles(A.with_type_group(d, mapping).where(F.col("type_group").isNotNull()), ["type_group"],
+                             "d", {"type_median": 0.5})
+    overall = discrete_quantiles(d, [], "d", {"m": 0.5}).scalar()
     df = A.with_type_group(visits_kept(st), mapping, "cls")
     df = df.withColumn("dur_model", md5_int(F.concat("ent_id", "cls", F.lit("d"))) % 400 / F.lit(10.0))
     df = FE.lookup(df, med, "type_group", "type_group", "type_median", "type_median", F.lit(None).cast("double"))
@@ -252,20 +223,20 @@ ho AS (SELECT *, date_trunc('month',estimated_start)::TIMESTAMP AS estimated_mon
 def dated(st):
     df, _ = with_durations(st)
     df = FC.anchor_date(df.withColumn("predicted_duration_days", F.col("dur_model")), R.AS_OF)
-    j = st.joined
-    gaps = A.inter_visit_gap_by_category(j, "derivat_clean", "jk").where(F.col("derivat_clean") != "MACHINERY")
-    g = A.inter_visit_gap(j, "jk").select("median_days").scalar()
+    every = materialize(A.visit_gaps(st.joined, "jk", extra=["derivat_clean"]))
+    gaps = A.inter_visit_gap_by_category(None, "derivat_clean", gaps=every).where(F.col("derivat_clean") != "MACHINERY")
+    g = A.inter_visit_gap(None, gaps=every).select("median_days").scalar()
     return FC.backward_stagger(df, "jk", gaps, "derivat_clean", g)
 
 
 @query("backward_stagger", f"WITH {DATED_SQL} SELECT ent_id, cls, visit_number, strftime(estimated_start,'%Y-%m-%d %H:%M:%S') AS estimated_start FROM da")
 def _(spark, sf):
     st = Stages(spark, sf)
-    return st.dated.select("ent_id", "cls", "visit_number", day("estimated_start", "yyyy-MM-dd HH:mm:ss").alias("estimated_start"))
+    return dated(st).select("ent_id", "cls", "visit_number", day("estimated_start", "yyyy-MM-dd HH:mm:ss").alias("estimated_start"))
 
 
 def in_horizon(st):
-    return FC.horizon_filter(st.dated, R.AS_OF)
+    return FC.horizon_filter(dated(st), R.AS_OF)
 
 
 @query("horizon_filter", f"WITH {DATED_SQL} SELECT ent_id, cls, {sql_month('estimated_month')} AS estimated_month FROM ho")
@@ -377,7 +348,7 @@ cc AS (SELECT pe.*, coalesce(round_even(expected,0),0)::BIGINT AS count_expected
 @query("expected_counts", f"WITH {EXP_SQL} SELECT type, round(expected,4) AS expected FROM ex")
 def _(spark, sf):
     st = Stages(spark, sf)
-    df = FC.expected_counts(st.ranked)
+    df = FC.expected_counts(ranked(st))
     return df.select("type", F.round("expected", 4).alias("expected"))
 
 
@@ -388,7 +359,7 @@ def _actual_types(st):
 def counts(st):
     return FC.backtest_counts(FC.type_counts(_actual_types(st), "umr_art", "count_actual"),
                               FC.type_counts(visits_kept(st), "cls", "count_predicted"),
-                              FC.expected_counts(st.ranked))
+                              FC.expected_counts(ranked(st)))
 
 
 _PCT = "round_even(({0}-count_actual)*100.0::DOUBLE/{1},1)"

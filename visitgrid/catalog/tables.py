@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from visitgrid import columns as C
 from visitgrid.catalog.cleansing import DUR, _answers, cleaned, day
 from visitgrid.catalog.registry import query
+from visitgrid.catalog.stages import Stages
 from visitgrid.functions.core import floor_days, r6
 from visitgrid.operators import aggregates as A
 from visitgrid.operators import cleanse as K
@@ -54,14 +55,13 @@ t AS (SELECT {sql_month('umr_start')} AS month, (dm.jk IN (SELECT jk FROM lk))::
 top AS (SELECT umr_art, row_number() OVER (ORDER BY count(*) DESC, umr_art) AS r FROM t GROUP BY 1)
 SELECT month, lab AS came_for_retrofit, {TOP3_SQL} FROM t GROUP BY 1,2""")
 def _(spark, sf):
-    v = cleaned(spark, sf)
-    lab = labelled(spark, sf).select("jk", C.LABEL)
-    df = J.inner_join_coalesce(v, keyed_entities(spark, sf), "jk").join(lab, "jk")
-    top = A.top_types(df, "umr_art", 3)
-    t = F.when(F.col("umr_art").isin(top), F.col("umr_art")).otherwise(F.lit("Other"))
-    return (df.select(day("umr_start", "yyyy-MM").alias("month"), C.LABEL, t.alias("t"))
-            .groupBy("month", C.LABEL).pivot("t", [*top, "Other"])
-            .agg(F.count(F.lit(1))).fillna(0).toDF("month", C.LABEL, "top_1", "top_2", "top_3", "other"))
+    st = Stages(spark, sf)
+    df = st.joined.join(st.labelled.select("jk", C.LABEL), "jk")
+    cells = (df.groupBy(F.date_trunc("month", "umr_start").alias("month"), C.LABEL, "umr_art")
+             .agg(F.count(F.lit(1)).alias("n")))
+    out = A.topn_pivot(cells, ["month", C.LABEL], "umr_art", 3)
+    return out.withColumn("month", day("month", "yyyy-MM")).toDF(
+        "month", C.LABEL, "top_1", "top_2", "top_3", "other")
 
 
 @query("label_semi_join", f"WITH {LABELLED_SQL} SELECT ent_id, jk, came_for_retrofit FROM lb")

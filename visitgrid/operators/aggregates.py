@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from visitgrid import columns as C
 from visitgrid.functions.core import floor_days, month_start, ratio
-from visitgrid.plans.ordered import exact_quantiles, materialize, top_rows
+from visitgrid.plans.ordered import discrete_quantiles, exact_quantiles, materialize, top_rows
 
 
 def _one() -> Column:
@@ -80,21 +80,32 @@ def monthly_volume(df: DataFrame, date=C.START) -> DataFrame:
     return d.groupBy(month_start(date).alias("month")).agg(_one().alias("n"))
 
 
-def top_types(df: DataFrame, column: str, n: int) -> list[str]:
-    """The n most frequent values (ties by name): at most n strings reach the driver."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(_one().alias("n"))
-    rows = counts.orderBy(F.desc("n"), F.asc(column)).limit(n).collect()
+def top_types(counts: DataFrame, column: str, n: int, weight="n") -> list[str]:
+    """The n largest values of a count table (ties by name): at most n strings reach the driver."""
+    d = counts.where(F.col(column).isNotNull()).groupBy(column).agg(F.sum(weight).alias("__w"))
+    rows = d.orderBy(F.desc("__w"), F.asc(column)).limit(n).collect()
     return [r[0] for r in rows]
 
 
+def topn_pivot(cells: DataFrame, keys, type_col: str, n=8, other="Other", weight="n") -> DataFrame:
+    """Wide counts for the n most frequent types, the rest as one column.
+
+    ``cells`` is an aggregated (keys, type, count) table; it is written once, so the rows
+    behind it are read once although the column list depends on the counts.
+    """
+    cells = materialize(cells)
+    top = top_types(cells, type_col, n, weight)
+    bucket = F.when(F.col(type_col).isin(top), F.col(type_col)).otherwise(F.lit(other))
+    return (cells.select(*keys, bucket.alias("__t"), F.col(weight).alias("__w"))
+            .groupBy(*keys).pivot("__t", [*top, other]).agg(F.sum("__w")).fillna(0))
+
+
 def monthly_volume_topn_pivot(df: DataFrame, date=C.START, package=C.PACKAGE, n=8,
                               other="Other") -> DataFrame:
     """Month x type counts for the n most frequent types, the rest as one column."""
-    top = top_types(df, package, n)
-    d = df.where(F.col(date).isNotNull())
-    bucket = F.when(F.col(package).isin(top), F.col(package)).otherwise(F.lit(other))
-    return (d.select(month_start(date).alias("month"), bucket.alias("__t"))
-            .groupBy("month").pivot("__t", [*top, other]).agg(_one()).fillna(0))
+    cells = (df.where(F.col(date).isNotNull())
+             .groupBy(month_start(date).alias("month"), package).agg(_one().alias("n")))
+    return topn_pivot(cells, ["month"], package, n, other)
 
 
 def historical_pivot(df: DataFrame, date=C.START, package=C.PACKAGE, types=None) -> DataFrame:
@@ -149,7 +160,7 @@ def fleet_size(df: DataFrame, names: dict[str, str], counts: DataFrame | None =
 def common_flag(df: DataFrame, column: str, name: str, counts: DataFrame | None = None) -> DataFrame:
     """1 where the value is more frequent than the median frequency of the distinct values."""
     counts = value_counts(df, [column]) if counts is None else counts
-    med = exact_quantiles(counts.where(F.col("feature") == column), [], "n", {"m": 0.5}).scalar()
+    med = discrete_quantiles(counts.where(F.col("feature") == column), [], "n", {"m": 0.5}).scalar()
     return _join_value(df, counts, column, (F.col("n") > med).cast("long"), name)
 
 
@@ -165,12 +176,16 @@ def frequency_feature(df: DataFrame, names: dict[str, str], counts: DataFrame |
     return df
 
 
-def type_stats(df: DataFrame, group: str, value: str) -> DataFrame:
-    """median, mean, std (sample) and count per group; exact median."""
+def type_stats(df: DataFrame, group: str, value: str, discrete=True) -> DataFrame:
+    """median, mean, std (sample) and count per group; exact median.
+
+    ``discrete``: the value has few distinct values (whole days), so one pass does it all.
+    """
     d = df.where(F.col(group).isNotNull() & F.col(value).isNotNull())
-    base = d.groupBy(group).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
-                                _one().alias("count"))
-    return base.join(exact_quantiles(d, [group], value, {"median": 0.5}), group)
+    base = [F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), _one().alias("count")]
+    if discrete:
+        return discrete_quantiles(d, [group], value, {"median": 0.5}, *base)
+    return d.groupBy(group).agg(*base).join(exact_quantiles(d, [group], value, {"median": 0.5}), group)
 
 
 def with_type_group(df: DataFrame, mapping: DataFrame, package=C.PACKAGE, out="type_group") -> DataFrame:
@@ -182,10 +197,8 @@ def with_type_group(df: DataFrame, mapping: DataFrame, package=C.PACKAGE, out="t
 def visit_stats(df: DataFrame, key=C.JOIN_KEY) -> DataFrame:
     """Visits per entity: mean and median."""
     per = df.where(F.col(key).isNotNull()).groupBy(key).agg(_one().alias("visits"))
-    base = per.agg(_one().alias("entities"), F.avg("visits").alias("mean"),
-                   F.max("visits").alias("max"))
-    med = exact_quantiles(per, [], "visits", {"m": 0.5}).scalar()
-    return base.withColumn("median", med)
+    return discrete_quantiles(per, [], "visits", {"median": 0.5}, _one().alias("entities"),
+                              F.avg("visits").alias("mean"), F.max("visits").alias("max"))
 
 
 def visit_distribution(df: DataFrame, key=C.JOIN_KEY) -> DataFrame:
@@ -343,18 +356,20 @@ def visit_gaps(df: DataFrame, key=C.JOIN_KEY, start=C.START, extra=()) -> DataFr
                       floor_days("__t", "__p").alias("gap"))
 
 
-def inter_visit_gap(df: DataFrame, key=C.JOIN_KEY, start=C.START) -> DataFrame:
+def inter_visit_gap(df: DataFrame, key=C.JOIN_KEY, start=C.START, gaps: DataFrame | None = None) -> DataFrame:
     """Median and mean of the gaps between 0 and 1000 days (both excluded)."""
-    g = visit_gaps(df, key, start).where((F.col("gap") > 0) & (F.col("gap") < 1000))
-    med = exact_quantiles(g, [], "gap", {"m": 0.5}).scalar()
-    return g.agg(F.count(F.lit(1)).alias("n"), F.avg("gap").alias("mean_days")).withColumn(
-        "median_days", med)
-
-
-def inter_visit_gap_by_category(df: DataFrame, category: str, key=C.JOIN_KEY, start=C.START) -> DataFrame:
-    g = visit_gaps(df, key, start, [category]).where(F.col("gap").between(1, 999))
-    return exact_quantiles(g.where(F.col(category).isNotNull()), [category], "gap",
-                           {"median_days": 0.5})
+    g = visit_gaps(df, key, start) if gaps is None else gaps
+    g = g.where((F.col("gap") > 0) & (F.col("gap") < 1000))
+    return discrete_quantiles(g, [], "gap", {"median_days": 0.5}, F.count(F.lit(1)).alias("n"),
+                              F.avg("gap").alias("mean_days"))
+
+
+def inter_visit_gap_by_category(df: DataFrame, category: str, key=C.JOIN_KEY, start=C.START,
+                                gaps: DataFrame | None = None) -> DataFrame:
+    """Median gap (1 to 999 days) per category; pass ``gaps`` to share one gap table."""
+    g = visit_gaps(df, key, start, [category]) if gaps is None else gaps
+    g = g.where(F.col("gap").between(1, 999) & F.col(category).isNotNull())
+    return discrete_quantiles(g, [category], "gap", {"median_days": 0.5})
 
 
 def cap_per_class(df: DataFrame, label: str, order, quota: int) -> DataFrame:

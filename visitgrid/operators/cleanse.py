@@ -36,7 +36,7 @@ def dedup_rows(df: DataFrame) -> DataFrame:
 def normalize_package(df: DataFrame, package=C.PACKAGE) -> DataFrame:
     """Sort the trimmed components of a comma list; repeated components stay."""
     parts = F.transform(F.split(F.col(package), ","), lambda p: F.trim(p))
-    return df.withColumn(package, F.array_join(F.array_sort(parts), ", "))
+    return df.withColumn(package, F.array_join(F.sort_array(parts), ", "))
 
 
 def filter_invalid_packages(df: DataFrame, invalid: Iterable[str], package=C.PACKAGE) -> DataFrame:

@@ -42,8 +42,9 @@ def at_threshold(score: str, threshold: float, inclusive=True) -> Column:
 def score_cells(df: DataFrame, y: str, score: str, keys=(), weight: str | None = None) -> DataFrame:
     """(keys, score) -> weighted positives and negatives."""
     w = F.lit(1) if weight is None else F.col(weight)
-    return df.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(
+    cells = df.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(
         _sum_if(F.col(y) == 1, w).alias("pos"), _sum_if(F.col(y) != 1, w).alias("neg"))
+    return cells if weight is None else cells.where(F.col("pos") + F.col("neg") > 0)
 
 
 def curve(cells: DataFrame, keys=(), window_cells: int | None = None) -> DataFrame:

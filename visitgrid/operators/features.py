@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from visitgrid import columns as C
 from visitgrid.functions.core import floor_days, ratio
 from visitgrid.operators.aggregates import unpivot_numeric
-from visitgrid.plans.ordered import exact_quantiles, materialize
+from visitgrid.plans.ordered import discrete_quantiles, exact_quantiles, materialize
 
 
 def feature_inventory(df: DataFrame, cat: list[str], num: list[str]) -> DataFrame:
@@ -170,6 +170,6 @@ def label_encode(df: DataFrame, cls: str, out="code") -> DataFrame:
 def duration_target(df: DataFrame, start=C.START, end=C.END, out=C.DURATION) -> DataFrame:
     """Non-negative whole days between start and end, within the 1st and 99th percentile."""
     d = df.withColumn(out, floor_days(end, start).cast("double")).where(F.col(out) >= 0)
-    q = exact_quantiles(d, [], out, {"lo": 0.01, "hi": 0.99})
-    lo, hi = q.select("lo").scalar(), q.select("hi").scalar()
-    return d.where(F.col(out).between(lo, hi))
+    q = discrete_quantiles(d, [], out, {"lo": 0.01, "hi": 0.99})
+    q = q.select(F.struct("lo", "hi").alias("q")).scalar()
+    return d.where(F.col(out).between(q["lo"], q["hi"]))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from visitgrid.functions.core import md5_int, md5_unit
 from visitgrid.plans.neighbors import nearest
-from visitgrid.plans.ordered import exact_quantiles, prefix_sums, top_rows
+from visitgrid.plans.ordered import exact_quantiles, prefix_sums, spread, top_rows
 
 
 def hash_split(df: DataFrame, row_id: str, test_pct: int = 20, out="split") -> DataFrame:
@@ -125,14 +125,17 @@ def smote(df: DataFrame, row_id: str, vec: str, label: str, minority, ratio=0.6,
 POISSON_CDF = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
                0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
                0.999998874797402, 0.9999998885745217)
+# The same as limits of a 32-bit number.
+POISSON_LIMITS = tuple(round(p * 4294967296) for p in POISSON_CDF)
+# One md5 holds four 32-bit draws.
+DRAWS_PER_HASH = 4
 
 
-def poisson_weight(unit) -> Column:
-    """How often a row enters one bootstrap replicate, from a uniform number."""
-    u = unit if isinstance(unit, Column) else F.col(unit)
+def poisson_weight(m: Column) -> Column:
+    """How often a row enters one bootstrap replicate, from a uniform 32-bit number."""
     out = F.lit(0)
-    for p in POISSON_CDF:
-        out = out + (u >= F.lit(p)).cast("int")
+    for limit in POISSON_LIMITS:
+        out = out + (m >= F.lit(limit)).cast("int")
     return out.cast("long")
 
 
@@ -142,10 +145,18 @@ def bootstrap_weights(df: DataFrame, row_id: str, n_boot: int, keep) -> DataFram
     With-replacement counts of n rows tend to independent Poisson(1) draws, so no replicate
     needs an index join; equal cells combine map-side in the following aggregation.
     """
-    b = df.select(*keep, F.col(row_id).alias("__id"),
-                  F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
-    w = poisson_weight(md5_unit(F.concat_ws("-", "b", "__id")))
-    return b.select("b", *[c for c in keep], w.alias("w")).where(F.col("w") > 0)
+    keep = list(keep)
+    d = df.select(*keep, F.col(row_id).alias("__id"))
+    d = spread(d, df.count())
+    blocks = F.sequence(F.lit(0), F.lit((n_boot - 1) // DRAWS_PER_HASH))
+    d = d.select(*keep, "__id", F.explode(blocks).alias("__g"))
+    d = d.withColumn("__h", F.md5(F.concat_ws("-", "__g", "__id")))
+    draws = F.array(*[F.struct(
+        (F.col("__g") * DRAWS_PER_HASH + i).alias("b"),
+        F.conv(F.substring("__h", 8 * i + 1, 8), 16, 10).cast("long").alias("m"))
+        for i in range(DRAWS_PER_HASH)])
+    d = d.select(*keep, F.inline(draws)).where(F.col("b") < n_boot)
+    return d.select("b", *keep, poisson_weight(F.col("m")).alias("w"))
 
 
 def percentile_interval(samples: DataFrame, keys, value: str, ci: float = 0.95) -> DataFrame:

@@ -11,7 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Up to this many cells in all, a plain window per key is the cheaper exact plan.
@@ -37,11 +37,21 @@ def materialize(df: DataFrame) -> DataFrame:
 
     Cuts the lineage, survives lost executors, and gives later joins its measured size.
     """
+    return _write(df)
+
+
+def _write(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _write_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """Like ``materialize``, with the number of rows written (no extra job)."""
+    seen = Observation()
+    return _write(df.observe(seen, F.count(F.lit(1)).alias("n"))), seen.get["n"]
+
+
 def value_cells(df: DataFrame, keys, value, **sums) -> DataFrame:
     """One row per (keys, value) with the given sums; combines map-side before the shuffle."""
     aggs = [F.sum(c).alias(n) for n, c in sums.items()] or [F.count(F.lit(1)).alias("n")]
@@ -64,10 +74,10 @@ def prefix_sums(cells: DataFrame, keys, value: str, sums, descending=False,
     """
     limit = WINDOW_CELLS if window_cells is None else window_cells
     keys, sums = list(keys), list(sums)
-    cells = materialize(cells)
+    cells, n_cells = _write_counted(cells)
     order = F.col(value).desc() if descending else F.col(value).asc()
     key_cols = [F.col(k) for k in keys]
-    if cells.count() <= limit:
+    if n_cells <= limit:
         run = Window.partitionBy(*key_cols).orderBy(order).rowsBetween(
             Window.unboundedPreceding, Window.currentRow)
         whole = Window.partitionBy(*key_cols)
@@ -127,6 +137,27 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs: dict[str, float],
     return out.select(*keys, *cols)
 
 
+def discrete_quantiles(df: DataFrame, keys, value: str, probs: dict[str, float], *aggs) -> DataFrame:
+    """Exact quantiles of a column with few distinct values (whole days, counts), in one pass.
+
+    The aggregate keeps a count per distinct value, so its memory is the number of distinct
+    values, not of rows: day spans have at most a few thousand, and counts per group at most
+    sqrt(2 * rows). Use ``exact_quantiles`` for continuous columns.
+    """
+    q = [F.percentile(value, F.lit(float(p))).alias(n) for n, p in probs.items()]
+    return df.groupBy(*keys).agg(*aggs, *q)
+
+
+def spread(df: DataFrame, rows: int, small: int = 20_000_000) -> DataFrame:
+    """Give a small input as many partitions as there are cores before heavy per-row work.
+
+    Large inputs already have enough splits and are left alone.
+    """
+    if rows > small:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def top_rows(df: DataFrame, keys, order, k: int, salts: int = 64, rank="rn") -> DataFrame:
     """The first ``k`` rows per key by ``order``; hot keys are cut down in salted parts first.
 

@@ -213,7 +213,7 @@ def wide_packages(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part").select("p_partkey", "p_type")
     return (li.join(p, F.col("l_partkey") == F.col("p_partkey"))
             .groupBy(F.col("l_orderkey").alias("id"))
-            .agg(F.array_join(F.array_sort(F.collect_set("p_type")), ", ").alias("cls")))
+            .agg(F.array_join(F.sort_array(F.collect_set("p_type")), ", ").alias("cls")))
 
 
 WIDE_SQL = """
