@@ -40,13 +40,19 @@ def test_store_rebuilds_only_for_new_data(spark, tmp_path):
         assert len(calls) == n
 
 
-def test_checkpoint_dir_comes_from_the_session(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path / "shared"))
-    try:
-        df = O.materialize(spark.range(5))
-        assert df.count() == 5 and str(tmp_path / "shared") in df.inputFiles()[0]
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_checkpoint_dir_comes_from_the_session(spark, tmp_path, monkeypatch):
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.checkpoint.dir": f"{tmp_path}/shared/"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    shared = O.checkpoint_dir(Session())
+    assert shared == f"{tmp_path}/shared"
+    monkeypatch.setattr(O, "checkpoint_dir", lambda _: shared)
+    df = O.materialize(spark.range(5))
+    assert df.count() == 5 and f"{tmp_path}/shared" in df.inputFiles()[0]
 
 
 def test_group_sizes_null_key(spark):
