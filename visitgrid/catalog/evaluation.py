@@ -202,8 +202,9 @@ def _(spark, sf):
     return r(E.agreement_matrix(class_preds(spark, sf), ["y", "pred", "pred2"]), "agreement")
 
 
-@query("min_support_sensitivity", f"""WITH {PREDS_SQL}, tr AS (SELECT y, count(*) AS support FROM mp WHERE id%20=0 GROUP BY 1),
-te AS (SELECT mp.y, pred, coalesce(support,0) AS support FROM mp LEFT JOIN tr ON mp.y=tr.y WHERE id%20<>0),
+@query("min_support_sensitivity", f"""WITH {R.WIDE_SQL}, sp AS (SELECT id, cls AS y, CASE WHEN {R.MD5.format("id||'p'")}%100<40 THEN string_split(cls,', ')[1] ELSE cls END AS pred,
+  {R.MD5.format('id')}%100<20 AS test FROM wp), tr AS (SELECT y, count(*) AS support FROM sp WHERE NOT test GROUP BY 1),
+te AS (SELECT sp.y, pred, coalesce(support,0) AS support FROM sp LEFT JOIN tr ON sp.y=tr.y WHERE test),
 th AS (SELECT unnest([1,2,3,5,10,20,50]) AS min_support),
 x AS (SELECT min_support, y, pred FROM te, th WHERE support>=min_support),
 pc AS (SELECT x.min_support, k.class, count(*) FILTER (y=k.class) AS support, count(*) FILTER (pred=k.class) AS np,
@@ -213,9 +214,12 @@ pf AS (SELECT *, coalesce(2*tp/nullif(support+np,0),0) AS f1 FROM pc)
 SELECT min_support::BIGINT AS min_support, sum(support)::BIGINT AS n_test, round(sum(f1*support)/sum(support),6) AS f1_weighted, round(avg(f1),6) AS f1_macro,
   round(sum(tp)/sum(support),6) AS accuracy FROM pf GROUP BY 1 HAVING sum(support)>=2""")
 def _(spark, sf):
-    p = class_preds(spark, sf)
-    te = E.with_support(p.where(F.col("id") % 20 != 0), p.where(F.col("id") % 20 == 0), "y")
-    return r(E.min_support_sensitivity(te, "y", "pred"), "f1_weighted", "f1_macro", "accuracy")
+    w = R.wide_packages(spark, sf)
+    first = F.get(F.split("cls", ", "), F.lit(0))
+    p = S.hash_split(w, "id").withColumn(
+        "pred", F.when(md5_int(F.concat("id", F.lit("p"))) % 100 < 40, first).otherwise(F.col("cls")))
+    te = E.with_support(p.where("split = 'test'"), p.where("split = 'train'"), "cls")
+    return r(E.min_support_sensitivity(te, "cls", "pred"), "f1_weighted", "f1_macro", "accuracy")
 
 
 # -- paired tests and bootstrap ----------------------------------------------------
@@ -398,12 +402,12 @@ def _(spark, sf):
     return r(RG.outlier_impact(d, "y", "yhat"), "mae", "rmse", "r2")
 
 
-@query("min_support_regression", f"""WITH {R.DURATIONS_SQL}, tr AS (SELECT type, count(*) AS s FROM du WHERE id%500=0 AND split='train' GROUP BY 1),
-te AS (SELECT y, yhat, coalesce(s,0) AS s FROM du LEFT JOIN tr ON du.type=tr.type WHERE split='test'), th AS (SELECT unnest([1,2,3,5,10,20,50]) AS min_support)
+@query("min_support_regression", f"""WITH {R.DURATIONS_SQL}, tr AS (SELECT part, count(*) AS s FROM du WHERE split='train' GROUP BY 1),
+te AS (SELECT y, yhat, coalesce(s,0) AS s FROM du LEFT JOIN tr ON du.part=tr.part WHERE split='test'), th AS (SELECT unnest([1,2,3,5,10,20,50]) AS min_support)
 SELECT min_support::BIGINT AS min_support, count(*) AS n_test, {REG} FROM te, th WHERE s>=min_support GROUP BY 1 HAVING count(*)>=2""")
 def _(spark, sf):
     d = R.durations(spark, sf)
-    te = E.with_support(d.where("split='test'"), d.where("split='train' AND id % 500 = 0"), "type")
+    te = E.with_support(d.where("split='test'"), d.where("split='train'"), "part")
     return r(RG.min_support_regression(te, "y", "yhat"), "mae", "rmse", "r2")
 
 

@@ -58,7 +58,7 @@ def _(spark, sf):
     lb = st.labelled
     enc = FE.fit_target_means(lb, ["bo"], C.LABEL)
     freq = FE.fit_frequencies(lb, ["bo"])
-    g = lb.agg(F.avg(C.LABEL)).first()[0]
+    g = FE.global_mean(enc)
     df = FC.build_scoring_matrix(unseen(st), enc, freq, ["bo", "absent"], ["c_acctbal", "absent"], g,
                                  [("c_acctbal", "prob_coming")])
     return df.select("ent_id", r6("enc_bo").alias("enc_bo"), r6("bo_freq").alias("bo_freq"), r6("enc_absent").alias("enc_absent"),
@@ -172,7 +172,7 @@ def _(spark, sf):
 DU_SQL = f"""{TK_SQL}, {FACT_SQL},
 tg AS (SELECT {TYPE_GROUP_SQL} AS type_group, quantile_cont({DUR},0.5)::DOUBLE AS type_median FROM cl WHERE {DUR}>=0 AND {TYPE_GROUP_SQL} IS NOT NULL GROUP BY 1),
 om AS (SELECT quantile_cont({DUR},0.5)::DOUBLE AS m FROM cl WHERE {DUR}>=0),
-fcv AS (SELECT date_trunc('month',umr_start)::TIMESTAMP AS month, round(avg(cost)/1000,4) AS value FROM cl WHERE umr_start>=TIMESTAMP '2001-01-01' GROUP BY 1),
+fcv AS (SELECT date_trunc('month',umr_start)::TIMESTAMP AS month, round(avg(cost)/1000,4) AS value FROM cl GROUP BY 1),
 nm AS (SELECT ent_id, value FROM (SELECT ent_id, value, row_number() OVER (PARTITION BY ent_id ORDER BY
     abs(date_diff('month', month, date_trunc('month',rueckgabe_soll))), month DESC) AS rn FROM kk, fcv WHERE rueckgabe_soll IS NOT NULL) WHERE rn=1),
 du AS (SELECT mp.*, {R.MD5.format("mp.ent_id||cls||'d'")}%400/10.0::DOUBLE AS dur_model, type_median, coalesce(nm.value,(SELECT avg(value) FROM fcv)) AS dur_ts
@@ -189,8 +189,7 @@ def with_durations(st):
     df = A.with_type_group(visits_kept(st), mapping, "cls")
     df = df.withColumn("dur_model", md5_int(F.concat("ent_id", "cls", F.lit("d"))) % 400 / F.lit(10.0))
     df = FE.lookup(df, med, "type_group", "type_group", "type_median", "type_median", F.lit(None).cast("double"))
-    fc = (v.where(F.col("umr_start") >= F.lit("2001-01-01").cast("timestamp"))
-          .groupBy(F.date_trunc("month", "umr_start").alias("month")).agg(F.round(F.avg("cost") / 1000, 4).alias("value")))
+    fc = (v.groupBy(F.date_trunc("month", "umr_start").alias("month")).agg(F.round(F.avg("cost") / 1000, 4).alias("value")))
     return J.nearest_month_value(df, "rueckgabe_soll", fc, out="dur_ts"), overall
 
 
@@ -338,7 +337,7 @@ def _(spark, sf):
 
 EXP_SQL = f"""{TK_SQL}, pt AS (SELECT trim(unnest(string_split(cls,','))) AS type, k*p AS e FROM pr),
 ex AS (SELECT type, sum(e) AS expected FROM pt GROUP BY 1),
-ac AS (SELECT type, count(*) AS count_actual FROM (SELECT trim(unnest(string_split(umr_art,','))) AS type FROM cl WHERE umr_start>=TIMESTAMP '2001-01-01') GROUP BY 1),
+ac AS (SELECT type, count(*) AS count_actual FROM (SELECT trim(unnest(string_split(umr_art,','))) AS type FROM cl) GROUP BY 1),
 pd AS (SELECT type, count(*) AS count_predicted FROM (SELECT trim(unnest(string_split(cls,','))) AS type FROM mp) GROUP BY 1),
 pe AS (SELECT coalesce(ac.type,pd.type) AS type, coalesce(count_actual,0) AS count_actual, coalesce(count_predicted,0) AS count_predicted
   FROM ac FULL JOIN pd ON ac.type=pd.type),
@@ -352,12 +351,8 @@ def _(spark, sf):
     return df.select("type", F.round("expected", 4).alias("expected"))
 
 
-def _actual_types(st):
-    return st.cleaned.where(F.col("umr_start") >= F.lit("2001-01-01").cast("timestamp"))
-
-
 def counts(st):
-    return FC.backtest_counts(FC.type_counts(_actual_types(st), "umr_art", "count_actual"),
+    return FC.backtest_counts(FC.type_counts(st.cleaned, "umr_art", "count_actual"),
                               FC.type_counts(visits_kept(st), "cls", "count_predicted"),
                               FC.expected_counts(ranked(st)))
 
@@ -384,7 +379,7 @@ def _(spark, sf):
 
 
 @query("monthly_backtest", f"""WITH {EXP_SQL}, {FACT_SQL}, fm AS (SELECT jk, {sql_month('arg_min(umr_start, visit_id)')} AS month FROM cl GROUP BY 1),
-atm AS (SELECT type, month, count(*) AS actual FROM (SELECT trim(unnest(string_split(umr_art,','))) AS type, {sql_month('umr_start')} AS month FROM cl WHERE umr_start>=TIMESTAMP '2001-01-01') GROUP BY 1,2),
+atm AS (SELECT type, month, count(*) AS actual FROM (SELECT trim(unnest(string_split(umr_art,','))) AS type, {sql_month('umr_start')} AS month FROM cl) GROUP BY 1,2),
 pp AS (SELECT type, month, count(*) AS predicted FROM (SELECT trim(unnest(string_split(cls,','))) AS type, month FROM mp JOIN fm ON mp.jk=fm.jk) GROUP BY 1,2),
 mm AS (SELECT coalesce(atm.type,pp.type) AS type, coalesce(atm.month,pp.month) AS month, coalesce(actual,0) AS actual, coalesce(predicted,0) AS predicted
   FROM atm FULL JOIN pp ON atm.type=pp.type AND atm.month=pp.month),
@@ -393,7 +388,7 @@ SELECT mm.*, round(predicted*coalesce(factor,1.0),6) AS calibrated FROM mm LEFT
 def _(spark, sf):
     st = Stages(spark, sf)
     fm = J.first_visit_month(st.cleaned, "jk", order="visit_id").select("jk", day("month", "yyyy-MM").alias("month"))
-    act = FC.explode_types(_actual_types(st), "umr_art").select("type", day("umr_start", "yyyy-MM").alias("month"))
+    act = FC.explode_types(st.cleaned, "umr_art").select("type", day("umr_start", "yyyy-MM").alias("month"))
     prd = FC.explode_types(visits_kept(st), "cls").join(fm, "jk").select("type", "month")
     df = FC.monthly_backtest(act, prd, factors(st))
     return df.withColumn("calibrated", r6("calibrated"))

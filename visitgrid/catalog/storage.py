@@ -71,7 +71,7 @@ def _(spark, sf):
     return again.select(day("month", "yyyy-MM").alias("month"), "n")
 
 
-@query("validate_table", f"""WITH {R.ENTITIES_SQL}, p AS (SELECT * FROM ent WHERE ent_id%2=0), m AS (SELECT avg(c_acctbal) AS a, avg(ent_id) AS b FROM ent),
+@query("validate_table", f"""WITH {R.ENTITIES_SQL}, p AS (SELECT * FROM ent WHERE sop<TIMESTAMP '{R.AS_OF}'), m AS (SELECT avg(c_acctbal) AS a, avg(ent_id) AS b FROM ent),
 q AS (SELECT avg(c_acctbal) AS a, avg(ent_id) AS b FROM p)
 SELECT 'min_rows' AS "check", 'table' AS subject, count(*)::DOUBLE AS value, CAST(count(*)>=50 AS BIGINT) AS ok FROM ent
 UNION ALL SELECT 'duplicates', 'table', 0.0, 1
@@ -81,6 +81,8 @@ UNION ALL SELECT 'null_ratio', c, round(v,6), CAST(v<=0.2 AS BIGINT) FROM (SELEC
 UNION ALL SELECT 'mean_drift', 'ent_id', round(abs(m.b-q.b)/abs(q.b),6), CAST(abs(m.b-q.b)/abs(q.b)<=0.1 AS BIGINT) FROM m, q
 UNION ALL SELECT 'mean_drift', 'c_acctbal', round(abs(m.a-q.a)/abs(q.a),6), CAST(abs(m.a-q.a)/abs(q.a)<=0.1 AS BIGINT) FROM m, q""")
 def _(spark, sf):
-    e = R.entities(spark, sf).select("ent_id", "v_nummer", "hybrid", "derivat", "c_acctbal")
-    df = validate_table(e, ["v_nummer", "absent"], e.where(F.col("ent_id") % 2 == 0))
+    cols = ["ent_id", "v_nummer", "hybrid", "derivat", "c_acctbal"]
+    e = R.entities(spark, sf)
+    before = e.where(F.col("sop") < F.lit(R.AS_OF).cast("timestamp")).select(*cols)
+    df = validate_table(e.select(*cols), ["v_nummer", "absent"], before)
     return df.withColumn("value", r6("value"))

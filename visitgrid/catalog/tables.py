@@ -94,8 +94,7 @@ def _(spark, sf):
 
 
 @query("nearest_month_join", f"""WITH {R.ENTITIES_SQL},
-fc AS (SELECT date_trunc('month',o_orderdate)::TIMESTAMP AS month, round(avg(o_totalprice),4) AS value FROM orders
-  WHERE month(o_orderdate)%2=1 AND o_orderdate>=TIMESTAMP '2000-06-01' GROUP BY 1),
+fc AS (SELECT date_trunc('quarter',o_orderdate)::TIMESTAMP AS month, round(avg(o_totalprice),4) AS value FROM orders GROUP BY 1),
 p AS (SELECT ent_id, value, row_number() OVER (PARTITION BY ent_id ORDER BY
     abs(date_diff('month', month, date_trunc('month',rueckgabe_soll))), month DESC) AS rn
   FROM ent, fc WHERE rueckgabe_soll IS NOT NULL)
@@ -103,8 +102,7 @@ SELECT ent.ent_id, round(coalesce(value,(SELECT avg(value) FROM fc)),6) AS ts_va
 FROM ent LEFT JOIN (SELECT * FROM p WHERE rn=1) p ON ent.ent_id=p.ent_id""")
 def _(spark, sf):
     fc = (R.table(spark, sf, "orders")
-          .where((F.month("o_orderdate") % 2 == 1) & (F.col("o_orderdate") >= F.lit("2000-06-01").cast("timestamp")))
-          .groupBy(F.date_trunc("month", "o_orderdate").alias("month"))
+          .groupBy(F.date_trunc("quarter", "o_orderdate").alias("month"))
           .agg(F.round(F.avg("o_totalprice"), 4).alias("value")))
     df = J.nearest_month_value(R.entities(spark, sf), "rueckgabe_soll", fc)
     return df.select("ent_id", r6("ts_value").alias("ts_value"))
@@ -141,11 +139,12 @@ def _(spark, sf):
     return J.union_history_forecast(hist, fc, ["v_nummer", "umr_status", "umr_art", "prob_coming"])
 
 
-@query("exclude_known_types", """WITH k AS (SELECT DISTINCT p_type FROM part WHERE p_size<=3 AND p_retailprice<1000)
+@query("exclude_known_types", """WITH k AS (SELECT p_type FROM part GROUP BY 1 HAVING avg(p_retailprice)>(SELECT avg(p_retailprice) FROM part))
 SELECT p_partkey, p_type FROM part WHERE p_type NOT IN (SELECT p_type FROM k) OR p_type IS NULL""")
 def _(spark, sf):
     p = R.table(spark, sf, "part")
-    known = p.where((F.col("p_size") <= 3) & (F.col("p_retailprice") < 1000))
+    mean = p.agg(F.avg("p_retailprice")).scalar()
+    known = p.groupBy("p_type").agg(F.avg("p_retailprice").alias("m")).where(F.col("m") > mean)
     return J.split_known(p, "p_type", known, "p_type")[1].select("p_partkey", "p_type")
 
 

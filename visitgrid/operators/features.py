@@ -58,19 +58,33 @@ def _long_categories(df: DataFrame, cat, keep=()) -> DataFrame:
     return df.select(*keep, F.inline(rows)).where(F.col("value").isNotNull())
 
 
+# Feature name of the one row that holds the mean over all train rows.
+ALL_ROWS = "*"
+
+
 def fit_target_means(train: DataFrame, cat, y: str, smoothing: float | None = None) -> DataFrame:
     """(feature, value, enc): mean target per category, optionally shrunk by n / (n + smoothing).
 
-    One pass over the train rows for all columns, written once as the fitted table.
+    One pass over the train rows for all columns and the global mean (feature ``ALL_ROWS``),
+    written once as the fitted table.
     """
-    stats = (_long_categories(train, cat, [F.col(y).cast("double").alias("__y")])
-             .groupBy("feature", "value").agg(F.avg("__y").alias("m"), F.count("__y").alias("n")))
+    rows = F.array(F.struct(F.lit(ALL_ROWS).alias("feature"), F.lit("").alias("value")),
+                   *[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in cat])
+    long = train.select(F.col(y).cast("double").alias("__y"), F.inline(rows)).where(F.col("value").isNotNull())
+    stats = materialize(long.groupBy("feature", "value").agg(
+        F.avg("__y").alias("m"), F.count("__y").alias("n")))
     if smoothing is None:
-        return materialize(stats.select("feature", "value", F.col("m").alias("enc")))
-    g = train.agg(F.avg(F.col(y).cast("double"))).scalar()
+        return stats.select("feature", "value", F.col("m").alias("enc"))
+    g = F.lit(global_mean(stats.withColumnRenamed("m", "enc")))
     w = F.col("n") / (F.col("n") + F.lit(float(smoothing)))
-    enc = w * F.col("m") + (F.lit(1.0) - w) * g
-    return materialize(stats.select("feature", "value", enc.alias("enc")))
+    enc = F.when(F.col("feature") == ALL_ROWS, F.col("m")).otherwise(w * F.col("m") + (F.lit(1.0) - w) * g)
+    return stats.select("feature", "value", enc.alias("enc"))
+
+
+def global_mean(table: DataFrame) -> float | None:
+    """Mean target of all train rows from a fitted table."""
+    row = table.where(F.col("feature") == ALL_ROWS).select("enc").first()
+    return None if row is None else row["enc"]
 
 
 def apply_encoding(df: DataFrame, table: DataFrame, column: str, out: str, value: str, default) -> DataFrame:
@@ -83,9 +97,8 @@ def target_encode(df: DataFrame, cat: Iterable[str], y: str, split="split",
                   smoothing: float | None = None, suffix="") -> DataFrame:
     """Replace (or suffix) categories by train means; unseen gives the global train mean."""
     cat = list(cat)
-    train = df.where(F.col(split) == "train")
-    g = train.agg(F.avg(F.col(y).cast("double"))).first()[0]
-    table = fit_target_means(train, cat, y, smoothing)
+    table = fit_target_means(df.where(F.col(split) == "train"), cat, y, smoothing)
+    g = global_mean(table)
     for c in cat:
         df = apply_encoding(df, table, c, c + suffix, "enc", g)
     return df
@@ -112,11 +125,13 @@ def frequency_encode(df: DataFrame, cat: Iterable[str], split="split") -> DataFr
 def group_target_stats(df: DataFrame, y: str, type_col: str, derivat_col: str | None = None,
                        split="split") -> DataFrame:
     """Train-only median and count of the target per type (and median per derivat)."""
-    train = df.where(F.col(split) == "train")
-    overall = exact_quantiles(train, [], y, {"m": 0.5}).first()
+    train = df.where((F.col(split) == "train") & F.col(y).isNotNull())
+    # one pass: counted (type, value) cells give every statistic of the type
+    cells = materialize(train.groupBy(type_col, y).agg(F.count(F.lit(1)).alias("__w")))
+    overall = exact_quantiles(cells, [], y, {"m": 0.5}, weight="__w").first()
     overall = overall[0] if overall else None
-    med = exact_quantiles(train, [type_col], y, {"m": 0.5})
-    cnt = train.groupBy(type_col).agg(F.count(y).alias("n"))
+    med = exact_quantiles(cells, [type_col], y, {"m": 0.5}, weight="__w")
+    cnt = cells.groupBy(type_col).agg(F.sum("__w").alias("n"))
     stats = materialize(med.join(cnt, type_col))
     out = df.join(stats.select(F.col(type_col).alias("__k"), F.col("m").alias("__m"), "n"),
                   F.col(type_col) == F.col("__k"), "left").select(

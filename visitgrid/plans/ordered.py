@@ -114,12 +114,14 @@ def prefix_sums(cells: DataFrame, keys, value: str, sums, descending=False,
 
 
 def exact_quantiles(df: DataFrame, keys, value: str, probs: dict[str, float],
-                    window_cells: int | None = None) -> DataFrame:
+                    window_cells: int | None = None, weight: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation, one output column per entry of ``probs``.
 
     Ranks come from running counts over distinct values, so no task holds a whole key.
+    ``weight``: rows are already counted cells.
     """
-    cells = value_cells(df.where(F.col(value).isNotNull()), keys, value, __cnt=F.lit(1))
+    w = F.lit(1) if weight is None else F.col(weight)
+    cells = value_cells(df.where(F.col(value).isNotNull()), keys, value, __cnt=w)
     ranked = prefix_sums(cells, keys, value, ["__cnt"], window_cells=window_cells)
     lo_rank = F.col("cum___cnt") - F.col("__cnt")
     aggs = []

@@ -192,13 +192,14 @@ def durations(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("id"),
         F.concat("l_returnflag", F.lit("/"), "l_linestatus").alias("type"),
+        F.col("l_partkey").alias("part"),
         F.when(md5_int("l_orderkey") % 100 < 20, F.lit("test")).otherwise(F.lit("train"))
         .alias("split"), y.alias("y"), yhat.alias("yhat"),
         F.round(F.col("l_tax") * 300 + days * 0.2, 2).alias("yhat2"))
 
 
 DURATIONS_SQL = f"""
-du AS (SELECT l_orderkey AS id, l_returnflag||'/'||l_linestatus AS type,
+du AS (SELECT l_orderkey AS id, l_returnflag||'/'||l_linestatus AS type, l_partkey AS part,
   CASE WHEN {MD5.format('l_orderkey')}%100<20 THEN 'test' ELSE 'train' END AS split,
   round(l_quantity*0.8+d*0.3,2) AS y, round(l_quantity*0.7+10.0+l_discount*20,2) AS yhat,
   round(l_tax*300+d*0.2,2) AS yhat2
