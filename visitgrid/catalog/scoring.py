@@ -172,7 +172,7 @@ def _(spark, sf):
 DU_SQL = f"""{TK_SQL}, {FACT_SQL},
 tg AS (SELECT {TYPE_GROUP_SQL} AS type_group, quantile_cont({DUR},0.5)::DOUBLE AS type_median FROM cl WHERE {DUR}>=0 AND {TYPE_GROUP_SQL} IS NOT NULL GROUP BY 1),
 om AS (SELECT quantile_cont({DUR},0.5)::DOUBLE AS m FROM cl WHERE {DUR}>=0),
-fcv AS (SELECT date_trunc('month',umr_start)::TIMESTAMP AS month, round(avg(cost)/1000,4) AS value FROM cl GROUP BY 1),
+fcv AS (SELECT date_trunc('month',umr_start)::TIMESTAMP AS month, sum(floor(cost))/count(*)/1000 AS value FROM cl GROUP BY 1),
 nm AS (SELECT ent_id, value FROM (SELECT ent_id, value, row_number() OVER (PARTITION BY ent_id ORDER BY
     abs(date_diff('month', month, date_trunc('month',rueckgabe_soll))), month DESC) AS rn FROM kk, fcv WHERE rueckgabe_soll IS NOT NULL) WHERE rn=1),
 du AS (SELECT mp.*, {R.MD5.format("mp.ent_id||cls||'d'")}%400/10.0::DOUBLE AS dur_model, type_median, coalesce(nm.value,(SELECT avg(value) FROM fcv)) AS dur_ts
@@ -189,7 +189,7 @@ def with_durations(st):
     df = A.with_type_group(visits_kept(st), mapping, "cls")
     df = df.withColumn("dur_model", md5_int(F.concat("ent_id", "cls", F.lit("d"))) % 400 / F.lit(10.0))
     df = FE.lookup(df, med, "type_group", "type_group", "type_median", "type_median", F.lit(None).cast("double"))
-    fc = (v.groupBy(F.date_trunc("month", "umr_start").alias("month")).agg(F.round(F.avg("cost") / 1000, 4).alias("value")))
+    fc = (v.groupBy(F.date_trunc("month", "umr_start").alias("month")).agg((F.sum(F.floor("cost")) / F.count(F.lit(1)) / 1000).alias("value")))
     return J.nearest_month_value(df, "rueckgabe_soll", fc, out="dur_ts"), overall
 
 

@@ -94,7 +94,7 @@ def _(spark, sf):
 
 
 @query("nearest_month_join", f"""WITH {R.ENTITIES_SQL},
-fc AS (SELECT date_trunc('quarter',o_orderdate)::TIMESTAMP AS month, round(avg(o_totalprice),4) AS value FROM orders GROUP BY 1),
+fc AS (SELECT date_trunc('quarter',o_orderdate)::TIMESTAMP AS month, sum(floor(o_totalprice))/count(*) AS value FROM orders GROUP BY 1),
 p AS (SELECT ent_id, value, row_number() OVER (PARTITION BY ent_id ORDER BY
     abs(date_diff('month', month, date_trunc('month',rueckgabe_soll))), month DESC) AS rn
   FROM ent, fc WHERE rueckgabe_soll IS NOT NULL)
@@ -103,7 +103,7 @@ FROM ent LEFT JOIN (SELECT * FROM p WHERE rn=1) p ON ent.ent_id=p.ent_id""")
 def _(spark, sf):
     fc = (R.table(spark, sf, "orders")
           .groupBy(F.date_trunc("quarter", "o_orderdate").alias("month"))
-          .agg(F.round(F.avg("o_totalprice"), 4).alias("value")))
+          .agg((F.sum(F.floor("o_totalprice")) / F.count(F.lit(1))).alias("value")))
     df = J.nearest_month_value(R.entities(spark, sf), "rueckgabe_soll", fc)
     return df.select("ent_id", r6("ts_value").alias("ts_value"))
 
@@ -364,13 +364,13 @@ TYPE_GROUP_SQL = "CASE WHEN contains(umr_art,'R') THEN 'with R' WHEN contains(um
 
 
 @query("type_group_mapping", f"""WITH {R.CLEAN_SQL} SELECT {TYPE_GROUP_SQL} AS type_group,
-  quantile_cont(cost,0.5) AS median, round(avg(cost),4) AS mean, count(*) AS count
+  quantile_cont(cost,0.5) AS median, round(sum(cost),2) AS total, count(*) AS count
 FROM cl WHERE umr_status='Completed' AND {TYPE_GROUP_SQL} IS NOT NULL GROUP BY 1""")
 def _(spark, sf):
     v = cleaned(spark, sf)
     done = v.where(F.col("umr_status") == C.COMPLETED)
     df = A.type_stats(A.with_type_group(done, type_mapping(v)), "type_group", "cost")
-    return df.select("type_group", "median", F.round("mean", 4).alias("mean"), "count")
+    return df.select("type_group", "median", F.round(F.col("mean") * F.col("count"), 2).alias("total"), "count")
 
 
 @query("visit_stats", f"""WITH {JOINED_SQL}, p AS (SELECT jk, count(*) AS n FROM dm GROUP BY 1)
@@ -394,10 +394,10 @@ def _(spark, sf):
 
 
 @query("monthly_series", f"""WITH {R.CLEAN_SQL} SELECT {sql_month('umr_start')} AS month, count(*) AS n,
-  round(avg(cost),4) AS mean_target FROM cl WHERE cost IS NOT NULL GROUP BY 1""")
+  round(sum(cost),2) AS total FROM cl WHERE cost IS NOT NULL GROUP BY 1""")
 def _(spark, sf):
     df = A.monthly_series(cleaned(spark, sf), "cost")
-    return df.select(day("month", "yyyy-MM").alias("month"), "n", F.round("mean_target", 4).alias("mean_target"))
+    return df.select(day("month", "yyyy-MM").alias("month"), "n", F.round(F.col("mean_target") * F.col("n"), 2).alias("total"))
 
 
 @query("class_feature_summary", """

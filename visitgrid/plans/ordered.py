@@ -11,7 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Up to this many cells in all, a plain window per key is the cheaper exact plan.
@@ -37,21 +37,11 @@ def materialize(df: DataFrame) -> DataFrame:
 
     Cuts the lineage, survives lost executors, and gives later joins its measured size.
     """
-    return _write(df)
-
-
-def _write(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _write_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """Like ``materialize``, with the number of rows written (no extra job)."""
-    seen = Observation()
-    return _write(df.observe(seen, F.count(F.lit(1)).alias("n"))), seen.get["n"]
-
-
 def value_cells(df: DataFrame, keys, value, **sums) -> DataFrame:
     """One row per (keys, value) with the given sums; combines map-side before the shuffle."""
     aggs = [F.sum(c).alias(n) for n, c in sums.items()] or [F.count(F.lit(1)).alias("n")]
@@ -74,10 +64,10 @@ def prefix_sums(cells: DataFrame, keys, value: str, sums, descending=False,
     """
     limit = WINDOW_CELLS if window_cells is None else window_cells
     keys, sums = list(keys), list(sums)
-    cells, n_cells = _write_counted(cells)
+    cells = materialize(cells)
     order = F.col(value).desc() if descending else F.col(value).asc()
     key_cols = [F.col(k) for k in keys]
-    if n_cells <= limit:
+    if cells.count() <= limit:  # read from the file footers
         run = Window.partitionBy(*key_cols).orderBy(order).rowsBetween(
             Window.unboundedPreceding, Window.currentRow)
         whole = Window.partitionBy(*key_cols)

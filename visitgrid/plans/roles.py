@@ -224,15 +224,15 @@ wp AS (SELECT l_orderkey AS id, string_agg(DISTINCT p_type, ', ' ORDER BY p_type
 
 
 def monthly(spark: SparkSession, sf: str) -> DataFrame:
-    """Monthly count and mean of the order price per priority."""
+    """Monthly count and mean of the whole-unit order price per priority."""
     return (table(spark, sf, "orders")
             .groupBy(F.col("o_orderpriority").alias("series_id"),
                      F.date_trunc("month", "o_orderdate").alias("month"))
             .agg(F.count(F.lit(1)).alias("n"),
-                 F.round(F.avg("o_totalprice"), 4).alias("y")))
+                 (F.sum(F.floor("o_totalprice")) / F.count(F.lit(1))).alias("y")))
 
 
 MONTHLY_SQL = """
 mo AS (SELECT o_orderpriority AS series_id, date_trunc('month', o_orderdate)::TIMESTAMP AS month,
-  count(*) AS n, round(avg(o_totalprice),4) AS y FROM orders GROUP BY 1,2)
+  count(*) AS n, sum(floor(o_totalprice))/count(*) AS y FROM orders GROUP BY 1,2)
 """
