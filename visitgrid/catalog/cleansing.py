@@ -69,9 +69,9 @@ def _(spark, sf):
 
 
 @query("calendar_parts", """
-SELECT o_orderkey, month(o_orderdate) AS month, quarter(o_orderdate) AS quarter,
-  year(o_orderdate) AS year, isodow(o_orderdate)-1 AS day_of_week,
-  weekofyear(o_orderdate) AS week_of_year FROM orders""")
+SELECT o_orderkey, month(o_orderdate)::INTEGER AS month, quarter(o_orderdate)::INTEGER AS quarter,
+  year(o_orderdate)::INTEGER AS year, (isodow(o_orderdate)-1)::INTEGER AS day_of_week,
+  weekofyear(o_orderdate)::INTEGER AS week_of_year FROM orders""")
 def _(spark, sf):
     o = R.table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
     return K.calendar_parts(o, "o_orderdate").drop("o_orderdate")
@@ -332,9 +332,9 @@ def _(spark, sf):
 
 
 @query("parse_number_list", """
-SELECT event_id, CASE WHEN event_id%4=3 AND event_id%8<>3 THEN NULL ELSE k+0.5 END AS v1,
+SELECT event_id, CASE WHEN event_id%4=3 AND event_id%8<>3 THEN NULL ELSE (k+0.5)::DOUBLE END AS v1,
   CASE WHEN event_id%4=3 AND event_id%8<>3 THEN NULL ELSE (k+1)::DOUBLE END AS v2,
-  CASE WHEN event_id%4=3 AND event_id%8<>3 THEN NULL ELSE 7.0 END AS v3
+  CASE WHEN event_id%4=3 AND event_id%8<>3 THEN NULL ELSE 7.0::DOUBLE END AS v3
 FROM (SELECT event_id, CAST(json_extract(props,'$.k') AS BIGINT) AS k FROM events)""")
 def _(spark, sf):
     df = _answers(spark, sf)

@@ -77,7 +77,7 @@ _CAL = " ".join(f"WHEN p>={_EDGES[i]!r}::DOUBLE AND p<{'=' if i == 9 else ''}{_E
 
 
 @query("calibration_table", f"""WITH {LONG_SQL}, b AS (SELECT model, y, p, CASE {_CAL} END AS bin FROM lg)
-SELECT model, bin, count(*) AS n, round(avg(p),6) AS mean_pred, round(avg(y),6) AS actual_rate, round(abs(avg(p)-avg(y)),6) AS gap
+SELECT model, bin::BIGINT AS bin, count(*) AS n, round(avg(p),6) AS mean_pred, round(avg(y),6) AS actual_rate, round(abs(avg(p)-avg(y)),6) AS gap
 FROM b WHERE bin IS NOT NULL GROUP BY 1,2""")
 def _(spark, sf):
     df = E.calibration_table(long_scores(spark, sf), "y", "p", keys=["model"])

@@ -73,10 +73,10 @@ kk AS (SELECT wl.*, ceil(coalesce(mean_visits,(SELECT avg(n)/2.5 FROM pv)))::BIG
 
 
 def with_k(st):
-    j = st.joined
-    means = (A.visits_per_category(j, "derivat_clean", "jk").where(F.col("derivat_clean") != "UNKNOWN")
-             .withColumn("mean_visits", F.col("mean_visits") / 2.5))
-    g = j.groupBy("jk").agg(F.count(F.lit(1)).alias("n")).agg(F.avg("n") / 2.5).scalar()
+    per = materialize(A.visits_per_entity(st.joined, "derivat_clean", "jk"))
+    means = A.mean_visits_per_category(per, "derivat_clean").where(F.col("derivat_clean") != "UNKNOWN")
+    means = means.withColumn("mean_visits", F.col("mean_visits") / 2.5)
+    g = per.agg(F.avg("total") / 2.5).scalar()
     return FC.k_per_entity(will_come(st), "derivat_clean", means, g)
 
 
@@ -258,7 +258,7 @@ def calibrated(st):
     return FC.row_calibration(df, factors(st), "cls", "pr")
 
 
-@query("row_calibration", f"WITH {CAL_SQL} SELECT ent_id, cls, visit_number, copy FROM rc")
+@query("row_calibration", f"WITH {CAL_SQL} SELECT ent_id, cls, visit_number, copy::BIGINT AS copy FROM rc")
 def _(spark, sf):
     st = Stages(spark, sf)
     return calibrated(st).select("ent_id", "cls", "visit_number", "copy")

@@ -206,11 +206,19 @@ def visit_distribution(df: DataFrame, key=C.JOIN_KEY) -> DataFrame:
     return per.groupBy("visits").agg(_one().alias("entities"))
 
 
+def visits_per_entity(df: DataFrame, category: str, key=C.JOIN_KEY) -> DataFrame:
+    """(key, category, total): an entity's visits, under its first category by name."""
+    return (df.where(F.col(key).isNotNull() & F.col(category).isNotNull())
+            .groupBy(key).agg(F.min(category).alias(category), _one().alias("total")))
+
+
+def mean_visits_per_category(per_entity: DataFrame, category: str) -> DataFrame:
+    return per_entity.groupBy(category).agg(F.avg("total").alias("mean_visits"))
+
+
 def visits_per_category(df: DataFrame, category: str, key=C.JOIN_KEY) -> DataFrame:
     """Mean total visits per category; an entity counts for its first category by name."""
-    per = (df.where(F.col(key).isNotNull() & F.col(category).isNotNull())
-           .groupBy(key).agg(F.min(category).alias(category), _one().alias("__total")))
-    return per.groupBy(category).agg(F.avg("__total").alias("mean_visits"))
+    return mean_visits_per_category(visits_per_entity(df, category, key), category)
 
 
 def monthly_series(df: DataFrame, target: str, date=C.START, by=(), fill_gaps=False) -> DataFrame:

@@ -152,7 +152,7 @@ MD5 = "CAST('0x'||substr(md5(CAST({} AS VARCHAR)),1,8) AS BIGINT)"
 SCORED_SQL = f"""
 sc AS (
   SELECT id, y, round((m+0.35*y)/1.35,3) AS p, ((m2+2000*y)//12)/1000.0::DOUBLE AS p2 FROM (
-    SELECT o_orderkey AS id, CASE WHEN o_orderstatus='F' THEN 1 ELSE 0 END AS y,
+    SELECT o_orderkey AS id, CASE WHEN o_orderstatus='F' THEN 1::BIGINT ELSE 0 END AS y,
       {MD5.format('o_orderkey')}%10000/10000.0::DOUBLE AS m,
       {MD5.format("o_orderkey||'b'")}%10000 AS m2 FROM orders))
 """
