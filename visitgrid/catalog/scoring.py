@@ -10,11 +10,9 @@ from visitgrid.catalog.tables import GAPS_SQL, LABELLED_SQL, TYPE_GROUP_SQL, sql
 from visitgrid.functions.core import floor_days, md5_int, r6
 from visitgrid.operators import aggregates as A
 from visitgrid.operators import cleanse as K
-from visitgrid.operators import evaluate as E
 from visitgrid.operators import features as FE
 from visitgrid.operators import forecast as FC
 from visitgrid.operators import joins as J
-from visitgrid.operators import series as TS
 from visitgrid.plans import roles as R
 from visitgrid.plans.ordered import discrete_quantiles, materialize
 

@@ -104,8 +104,6 @@ def outlier_impact(df: DataFrame, y: str, yhat: str, pcts=OUTLIER_PCTS) -> DataF
 def min_support_regression(df: DataFrame, y: str, yhat: str, support="support",
                            thresholds=E.SUPPORT_THRESHOLDS) -> DataFrame:
     """Regression metrics on rows whose type has enough training rows, per threshold."""
-    t = F.explode(F.filter(F.array(*[F.lit(x) for x in thresholds]),
-                           lambda x: x <= F.col(support))).cast("long")
     rows = df.select(y, yhat, F.explode(F.filter(
         F.array(*[F.lit(x).cast("long") for x in thresholds]),
         lambda x: x <= F.col(support))).alias("min_support"))
