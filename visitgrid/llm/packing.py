@@ -17,13 +17,15 @@ import zlib
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_LENGTH = 1024
 END_ID = 0
+#: Documents per output batch.
+STEP = 256
 #: Fixed value: how this vocabulary splits text before its merges.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -74,20 +76,25 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def run(batches):
         number = TaskContext.get().partitionId() << 33
         for b in batches:
-            for lo in range(0, len(b), 256):
-                out = []
-                for doc, text in zip(b["doc_id"].iloc[lo:lo + 256], b["text"].iloc[lo:lo + 256]):
-                    ids, start = token_ids(text, path), 0
+            texts = b.column("text").to_pylist()
+            for lo in range(0, len(texts), STEP):
+                at, out, held = [], [], []
+                for i in range(lo, min(lo + STEP, len(texts))):
+                    ids, start = token_ids(texts[i], path), 0
                     for length in cuts(len(ids), longest):
                         part = ids[start:start + length]
-                        out.append((doc, start, length, zlib.crc32(part.tobytes()), len(ids), number, 0,
-                                    *([part.astype(np.int32)] if with_ids else [])))
+                        at.append(i)
+                        out.append((start, length, zlib.crc32(part.tobytes()), len(ids), number, 0))
+                        held.append(part.astype(np.int32) if with_ids else None)
                         start += length
                         number += 1
-                out = pd.DataFrame(out, columns=[*names, *(["ids"] if with_ids else [])])
-                if b["doc_id"].isna().any():  # whole ids stay whole beside nulls
-                    out["doc_id"] = out["doc_id"].astype("Int64" if kind.endswith("int") else object)
-                yield out
+                cols = [b.column("doc_id").take(pa.array(at, pa.int64())),
+                        *(pa.array(x, pa.int64()) for x in np.array(out, dtype=np.int64).reshape(-1, 6).T)]
+                if with_ids:
+                    ends = np.cumsum([0, *map(len, held)]).astype(np.int32)
+                    flat = np.concatenate(held) if held else np.empty(0, np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+                yield pa.RecordBatch.from_arrays(cols, names=[*names, *(["ids"] if with_ids else [])])
 
     schema = f"doc_id {kind}, " + ", ".join(f"{c} long" for c in names[1:]) + (", ids array<int>" if with_ids else "")
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, schema)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from operator import eq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +33,7 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 RATES = {
     "symbol_rate": ("n_symbols", "n_words", 100, False),
     "dup_line_rate": ("n_dup_lines", "n_lines", 500, False),
-    "repeat_rate": ("n_repeat_words", "n_words", 250, False),
+    "repeat_rate": ("n_repeat_words", "n_words", 300, False),
     "echo_rate": ("n_echo_words", "n_words", 200, False),
     "mean_chars": ("word_chars", "n_words", 1500, True),
 }
@@ -84,13 +84,15 @@ def measured(docs: DataFrame, keep=()) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            m = np.array([measures(t) for t in b["text"]], dtype=np.int64).reshape(-1, len(MEASURES))
-            yield pd.concat([b[[*keep]].reset_index(drop=True), pd.DataFrame(m, columns=[*MEASURES])], axis=1)
+            m = np.array([measures(t) for t in b.column("text").to_pylist()], dtype=np.int64)
+            m = m.reshape(-1, len(MEASURES))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(x) for x in m.T)],
+                                             names=[*keep, *MEASURES])
 
     docs = docs.select(*cols)
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{c} long" for c in MEASURES)])
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def base_failed() -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from visitgrid.llm import packing, quality
+from visitgrid.llm import language, packing, quality, warc
 from visitgrid.llm.common import table
 
 QUERIES: dict = {}
@@ -23,6 +23,16 @@ def op5(spark, sf_dir):
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+@query("op6_warc", warc.SQL)
+def op6(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op7_language_id")
+def op7(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 @query("op8_packing")
 def op8(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"))
