@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from visitgrid.llm import language, packing, quality, warc
+from visitgrid.llm import language, packing, quality, toxicity, warc
 from visitgrid.llm.common import table
 
 QUERIES: dict = {}
@@ -18,6 +18,11 @@ def query(name, sql=None):
     return register
 
 
+@query("op4_toxicity")
+def op4(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op5_quality_rules")
 def op5(spark, sf_dir):
     return quality.quality_rules(table(spark, sf_dir, "documents"))
