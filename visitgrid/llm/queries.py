@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from visitgrid.llm import language, packing, quality, toxicity, warc
+from visitgrid.llm import jaccard, language, packing, quality, toxicity, warc
 from visitgrid.llm.common import table
 
 QUERIES: dict = {}
@@ -41,3 +41,8 @@ def op7(spark, sf_dir):
 @query("op8_packing")
 def op8(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"))
+
+
+@query("op10_jaccard_join")
+def op10(spark, sf_dir):
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
