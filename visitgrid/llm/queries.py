@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from visitgrid.llm import jaccard, language, packing, quality, toxicity, warc
+from visitgrid.llm import jaccard, language, packing, quality, secrets, toxicity, warc
 from visitgrid.llm.common import table
 
 QUERIES: dict = {}
@@ -18,6 +18,11 @@ def query(name, sql=None):
     return register
 
 
+@query("op1_secret_scan")
+def op1(spark, sf_dir):
+    return secrets.secret_scan(table(spark, sf_dir, "documents"))
+
+
 @query("op4_toxicity")
 def op4(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
