@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from visitgrid.llm.common import held_out
 
 #: Bound of the labelled documents learned from.
-SAMPLE = 8000
+SAMPLE = 5000
 #: A feature enters the model from this many sampled documents on.
 MIN_DOCS = 5
 #: ... whose classes differ from chance by this many standard deviations.
