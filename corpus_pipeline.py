@@ -1,9 +1,10 @@
-"""The corpus pipeline: documents through quality rules to packed sequences."""
+"""The corpus pipeline: documents through quality rules, near-duplicate removal, benchmark
+decontamination and secret scans to packed sequences. Counted as part of ``visitgrid.llm``."""
 
 from __future__ import annotations
 
-from visitgrid.llm import packing, quality
-from visitgrid.llm.common import table
+from visitgrid.llm import decontam, jaccard, packing, quality, secrets
+from visitgrid.llm.common import DOCUMENT_COLUMNS, table
 from visitgrid.plans.ordered import materialize
 
 
@@ -12,14 +13,30 @@ def quality_stage(spark, docs, sf_dir):
     return quality.keep_good(docs)
 
 
+def near_duplicate_stage(spark, docs, sf_dir):
+    """Of each group of linked documents the one with the smallest id stays."""
+    return jaccard.keep_one(docs)
+
+
+def decontamination_stage(spark, docs, sf_dir):
+    """Documents that hold a benchmark item go."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets_stage(spark, docs, sf_dir):
+    """Every document stays; its secrets are replaced by a mark."""
+    return secrets.redacted(docs, DOCUMENT_COLUMNS)
+
+
 def packing_stage(spark, docs, sf_dir):
     """Every document in pieces of power-of-two lengths, with their ids."""
     return packing.packed(docs, with_ids=True)
 
 
-STAGES = [("quality_rules", quality_stage), ("packing", packing_stage)]
+STAGES = [("quality_rules", quality_stage), ("jaccard_join", near_duplicate_stage),
+          ("decontamination", decontamination_stage), ("secret_scan", secrets_stage), ("packing", packing_stage)]
 
-#: Stages run Python code that SQL cannot express; tests hold them against brute force.
+#: Markov scores and byte-pair merges have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

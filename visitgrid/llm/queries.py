@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from visitgrid.llm import jaccard, language, packing, quality, secrets, toxicity, warc
+from visitgrid.llm import decontam, jaccard, language, packing, quality, secrets, toxicity, warc
 from visitgrid.llm.common import table
 
 QUERIES: dict = {}
@@ -23,6 +23,11 @@ def op1(spark, sf_dir):
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
 
+@query("op2_decontamination")
+def op2(spark, sf_dir):
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op4_toxicity")
 def op4(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
