@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from visitgrid.llm import decontam, jaccard, language, packing, quality, secrets, toxicity, warc
+from visitgrid.llm import decontam, jaccard, language, lm, packing, quality, secrets, tokens, toxicity, warc
 from visitgrid.llm.common import table
 
 QUERIES: dict = {}
@@ -28,6 +28,11 @@ def op2(spark, sf_dir):
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op3_token_counts")
+def op3(spark, sf_dir):
+    return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
 @query("op4_toxicity")
 def op4(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -53,6 +58,11 @@ def op8(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+@query("op9_lm_scores")
+def op9(spark, sf_dir):
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 @query("op10_jaccard_join")
 def op10(spark, sf_dir):
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
