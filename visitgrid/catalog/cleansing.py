@@ -271,25 +271,35 @@ def _(spark, sf):
             .withColumn("lines", X.text_to_lines(F.col("text"))))
 
 
-@query("prompt_table", f"""WITH st AS (SELECT 'Training set: '||count(*)||' rows ('||
-    sum(CASE WHEN l_returnflag='R' THEN 1 ELSE 0 END)||' positive)' AS s FROM lineitem)
-SELECT l_orderkey, l_partkey, 'Predict the label.'||chr(10)||chr(10)||'=== DOMAIN CONTEXT ==='||chr(10)||'Order lines.'
-  ||chr(10)||chr(10)||'=== FEATURE DEFINITIONS ==='||chr(10)
-  ||'  • l_quantity: Numeric feature'||chr(10)||'  • flag_clean: Categorical feature ''flag'''
-  ||chr(10)||chr(10)||'=== TRAINING DATA STATISTICS ==='||chr(10)||(SELECT s FROM st)
-  ||chr(10)||chr(10)||'=== FEW-SHOT EXAMPLES ==='||chr(10)||'none'
-  ||chr(10)||chr(10)||'=== ROW TO CLASSIFY ==='||chr(10)
-  ||'  l_quantity = '||printf('%.4g',l_quantity)||chr(10)||'  flag_clean = '||l_returnflag
-  ||chr(10)||chr(10)||'=== INSTRUCTIONS ==='||chr(10)||'Answer as JSON.' AS prompt FROM lineitem""")
+_ROW_SQL = "'  l_quantity = '||printf('%.4g',l_quantity)||chr(10)||'  flag_clean = '||l_returnflag"
+
+
+@query("prompt_table", f"""WITH cs AS (SELECT string_agg(s, chr(10) ORDER BY c) AS s FROM (SELECT l_linestatus AS c,
+    l_linestatus||': '||count(*)||' rows, mean l_quantity '||CAST(CAST(round(avg(l_quantity),2) AS DECIMAL(18,2)) AS VARCHAR) AS s FROM lineitem GROUP BY 1)),
+fs AS (SELECT string_agg(s, chr(10) ORDER BY c) AS s FROM (SELECT l_linestatus AS c, l_linestatus||':'||chr(10)||{_ROW_SQL} AS s
+    FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_linestatus ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag)=1))
+SELECT l_orderkey, l_partkey, 'Name the line status.'||chr(10)||chr(10)||'[background]'||chr(10)||'Order lines of a trading company.'
+  ||chr(10)||chr(10)||'[columns]'||chr(10)||'- l_quantity: a measured number'||chr(10)||'- flag_clean: one of several named values'
+  ||chr(10)||chr(10)||'[classes seen so far]'||chr(10)||(SELECT s FROM cs)||chr(10)||chr(10)||'[one row of each class]'||chr(10)||(SELECT s FROM fs)
+  ||chr(10)||chr(10)||'[this row]'||chr(10)||{_ROW_SQL}||chr(10)||chr(10)||'[answer]'||chr(10)||'A JSON object.' AS prompt FROM lineitem""")
 def _(spark, sf):
-    df = (R.table(spark, sf, "lineitem")
-          .withColumn("flag_clean", F.col("l_returnflag")))
-    stats = df.agg(F.concat(F.lit("Training set: "), F.count(F.lit(1)), F.lit(" rows ("),
-                            F.count_if(F.col("l_returnflag") == "R"), F.lit(" positive)"))).scalar()
+    df = R.table(spark, sf, "lineitem").withColumn("flag_clean", F.col("l_returnflag"))
     cols = ["l_quantity", "flag_clean"]
-    prompt = X.assemble_prompt("Predict the label.", [
-        "Order lines.", X.feature_glossary(cols), stats, "none",
-        X.row_to_lines(df, cols), "Answer as JSON."])
+    mean = F.round(F.avg("l_quantity"), 2).cast("decimal(18,2)").cast("string")
+    line = F.concat("l_linestatus", F.lit(": "), F.count(F.lit(1)), F.lit(" rows, mean l_quantity "), mean)
+    stats = df.groupBy("l_linestatus").agg(line.alias("s"))
+    first = A.cap_per_class(df, "l_linestatus", ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag"], 1)
+    shown = first.select("l_linestatus", F.concat("l_linestatus", F.lit(":\n"), X.row_to_lines(df, cols)).alias("s"))
+
+    def lines(t):  # one line per class, in order
+        rows = F.sort_array(F.collect_list(F.struct("l_linestatus", "s")))
+        return t.agg(F.array_join(F.transform(rows, lambda r: r["s"]), "\n")).scalar()
+
+    prompt = X.assemble_prompt("Name the line status.", [
+        ("background", "Order lines of a trading company."),
+        ("columns", X.feature_glossary([("l_quantity", "number"), ("flag_clean", "category")])),
+        ("classes seen so far", lines(stats)), ("one row of each class", lines(shown)),
+        ("this row", X.row_to_lines(df, cols)), ("answer", "A JSON object.")])
     return df.select("l_orderkey", "l_partkey", prompt.alias("prompt"))
 
 

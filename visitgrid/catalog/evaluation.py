@@ -264,10 +264,10 @@ def _(spark, sf):
     return _mc_out(SG.winner_vs_all(binary_preds(spark, sf), "y", "m3", ["m1", "m2", "m3"]))
 
 
-_NB = 20
-_DRAW = "CAST('0x'||substr(md5((b//4)||'-'||id), (b%4)*8+1, 8) AS BIGINT)"
+_NB, _NB_MULTI = 2000, 1000
+_DRAW = S.draw("s", "b")
 _POIS = "+".join(f"(m>={c})::INT" for c in S.POISSON_LIMITS)
-BOOT_SQL = f"""{R.SCORED_SQL}, bw AS (SELECT b, y, p, {_POIS} AS w FROM (SELECT b, y, p, {_DRAW} AS m FROM sc, (SELECT unnest(range({_NB})) AS b))),
+BOOT_SQL = f"""{R.SCORED_SQL}, bw AS (SELECT b, y, p, {_POIS} AS w FROM (SELECT b, y, p, {_DRAW} AS m FROM (SELECT *, {R.MD5.format('id')} AS s FROM sc), (SELECT unnest(range({_NB})) AS b))),
 bc AS (SELECT b, p, sum(w*y) AS pos, sum(w*(1-y)) AS neg FROM bw WHERE w>0 GROUP BY 1,2),
 bu AS (SELECT *, sum(pos) OVER v AS tp, sum(neg) OVER v AS fp, sum(pos) OVER (PARTITION BY b) AS np, sum(neg) OVER (PARTITION BY b) AS nn
   FROM bc WINDOW v AS (PARTITION BY b ORDER BY p DESC)),
@@ -286,7 +286,7 @@ def _(spark, sf):
     return r(df, "std", "ci_lo", "ci_hi").drop("point")
 
 
-_MB = f"""{PREDS_SQL}, bw AS (SELECT b, y, pred, {_POIS} AS w FROM (SELECT b, y, pred, {_DRAW} AS m FROM mp, (SELECT unnest(range({_NB})) AS b))),
+_MB = f"""{PREDS_SQL}, bw AS (SELECT b, y, pred, {_POIS} AS w FROM (SELECT b, y, pred, {_DRAW} AS m FROM (SELECT *, {R.MD5.format('id')} AS s FROM mp), (SELECT unnest(range({_NB_MULTI})) AS b))),
 ce AS (SELECT b, y, pred, sum(w) AS n FROM bw WHERE w>0 GROUP BY ALL),
 sd AS (SELECT b, y AS class, n AS support, 0 AS np, CASE WHEN y=pred THEN n ELSE 0 END AS tp FROM ce UNION ALL SELECT b, pred, 0, n, 0 FROM ce),
 pf AS (SELECT b, class, sum(support) AS support, sum(tp) AS tp, coalesce(2*sum(tp)/nullif(sum(support)+sum(np),0),0) AS f1 FROM sd GROUP BY 1,2),
@@ -295,7 +295,7 @@ bm AS (SELECT b, sum(tp)/sum(support) AS accuracy, sum(f1*support)/sum(support)
 
 @query("bootstrap_multiclass", f"WITH {_MB} " + " UNION ALL ".join(_ci_sql(m) for m in ("accuracy", "f1_weighted", "f1_macro")))
 def _(spark, sf):
-    return r(SG.bootstrap_multiclass(class_preds(spark, sf), "id", "y", "pred", n_boot=_NB), "std", "ci_lo", "ci_hi")
+    return r(SG.bootstrap_multiclass(class_preds(spark, sf), "id", "y", "pred", n_boot=_NB_MULTI), "std", "ci_lo", "ci_hi")
 
 
 @query("compare_two_runs", f"""WITH {CELLS_SQL}, b2 AS (SELECT model, auc-CASE WHEN model='m1' THEN 0.01 ELSE -0.02 END AS auc FROM au)
@@ -386,10 +386,10 @@ def _(spark, sf):
 
 @query("error_by_type", f"""WITH {R.DURATIONS_SQL}, t AS (SELECT type, count(*) AS n_train FROM du WHERE split='train' GROUP BY 1)
 SELECT du.type, count(*) AS n_test, round(avg(abs(y-yhat)),6) AS mae, round(quantile_cont(abs(y-yhat),0.5),6) AS median_abs_error,
-  any_value(n_train) AS n_train FROM du JOIN t ON du.type=t.type WHERE split='test' GROUP BY 1 ORDER BY avg(abs(y-yhat)) DESC LIMIT 4""")
+  any_value(n_train) AS n_train FROM du JOIN t ON du.type=t.type WHERE split='test' GROUP BY 1 ORDER BY avg(abs(y-yhat)) DESC LIMIT 15""")
 def _(spark, sf):
     d = R.durations(spark, sf)
-    df = RG.error_by_type(d.where("split='test'"), d.where("split='train'"), "type", "y", "yhat", top=4)
+    df = RG.error_by_type(d.where("split='test'"), d.where("split='train'"), "type", "y", "yhat", top=15)
     return r(df, "mae", "median_abs_error")
 
 

@@ -124,14 +124,14 @@ def _(spark, sf):
 
 @query("cross_validate")
 def _(spark, sf):
-    df = M.cross_validate(train_table(spark, sf), "id", FEATURES, "y", kinds=("logreg",), k=3)
+    df = M.cross_validate(train_table(spark, sf), "id", FEATURES, "y", kinds=("logreg", "rf", "gbt"), k=3)
     return df.select("model", *[F.round(c, 4).alias(c) for c in ("cv_auc_mean", "cv_auc_std")])
 
 
 @query("hyperparameter_search")
 def _(spark, sf):
     tr, _ = parts(train_table(spark, sf))
-    df = M.hyperparameter_search(tr, "id", FEATURES, "y", "logreg", trials=3, k=2)
+    df = M.hyperparameter_search(tr, "id", FEATURES, "y", "logreg", trials=12, k=3)
     return df.select("trial", "params", F.round("score", 3).alias("score"))
 
 
@@ -167,7 +167,7 @@ def _(spark, sf):
 @query("partial_dependence")
 def _(spark, sf):
     tr, te = parts(train_table(spark, sf))
-    df = M.partial_dependence(M.fit_classifier(tr, FEATURES, "y", "logreg"), te, ["p", "price"], points=5)
+    df = M.partial_dependence(M.fit_classifier(tr, FEATURES, "y", "logreg"), te, FEATURES, points=10)
     return df.withColumns({"value": F.round("value", 4), "mean_p": F.round("mean_p", 3)})
 
 
@@ -180,7 +180,7 @@ def _(spark, sf):
 
 @query("learning_curve")
 def _(spark, sf):
-    df = M.learning_curve(train_table(spark, sf), "id", FEATURES, "y", k=2, shares=(0.3, 1.0))
+    df = M.learning_curve(train_table(spark, sf), "id", FEATURES, "y")
     return df.withColumns({"auc_mean": F.round("auc_mean", 3), "auc_std": F.round("auc_std", 3)})
 
 
@@ -188,7 +188,7 @@ def _(spark, sf):
 def _(spark, sf):
     tr, te = parts(reg_table(spark, sf))
     kinds = ["ridge", "rf"]
-    _, meta = M.stacking_oof(tr, "id", REG_FEATURES, "ly", kinds, k=2, task="reg")
+    _, meta = M.stacking_oof(tr, "id", REG_FEATURES, "ly", kinds, k=3, task="reg")
     bases = {k: M.fit_regressor(tr, REG_FEATURES, "ly", k) for k in kinds}
     s = M.stack_predict(bases, meta, te, "reg", "lp").select("y", RG.from_log(F.col("lp")).alias("p"))
     return RG.regression_metrics(s, "y", "p").select("n", *[F.round(c, 3).alias(c) for c in ("mae", "rmse", "r2")])
@@ -197,7 +197,7 @@ def _(spark, sf):
 @query("best_duration_predict")
 def _(spark, sf):
     tr, te = parts(reg_table(spark, sf))
-    pred, table = M.best_duration_model(tr, te, "id", REG_FEATURES, "ly", "y", kinds=("ridge", "lasso"), k=2)
+    pred, table = M.best_duration_model(tr, te, "id", REG_FEATURES, "ly", "y", kinds=("ridge", "lasso", "elastic"), k=3)
     return (pred.groupBy("chosen").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("days"), 2).alias("mean_days")))
 
 

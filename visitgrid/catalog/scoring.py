@@ -151,12 +151,20 @@ def _(spark, sf):
     return FC.max_visit(visits_kept(st), "jk").select("ent_id", "cls", "max_visit")
 
 
-FACT_SQL = f"fa AS (SELECT DISTINCT umr_art AS type, ({R.MD5.format('umr_art')}%300+20)/100.0::DOUBLE AS factor FROM cl WHERE umr_art<>'R')"
+EXP_CTES = """pt AS (SELECT trim(unnest(string_split(cls,','))) AS type, k*p AS e FROM pr),
+ex AS (SELECT type, sum(e) AS expected FROM pt GROUP BY 1),
+ac AS (SELECT type, count(*) AS count_actual FROM (SELECT trim(unnest(string_split(umr_art,','))) AS type FROM cl) GROUP BY 1),
+pd AS (SELECT type, count(*) AS count_predicted FROM (SELECT trim(unnest(string_split(cls,','))) AS type FROM mp) GROUP BY 1),
+pe AS (SELECT coalesce(ac.type,pd.type) AS type, coalesce(count_actual,0) AS count_actual, coalesce(count_predicted,0) AS count_predicted
+  FROM ac FULL JOIN pd ON ac.type=pd.type),
+cc AS (SELECT pe.*, coalesce(round_even(expected,0),0)::BIGINT AS count_expected FROM pe LEFT JOIN ex ON pe.type=ex.type)"""
+EXP_SQL = f"{TK_SQL}, {EXP_CTES}"
+FACT_SQL = f"{EXP_CTES}, fa AS (SELECT type, coalesce(round_even(count_actual::DOUBLE/nullif(count_predicted,0),3),1.0) AS factor FROM cc)"
 
 
 def factors(st):
-    return (st.cleaned.where(F.col("umr_art") != "R").select(F.col("umr_art").alias("type")).distinct()
-            .withColumn("factor", (md5_int("type") % 300 + 20) / F.lit(100.0)))
+    """Actual over predicted visits per type, from the backtest counts."""
+    return st.once("factors", lambda: FC.calibration_factors(counts(st)))
 
 
 @query("calibration_weight", f"WITH {TK_SQL}, {FACT_SQL} SELECT ent_id, cls, coalesce(factor,1.0) AS calibration_weight FROM mp LEFT JOIN fa ON cls=type")
@@ -177,6 +185,11 @@ du AS (SELECT mp.*, {R.MD5.format("mp.ent_id||cls||'d'")}%400/10.0::DOUBLE AS du
   FROM mp LEFT JOIN (SELECT DISTINCT umr_art, {TYPE_GROUP_SQL} AS type_group FROM cl) t ON cls=umr_art LEFT JOIN tg ON t.type_group=tg.type_group LEFT JOIN nm ON mp.ent_id=nm.ent_id)"""
 
 
+def modelled(st):
+    """Kept visits with the model's duration."""
+    return visits_kept(st).withColumn("dur_model", md5_int(F.concat("ent_id", "cls", F.lit("d"))) % 400 / F.lit(10.0))
+
+
 def with_durations(st):
     v = st.cleaned
     d = v.withColumn("d", floor_days("umr_av", "umr_start").cast("double")).where(F.col("d") >= 0)
@@ -184,8 +197,7 @@ def with_durations(st):
     med = discrete_quantiles(A.with_type_group(d, mapping).where(F.col("type_group").isNotNull()), ["type_group"],
                              "d", {"type_median": 0.5})
     overall = discrete_quantiles(d, [], "d", {"m": 0.5}).scalar()
-    df = A.with_type_group(visits_kept(st), mapping, "cls")
-    df = df.withColumn("dur_model", md5_int(F.concat("ent_id", "cls", F.lit("d"))) % 400 / F.lit(10.0))
+    df = A.with_type_group(modelled(st), mapping, "cls")
     df = FE.lookup(df, med, "type_group", "type_group", "type_median", "type_median", F.lit(None).cast("double"))
     fc = (v.groupBy(F.date_trunc("month", "umr_start").alias("month")).agg((F.sum(F.floor("cost")) / F.count(F.lit(1)) / 1000).alias("value")))
     return J.nearest_month_value(df, "rueckgabe_soll", fc, out="dur_ts"), overall
@@ -218,8 +230,7 @@ ho AS (SELECT *, date_trunc('month',estimated_start)::TIMESTAMP AS estimated_mon
 
 
 def dated(st):
-    df, _ = with_durations(st)
-    df = FC.anchor_date(df.withColumn("predicted_duration_days", F.col("dur_model")), R.AS_OF)
+    df = FC.anchor_date(modelled(st).withColumn("predicted_duration_days", F.col("dur_model")), R.AS_OF)
     every = materialize(A.visit_gaps(st.joined, "jk", extra=["derivat_clean"]))
     gaps = A.inter_visit_gap_by_category(None, "derivat_clean", gaps=every).where(F.col("derivat_clean") != "MACHINERY")
     g = A.inter_visit_gap(None, gaps=every).select("median_days").scalar()
@@ -288,8 +299,7 @@ def _(spark, sf):
   min(dur_model) AS min, max(dur_model) AS max, round(quantile_cont(dur_model,0.5),6) AS median FROM du GROUP BY 1""")
 def _(spark, sf):
     st = Stages(spark, sf)
-    df, _ = with_durations(st)
-    df = FC.duration_by_group(df, "cls", "dur_model")
+    df = FC.duration_by_group(st.once("modelled", lambda: modelled(st).select("cls", "dur_model")), "cls", "dur_model")
     return df.select("cls", "count", r6("mean").alias("mean"), r6("std").alias("std"), "min", "max", r6("median").alias("median"))
 
 
@@ -297,8 +307,7 @@ def _(spark, sf):
   round(quantile_cont(dur_model,0.25),6) AS q25, round(quantile_cont(dur_model,0.5),6) AS q50, round(quantile_cont(dur_model,0.75),6) AS q75 FROM du GROUP BY 1""")
 def _(spark, sf):
     st = Stages(spark, sf)
-    df, _ = with_durations(st)
-    df = FC.dashboard_totals(df, "cls", "dur_model")
+    df = FC.dashboard_totals(st.once("modelled", lambda: modelled(st).select("cls", "dur_model")), "cls", "dur_model")
     return df.select("cls", "n", *[r6(c).alias(c) for c in ("share_pct", "q25", "q50", "q75")])
 
 
@@ -333,15 +342,6 @@ def _(spark, sf):
 
 # -- backtest and export ------------------------------------------------------------
 
-EXP_SQL = f"""{TK_SQL}, pt AS (SELECT trim(unnest(string_split(cls,','))) AS type, k*p AS e FROM pr),
-ex AS (SELECT type, sum(e) AS expected FROM pt GROUP BY 1),
-ac AS (SELECT type, count(*) AS count_actual FROM (SELECT trim(unnest(string_split(umr_art,','))) AS type FROM cl) GROUP BY 1),
-pd AS (SELECT type, count(*) AS count_predicted FROM (SELECT trim(unnest(string_split(cls,','))) AS type FROM mp) GROUP BY 1),
-pe AS (SELECT coalesce(ac.type,pd.type) AS type, coalesce(count_actual,0) AS count_actual, coalesce(count_predicted,0) AS count_predicted
-  FROM ac FULL JOIN pd ON ac.type=pd.type),
-cc AS (SELECT pe.*, coalesce(round_even(expected,0),0)::BIGINT AS count_expected FROM pe LEFT JOIN ex ON pe.type=ex.type)"""
-
-
 @query("expected_counts", f"WITH {EXP_SQL} SELECT type, round(expected,4) AS expected FROM ex")
 def _(spark, sf):
     st = Stages(spark, sf)
@@ -376,7 +376,7 @@ def _(spark, sf):
     return FC.calibration_factors(counts(st))
 
 
-@query("monthly_backtest", f"""WITH {EXP_SQL}, {FACT_SQL}, fm AS (SELECT jk, {sql_month('arg_min(umr_start, visit_id)')} AS month FROM cl GROUP BY 1),
+@query("monthly_backtest", f"""WITH {TK_SQL}, {FACT_SQL}, fm AS (SELECT jk, {sql_month('arg_min(umr_start, visit_id)')} AS month FROM cl GROUP BY 1),
 atm AS (SELECT type, month, count(*) AS actual FROM (SELECT trim(unnest(string_split(umr_art,','))) AS type, {sql_month('umr_start')} AS month FROM cl) GROUP BY 1,2),
 pp AS (SELECT type, month, count(*) AS predicted FROM (SELECT trim(unnest(string_split(cls,','))) AS type, month FROM mp JOIN fm ON mp.jk=fm.jk) GROUP BY 1,2),
 mm AS (SELECT coalesce(atm.type,pp.type) AS type, coalesce(atm.month,pp.month) AS month, coalesce(actual,0) AS actual, coalesce(predicted,0) AS predicted
@@ -392,14 +392,14 @@ def _(spark, sf):
     return df.withColumn("calibrated", r6("calibrated"))
 
 
-@query("export_table", f"""WITH {DATED_SQL}
+@query("export_table", f"""WITH {CAL_SQL}
 SELECT v_nummer, strftime(umr_start,'%Y-%m-%d %H:%M:%S') AS umr_start, strftime(umr_av,'%Y-%m-%d %H:%M:%S') AS umr_av, umr_status, umr_art,
   NULL::DOUBLE AS prob_coming, NULL::DOUBLE AS type_probability, NULL AS visit_number, NULL AS forecast_binary_model, NULL::DOUBLE AS forecast_threshold, NULL AS forecast_timestamp FROM vis
 UNION ALL SELECT v_nummer, strftime(estimated_start,'%Y-%m-%d %H:%M:%S'), strftime(estimated_start+to_microseconds(round(dur_model*86400000000.0::DOUBLE)::BIGINT),'%Y-%m-%d %H:%M:%S'), 'Forecast', cls,
-  round_even(prob_coming,4), round_even(p,4), visit_number, 'lr', 0.05::DOUBLE, '{R.AS_OF}' FROM ho""")
+  round_even(prob_coming,4), round_even(p,4), visit_number, 'lr', 0.05::DOUBLE, '{R.AS_OF}' FROM rc""")
 def _(spark, sf):
     st = Stages(spark, sf)
-    fc = in_horizon(st).withColumns({"predicted_type": F.col("cls"), "type_probability": F.col("p")})
+    fc = calibrated(st).withColumns({"predicted_type": F.col("cls"), "type_probability": F.col("p")})
     base = ["v_nummer", "umr_start", "umr_av", "umr_status", "umr_art"]
     df = FC.export_table(R.visits(spark, sf), fc, base, {"binary_model": "lr", "threshold": 0.05, "as_of": R.AS_OF}, direct=["v_nummer"])
     fmt = "yyyy-MM-dd HH:mm:ss"

@@ -73,24 +73,28 @@ def _points(df, col, h):
     return out.select("series_id", F.col("i").cast("long").alias("i"), F.round("value", 3).alias("value"))
 
 
+#: Months ahead.
+H = 18
+
+
 def _fc_query(expr, src="ar"):
     return f"""WITH {ARR_SQL}, f AS (SELECT series_id, {expr} AS fc FROM {src})
 SELECT series_id, unnest(range(len(fc))) AS i, round(unnest(fc),3) AS value FROM f"""
 
 
-@query("forecast_sma", _fc_query(sql_sma("ys", 8, 3)))
+@query("forecast_sma", _fc_query(sql_sma("ys", H, 3)))
 def _(spark, sf):
-    return _points(arrays(spark, sf), TS.sma("ys", 8, 3), 8)
+    return _points(arrays(spark, sf), TS.sma("ys", H, 3), H)
 
 
-@query("forecast_sma6", _fc_query(sql_sma("ys", 8, 6)))
+@query("forecast_sma6", _fc_query(sql_sma("ys", H, 6)))
 def _(spark, sf):
-    return _points(arrays(spark, sf), TS.sma("ys", 8, 6), 8)
+    return _points(arrays(spark, sf), TS.sma("ys", H, 6), H)
 
 
-@query("forecast_ses", _fc_query(sql_ses("ys", 4)))
+@query("forecast_ses", _fc_query(sql_ses("ys", H)))
 def _(spark, sf):
-    return _points(arrays(spark, sf), TS.ses("ys", 4), 4)
+    return _points(arrays(spark, sf), TS.ses("ys", H), H)
 
 
 # sparse series: counts kept only in months whose count is above a threshold
@@ -102,19 +106,19 @@ def sparse(spark, sf):
     return arrays(spark, sf).withColumn("zs", F.transform("ys", lambda v: F.when(v > 155000, v).otherwise(F.lit(0.0))))
 
 
-@query("forecast_croston", _fc_query(sql_croston("zs", 3), SPARSE_SQL))
+@query("forecast_croston", _fc_query(sql_croston("zs", H), SPARSE_SQL))
 def _(spark, sf):
-    return _points(sparse(spark, sf), TS.croston("zs", 3), 3)
+    return _points(sparse(spark, sf), TS.croston("zs", H), H)
 
 
-@query("forecast_sba", _fc_query(f"list_transform({sql_croston('zs', 3)}, lambda v: v*0.95::DOUBLE)", SPARSE_SQL))
+@query("forecast_sba", _fc_query(f"list_transform({sql_croston('zs', H)}, lambda v: v*0.95::DOUBLE)", SPARSE_SQL))
 def _(spark, sf):
-    return _points(sparse(spark, sf), TS.sba("zs", 3), 3)
+    return _points(sparse(spark, sf), TS.sba("zs", H), H)
 
 
-@query("forecast_holt_winters", _fc_query(sql_hw("ys", 14)))
+@query("forecast_holt_winters", _fc_query(sql_hw("ys", H)))
 def _(spark, sf):
-    return _points(TS.holt_winters(arrays(spark, sf), BY, "ys", 14), F.col("fc"), 14)
+    return _points(TS.holt_winters(arrays(spark, sf), BY, "ys", H), F.col("fc"), H)
 
 
 BENCH_SQL = f"""{ARR_SQL}, sp AS (SELECT series_id, last_month, ys AS full_ys, ys[1:greatest(floor(len(ys)*0.8),6)::BIGINT] AS ys,
@@ -137,13 +141,13 @@ def _(spark, sf):
 
 
 @query("ts_forecast_best", f"""WITH {BENCH_SQL}, fu AS (SELECT series_id, last_month, full_ys AS ys FROM sp),
-f2 AS ({fc_sql('fu', 'ys', 6)}),
+f2 AS ({fc_sql('fu', 'ys', H)}),
 j AS (SELECT f2.series_id, f2.model, fc, last_month FROM f2 JOIN rk ON f2.series_id=rk.series_id AND f2.model=rk.model AND rank=1 JOIN fu ON fu.series_id=f2.series_id)
-SELECT series_id, model, strftime(last_month + to_months((unnest(range(1,7)))::INTEGER), '%Y-%m') AS month, round(unnest(fc),3) AS value FROM j""")
+SELECT series_id, model, strftime(last_month + to_months((unnest(range(1,{H}+1)))::INTEGER), '%Y-%m') AS month, round(unnest(fc),3) AS value FROM j""")
 def _(spark, sf):
     from visitgrid.plans.ordered import materialize
     m = R.monthly(spark, sf)
-    df = TS.forecast_best(m, BY, materialize(bench(spark, sf)), h=6)
+    df = TS.forecast_best(m, BY, materialize(bench(spark, sf)), h=H)
     return df.select("series_id", "model", day("month", "yyyy-MM").alias("month"), F.round("value", 3).alias("value"))
 
 

@@ -494,9 +494,10 @@ def _(spark, sf):
     return S.hash_split(R.scored(spark, sf).select("id"), "id")
 
 
-@query("stratified_kfold", f"SELECT o_orderkey AS id, {R.MD5.format('o_orderkey')}%3 AS fold FROM orders")
+@query("stratified_kfold", f"""WITH {R.SCORED_SQL}
+SELECT id, y, (row_number() OVER (PARTITION BY y ORDER BY {R.MD5.format('id')}, id)-1)%3 AS fold FROM sc""")
 def _(spark, sf):
-    return S.hash_folds(R.scored(spark, sf).select("id"), "id", 3)
+    return S.stratified_kfold(R.scored(spark, sf).select("id", "y"), "id", "y", 3)
 
 
 @query("chronological_split", f"""WITH {R.MONTHLY_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY month) AS i,

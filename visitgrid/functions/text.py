@@ -35,33 +35,21 @@ def text_to_lines(text) -> Column:
         lambda p: F.concat(F.lit("  "), F.regexp_replace(p, "^([^=]*)=", "$1 = "))), "\n")
 
 
-def feature_glossary(cols: list[str], known: dict[str, str] | None = None) -> str:
-    """One bullet line per feature name."""
-    known = known or {}
+#: How a column is described by its role.
+ROLE_TEXT = {"number": "a measured number", "category": "one of several named values",
+             "share": "how common the row's value is", "encoding": "the mean label of the row's value"}
 
-    def describe(c: str) -> str:
-        if c in known:
-            return known[c]
-        if c.endswith("_clean"):
-            return f"Categorical feature '{c.removesuffix('_clean')}'"
-        if c.endswith("_freq"):
-            return f"Frequency encoding of '{c.removesuffix('_freq')}'"
-        return "Numeric feature"
 
-    return "\n".join(f"  • {c}: {describe(c)}" for c in cols)
+def feature_glossary(roles: list[tuple[str, str]]) -> str:
+    """One line per (feature, role)."""
+    return "\n".join(f"- {name}: {ROLE_TEXT[role]}" for name, role in roles)
 
 
-# Section headings of the assembled text.
-SECTIONS = ("DOMAIN CONTEXT", "FEATURE DEFINITIONS", "TRAINING DATA STATISTICS",
-            "FEW-SHOT EXAMPLES", "ROW TO CLASSIFY", "INSTRUCTIONS")
-
-
-def assemble_prompt(task: str, parts: list, names=SECTIONS) -> Column:
-    """A titled text from string or column parts, one section each."""
+def assemble_prompt(task: str, sections: list[tuple[str, object]]) -> Column:
+    """A task followed by titled sections, each a string or a column."""
     pieces: list[Column] = [F.lit(task)]
-    for name, part in zip(names, parts):
-        pieces += [F.lit(f"\n\n=== {name} ===\n"),
-                   F.lit(part) if isinstance(part, str) else part]
+    for title, part in sections:
+        pieces += [F.lit(f"\n\n[{title}]\n"), F.lit(part) if isinstance(part, str) else part]
     return F.concat(*pieces)
 
 

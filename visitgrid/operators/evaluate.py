@@ -47,10 +47,10 @@ def score_cells(df: DataFrame, y: str, score: str, keys=(), weight: str | None =
     return cells if weight is None else cells.where(F.col("pos") + F.col("neg") > 0)
 
 
-def curve(cells: DataFrame, keys=(), window_cells: int | None = None) -> DataFrame:
+def curve(cells: DataFrame, keys=(), ranges: int | None = None) -> DataFrame:
     """Cumulative counts at every distinct threshold (score >= threshold)."""
     out = prefix_sums(cells, list(keys), "score", ["pos", "neg"], descending=True,
-                      window_cells=window_cells)
+                      ranges=ranges)
     return out.select(*keys, "score", "pos", "neg", F.col("cum_pos").alias("tp"),
                       F.col("cum_neg").alias("fp"), F.col("tot_pos").alias("n_pos"),
                       F.col("tot_neg").alias("n_neg"))
@@ -71,12 +71,12 @@ def ap_of_curve(points: DataFrame, keys=()) -> DataFrame:
     return points.groupBy(*keys).agg(F.sum(step).alias("average_precision"))
 
 
-def roc_auc(df, y, score, keys=(), weight=None, window_cells=None) -> DataFrame:
-    return auc_of_curve(curve(score_cells(df, y, score, keys, weight), keys, window_cells), keys)
+def roc_auc(df, y, score, keys=(), weight=None, ranges=None) -> DataFrame:
+    return auc_of_curve(curve(score_cells(df, y, score, keys, weight), keys, ranges), keys)
 
 
-def average_precision(df, y, score, keys=(), weight=None, window_cells=None) -> DataFrame:
-    return ap_of_curve(curve(score_cells(df, y, score, keys, weight), keys, window_cells), keys)
+def average_precision(df, y, score, keys=(), weight=None, ranges=None) -> DataFrame:
+    return ap_of_curve(curve(score_cells(df, y, score, keys, weight), keys, ranges), keys)
 
 
 def roc_points(df, y, score, keys=()) -> DataFrame:

@@ -140,31 +140,27 @@ def row_calibration(df: DataFrame, factors: DataFrame, type_col="type", p="p", r
     sorted in one task. Adds ``copy`` (0, or 1 for a duplicate).
     """
     df = materialize(df)  # read several times below
-    f = factors.select(F.col("type").alias("__t"), F.col("factor").alias("__f"))
-    d = df.join(f, F.col(type_col) == F.col("__t"), "left").drop("__t")
     cells = (df.where(F.col(p).isNotNull()).groupBy(type_col, p).agg(F.count(F.lit(1)).alias("n")))
     run = prefix_sums(cells, [type_col], p, ["n"], descending=True)
-    run = run.select(F.col(type_col).alias("__rt"), F.col(p).alias("__rp"), F.col("n").alias("__n"),
-                     (F.col("cum_n") - F.col("n")).alias("__above"), F.col("tot_n").alias("__tot"))
-    d = d.join(run, (F.col(type_col) == F.col("__rt")) & (F.col(p) == F.col("__rp")), "left")
-    n = F.col("__tot")
+    f = factors.select(F.col("type").alias("__t"), F.col("factor").alias("__f"))
+    n, above = F.col("tot_n"), F.col("cum_n") - F.col("n")
     target = F.greatest(F.lit(1), F.bround(n * F.col("__f"))).cast("long")
-    adjust = F.col("__f").isNotNull() & ~F.col("__f").between(lo, hi) & n.isNotNull()
-    wanted = F.when(adjust & (target < n), target).when(adjust, F.least(target - n, n)).otherwise(n)
-    # only cells that straddle the cut need an order among equal probabilities
-    straddle = adjust & (F.col("__above") < wanted) & (F.col("__above") + F.col("__n") > wanted)
-    d = d.withColumns({"__w": wanted, "__drop": adjust & (target < n), "__dup": adjust & (target > n),
-                       "__cut": F.coalesce(straddle, F.lit(False))})
-    plain, tied = d.where(~F.col("__cut")), d.where(F.col("__cut"))
-    within = F.col("__above") + F.col("__n") <= F.col("__w")
-    plain = plain.withColumn("__in", F.coalesce(within, F.lit(True)))
-    tied = _rank_ties(tied, type_col, row_id)
-    both = plain.unionByName(tied)
+    wanted = F.when(target < n, target).otherwise(F.least(target - n, n))
+    # one row per type that changes: the probability at the cut and how many of its rows are in
+    cuts = (run.join(f, F.col(type_col) == F.col("__t")).where(~F.col("__f").between(lo, hi) & (target != n))
+            .withColumn("__w", wanted).where((above < F.col("__w")) & (F.col("cum_n") >= F.col("__w")))
+            .select("__t", F.col(p).alias("__cut"), (F.col("__w") - above).alias("__left"),
+                    (target > n).alias("__dup")))
+    cuts = materialize(cuts)
+    d = df.join(cuts, F.col(type_col) == F.col("__t"), "left")
+    tie = F.coalesce(F.col(p) == F.col("__cut"), F.lit(False))
+    plain = d.where(~tie).withColumn("__in", F.col(p) > F.col("__cut"))
+    both = plain.unionByName(_rank_ties(d.where(tie), type_col, row_id))
     one, two = F.array(F.lit(0).cast("long")), F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))
-    keep = ~F.col("__drop") | F.col("__in")
-    copies = F.when(F.col("__dup") & F.col("__in"), two).when(F.coalesce(keep, F.lit(True)), one)
+    kept = F.when(F.col(p).isNull() | F.col("__t").isNull(), one).when(
+        F.col("__dup"), F.when(F.col("__in"), two).otherwise(one)).when(F.col("__in"), one)
     # explode drops rows without a copy list
-    return both.select(*df.columns, F.explode(copies).alias("copy"))
+    return both.select(*df.columns, F.explode(kept).alias("copy"))
 
 
 def _rank_ties(tied: DataFrame, type_col: str, row_id: str) -> DataFrame:
@@ -173,8 +169,7 @@ def _rank_ties(tied: DataFrame, type_col: str, row_id: str) -> DataFrame:
     run = prefix_sums(ids, [type_col], row_id, ["__c"]).select(
         F.col(type_col).alias("__jt"), F.col(row_id).alias("__ji"), F.col("cum___c").alias("__pos"))
     j = tied.join(run, (F.col(type_col) == F.col("__jt")) & (F.col(row_id) == F.col("__ji")))
-    return (j.withColumn("__in", F.col("__above") + F.col("__pos") <= F.col("__w"))
-            .drop("__jt", "__ji", "__pos"))
+    return j.withColumn("__in", F.col("__pos") <= F.col("__left")).drop("__jt", "__ji", "__pos")
 
 
 def forecast_counts(df: DataFrame, as_of, month="estimated_month", type_col="type",

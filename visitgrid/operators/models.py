@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from visitgrid.functions.core import md5_int
 from visitgrid.operators import evaluate as E
 from visitgrid.operators.aggregates import consensus_importance
-from visitgrid.operators.sampling import hash_folds
+from visitgrid.operators.sampling import hash_folds, stratified_kfold
 from visitgrid.plans.ordered import exact_quantiles, materialize
 
 SEED = 42
@@ -31,23 +31,20 @@ def _assembler(features: list[str], out="features") -> VectorAssembler:
 
 
 def class_weights(df: DataFrame, label: str, cap: float | None = None) -> DataFrame:
-    """Balanced weight n / (classes * n_class) per class, with neg/pos capped at ``cap`` if given."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    t = counts.agg(F.struct(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))).scalar()
+    """Balanced weight n / (classes * n_class) per class. With ``cap``, a class counts at most
+    ``cap`` times as much per row as the largest one (two classes: min(neg / pos, cap))."""
+    counts = materialize(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")))
+    t = counts.agg(F.struct(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.max("n").alias("top"))).scalar()
     w = t["n"] / (t["k"] * F.col("n"))
-    out = counts.withColumn("weight", w)
     if cap is not None:
-        out = out.withColumn("weight", F.least("weight", F.lit(float(cap))))
-    return out
+        w = t["n"] / (t["k"] * t["top"]) * F.least(t["top"] / F.col("n"), F.lit(float(cap)))
+    return counts.withColumn("weight", w)
 
 
 def with_class_weight(df: DataFrame, label: str, out="__w") -> DataFrame:
-    """Attach balanced weights; the class table has one row per class."""
-    rows = class_weights(df, label).collect()
-    w = F.lit(1.0)
-    for r in rows:
-        w = F.when(F.col(label) == F.lit(r[label]), F.lit(float(r["weight"]))).otherwise(w)
-    return df.withColumn(out, w)
+    """Attach balanced weights by a join with the table of classes."""
+    rows = materialize(class_weights(df, label).select(F.col(label).alias("__l"), F.col("weight").alias(out)))
+    return df.join(rows, df[label].eqNullSafe(rows["__l"]), "left").drop("__l")
 
 
 def fit_majority(df: DataFrame, label: str) -> DataFrame:
@@ -88,7 +85,7 @@ def regressor(kind: str, label: str, **params):
 
 def fit_classifier(train: DataFrame, features, label, kind="logreg", balanced=True, **params) -> PipelineModel:
     weight = None
-    if balanced and kind != "gbt":
+    if balanced:
         train, weight = with_class_weight(train, label), "__w"
     return Pipeline(stages=[_assembler(features), classifier(kind, label, weight, **params)]).fit(train)
 
@@ -183,7 +180,7 @@ def feature_selection_retrain(train: DataFrame, test: DataFrame, features, label
 def cross_validate(df: DataFrame, row_id: str, features, label, kinds=("logreg", "rf"), k=3,
                    fit=fit_classifier) -> DataFrame:
     """Mean and population deviation of the exact fold AUC per model."""
-    folds = hash_folds(df, row_id, k)
+    folds = materialize(stratified_kfold(df, row_id, label, k))
     scores = None
     for i in range(k):
         for kind in kinds:
@@ -222,7 +219,9 @@ def hyperparameter_search(df: DataFrame, row_id: str, features, label, kind="log
     ev = {"auc": lambda: BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC"),
           "f1": lambda: MulticlassClassificationEvaluator(labelCol=label, metricName="f1"),
           "mae": lambda: RegressionEvaluator(labelCol=label, metricName="mae")}[metric]()
-    data = hash_folds(_assembler(features).transform(df), row_id, k).withColumn(
+    ready = _assembler(features).transform(df)
+    folded = hash_folds(ready, row_id, k) if metric == "mae" else stratified_kfold(ready, row_id, label, k)
+    data = folded.withColumn(
         "fold", F.col("fold").cast("int")).select("features", label, "fold")
     cv = CrossValidator(estimator=est, estimatorParamMaps=grid or ParamGridBuilder().build(),
                         evaluator=ev, numFolds=k, foldCol="fold", parallelism=parallelism)
@@ -238,25 +237,40 @@ def tuned_or_default(search: DataFrame, floor=0.55) -> dict:
     return json.loads(best["params"]) if best is not None and best["score"] > floor else {}
 
 
-PERMUTE_BUCKET = 1000
-
-
 def permuted_columns(df: DataFrame, row_id: str, features) -> DataFrame:
     """Each feature with its values moved between rows, as ``__perm_<feature>``.
 
-    Rows fall into random buckets of about PERMUTE_BUCKET rows; inside a bucket every feature
-    rotates by one along its own random order, so one shuffle serves all features.
+    All rows stand in one random order, that of their id's hash; feature number i takes the value
+    i + 1 places on, the last rows those of the first. The order is cut in ranges: inside a range
+    a window moves the values, and across its end the first rows of the next ranges stand in.
     """
-    n = max(1, df.count() // PERMUTE_BUCKET)
-    d = df.withColumn("__b", md5_int(row_id) % n)
+    features = list(features)
+    lags = len(features)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    rows = materialize(df.withColumn("__h", md5_int(row_id)).repartitionByRange(n, "__h", row_id)
+                       .withColumn("__b", F.spark_partition_id()))
+    order = Window.partitionBy("__b").orderBy("__h", row_id)
+    ranges = rows.groupBy("__b").agg(F.count(F.lit(1)).alias("__size"))
+    every, upto = Window.partitionBy(), Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = materialize(ranges.select("__b", "__size", F.sum("__size").over(upto).alias("__end"),
+                                       F.sum("__size").over(every).alias("__all")))
+    placed = rows.withColumn("__at", F.row_number().over(order)).join(ranges, "__b")
+    start = F.col("__end") - F.col("__size")
+    # the first rows of every range, by their place in the whole order
+    heads = placed.where(F.col("__at") <= lags).select(
+        (start + F.col("__at") - 1).alias("__place"), F.struct(*features).alias("__v"))
+    after = F.explode(F.sequence(F.lit(0), F.lit(lags - 1)))
+    wanted = ranges.select(F.col("__b").alias("__tb"), after.alias("__j"), "__end", "__all")
+    tails = (wanted.join(heads, F.pmod(F.col("__end") + F.col("__j"), F.col("__all")) == F.col("__place"))
+             .groupBy("__tb").agg(F.sort_array(F.collect_list(F.struct("__j", "__v"))).alias("__next")))
+    tails = materialize(tails)
     out = []
     for i, f in enumerate(features):
-        order = [md5_int(F.concat_ws("-", row_id, F.lit(i))), F.col(row_id)]
-        w = Window.partitionBy("__b").orderBy(*order)
-        first = F.first(f).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        is_last = F.lead(row_id).over(w).isNull()
-        out.append(F.when(is_last, first).otherwise(F.lead(f).over(w)).alias(f"__perm_{f}"))
-    return d.select(*df.columns, *out)
+        beyond = F.col("__at") + i + 1 - F.col("__size")
+        moved = F.get("__next", (beyond - 1).cast("int"))["__v"][f]
+        out.append(F.when(beyond > 0, moved).otherwise(F.col(f"__lead_{i}")).alias(f"__perm_{f}"))
+    led = placed.select("*", *[F.lead(f, i + 1).over(order).alias(f"__lead_{i}") for i, f in enumerate(features)])
+    return led.join(tails, F.col("__b") == F.col("__tb")).select(*df.columns, *out)
 
 
 def permutation_importance(model: PipelineModel, test: DataFrame, row_id: str, features, label,
@@ -305,7 +319,7 @@ CURVE_SHARES = (0.15, 0.3, 0.45, 0.6, 0.75, 0.9, 1.0)
 def learning_curve(df: DataFrame, row_id: str, features, label, kind="logreg", k=3,
                    shares=CURVE_SHARES) -> DataFrame:
     """Train and held-out AUC by train share (hash-prefix samples), averaged over folds."""
-    folds = hash_folds(df, row_id, k).withColumn("__u", md5_int(F.concat(row_id, F.lit("lc"))) % 10000)
+    folds = stratified_kfold(df, row_id, label, k).withColumn("__u", md5_int(F.concat(row_id, F.lit("lc"))) % 10000)
     scores = None
     for share in shares:
         for i in range(k):
@@ -322,7 +336,7 @@ def learning_curve(df: DataFrame, row_id: str, features, label, kind="logreg", k
 
 def out_of_fold(df: DataFrame, row_id: str, features, label, kinds, k=3, task="class") -> DataFrame:
     """Wide out-of-fold predictions: one column per model kind."""
-    folds = hash_folds(df, row_id, k)
+    folds = materialize(stratified_kfold(df, row_id, label, k) if task == "class" else hash_folds(df, row_id, k))
     rows = None
     for i in range(k):
         tr, va = folds.where(F.col("fold") != i), folds.where(F.col("fold") == i)

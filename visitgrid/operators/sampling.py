@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from visitgrid.functions.core import md5_int, md5_unit
 from visitgrid.plans.neighbors import nearest
-from visitgrid.plans.ordered import exact_quantiles, prefix_sums, spread, top_rows
+from visitgrid.plans.ordered import exact_quantiles, first_by_hash, materialize, prefix_sums
 
 
 def hash_split(df: DataFrame, row_id: str, test_pct: int = 20, out="split") -> DataFrame:
@@ -19,25 +19,34 @@ def hash_split(df: DataFrame, row_id: str, test_pct: int = 20, out="split") -> D
 
 def stratified_split(df: DataFrame, row_id: str, label: str, test_share=0.2, out="split") -> DataFrame:
     """Exact share per class: the first ``round(share * n)`` ids of a class by hash are test."""
-    cells = df.select("*", md5_int(row_id).alias("__h"))
-    counts = cells.groupBy(label, "__h").agg(F.count(F.lit(1)).alias("n"))
-    ranked = prefix_sums(counts, [label], "__h", ["n"])
-    # ids with the same hash are ordered inside their (tiny) cell
-    inner = Window.partitionBy(label, "__h").orderBy(row_id)
-    pos = F.row_number().over(inner)
-    joined = cells.withColumn("__i", pos).join(
-        ranked.select(label, "__h", (F.col("cum_n") - F.col("n")).alias("__before"),
-                      F.col("tot_n").alias("__tot")), [label, "__h"])
-    quota = F.bround(F.col("__tot") * F.lit(test_share))
-    test = F.col("__before") + F.col("__i") <= quota
-    return joined.select(*df.columns,
-                         F.when(test, F.lit("test")).otherwise(F.lit("train")).alias(out))
+    hashed = df.withColumn("__h", md5_int(row_id))
+    quotas = hashed.groupBy(label).agg(F.bround(F.count(F.lit(1)) * F.lit(test_share)).cast("long").alias("__quota"))
+    marked = first_by_hash(hashed, [label], "__h", row_id, quotas, "__test")
+    return marked.select(*df.columns, F.when(F.col("__test"), F.lit("test")).otherwise(F.lit("train")).alias(out))
 
 
 def hash_folds(df: DataFrame, row_id: str, k: int = 3, out="fold") -> DataFrame:
+    """Folds by the id's hash alone, for targets without classes."""
     return df.withColumn(out, (md5_int(row_id) % k).cast("long"))
 
 
+def stratified_kfold(df: DataFrame, row_id: str, label: str, k: int = 3, out="fold") -> DataFrame:
+    """Folds that hold every class to within one row: the rank of an id in its class by hash, mod k.
+
+    Counts per class and 16-bit hash bucket give the rank where a bucket begins, so only the rows
+    of one bucket of one class are sorted together.
+    """
+    rows = df.withColumn("__h", md5_int(row_id)).withColumn("__hb", F.shiftright(F.col("__h").cast("long"), 16))
+    before = Window.partitionBy(label).orderBy("__hb").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (rows.groupBy(label, "__hb").agg(F.count(F.lit(1)).alias("__n"))
+              .select(F.col(label).alias("__l"), F.col("__hb").alias("__b"),
+                      F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")))
+    inner = F.row_number().over(Window.partitionBy(label, "__hb").orderBy("__h", row_id)) - 1
+    joined = rows.withColumn("__i", inner).join(
+        starts, F.col(label).eqNullSafe(F.col("__l")) & (F.col("__hb") == F.col("__b")))
+    return joined.select(*df.columns, F.pmod(F.col("__start") + F.col("__i"), F.lit(k)).cast("long").alias(out))
+
+
 def chronological_split(series: DataFrame, by, month="month", share=0.8, min_train=0,
                         out="split") -> DataFrame:
     """First ``share`` of each series' months train. A series has one row per month."""
@@ -70,14 +79,12 @@ def walk_forward_folds(lengths: DataFrame, n_lags: int, n="n") -> DataFrame:
 
 def cap_sample(df: DataFrame, row_id: str, label: str, cap: int) -> DataFrame:
     """A stratified sample of about ``cap`` rows: each class keeps its share, chosen by hash."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    hashed = df.withColumn("__h", md5_int(row_id))
+    counts = materialize(hashed.groupBy(label).agg(F.count(F.lit(1)).alias("__n")))
     total = counts.agg(F.sum("__n")).scalar()
-    quotas = counts.select(F.col(label).alias("__l"), F.when(total <= cap, F.col("__n")).otherwise(
-        F.bround(F.col("__n") * F.lit(float(cap)) / total)).cast("long").alias("__q"))
-    first = top_rows(df.withColumn("__h", md5_int(row_id)), [label],
-                     [F.col("__h"), F.col(row_id)], cap)
-    return (first.join(quotas, F.col(label) == F.col("__l"))
-            .where(F.col("rn") <= F.col("__q")).select(*df.columns))
+    quotas = counts.select(label, F.when(total <= cap, F.col("__n")).otherwise(
+        F.bround(F.col("__n") * F.lit(float(cap)) / total)).cast("long").alias("__quota"))
+    return first_by_hash(hashed, [label], "__h", row_id, quotas, "__in").where("__in").select(*df.columns)
 
 
 def smote(df: DataFrame, row_id: str, vec: str, label: str, minority, ratio=0.6, k=5,
@@ -89,8 +96,9 @@ def smote(df: DataFrame, row_id: str, vec: str, label: str, minority, ratio=0.6,
     """
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     small = df.where(F.col(label) == F.lit(minority))
-    n_min = counts.where(F.col(label) == F.lit(minority)).agg(F.sum("n")).first()[0] or 0
-    n_max = counts.where(F.col(label) != F.lit(minority)).agg(F.max("n")).first()[0] or 0
+    mine = F.col(label) == F.lit(minority)
+    n_min, n_max = counts.agg(F.coalesce(F.sum(F.when(mine, F.col("n"))), F.lit(0)),
+                              F.coalesce(F.max(F.when(~mine, F.col("n"))), F.lit(0))).first()
     need = max(0, int(n_max * ratio) - n_min)
     k_eff = min(k, n_min - 1)
     if need == 0 or k_eff < 1:
@@ -125,14 +133,22 @@ def smote(df: DataFrame, row_id: str, vec: str, label: str, minority, ratio=0.6,
 POISSON_CDF = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
                0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
                0.999998874797402, 0.9999998885745217)
-# The same as limits of a 32-bit number.
-POISSON_LIMITS = tuple(round(p * 4294967296) for p in POISSON_CDF)
-# One md5 holds four 32-bit draws.
-DRAWS_PER_HASH = 4
+#: Draws are numbers below this prime; products of two of them fit in 64 bits.
+DRAW_PRIME = 2147483647
+POISSON_LIMITS = tuple(round(p * DRAW_PRIME) for p in POISSON_CDF)
+#: Multipliers of the three mixing rounds.
+DRAW_A, DRAW_B, DRAW_C = 1103515245, 69069001, 1664525001
+
+
+def draw(seed: str, b: str) -> str:
+    """SQL text of the draw of replicate ``b`` for a row with 32-bit ``seed``; whole numbers only."""
+    x = f"(({seed} % {DRAW_PRIME} + {b} * {DRAW_A} % {DRAW_PRIME} + 1) % {DRAW_PRIME})"
+    y = f"(({x} * {x} % {DRAW_PRIME} * {DRAW_B} + {x} + {DRAW_C}) % {DRAW_PRIME})"
+    return f"(({y} * {y} % {DRAW_PRIME} + {y} * {DRAW_C}) % {DRAW_PRIME})"
 
 
 def poisson_weight(m: Column) -> Column:
-    """How often a row enters one bootstrap replicate, from a uniform 32-bit number."""
+    """How often a row enters one bootstrap replicate, from a draw."""
     out = F.lit(0)
     for limit in POISSON_LIMITS:
         out = out + (m >= F.lit(limit)).cast("int")
@@ -143,20 +159,14 @@ def bootstrap_weights(df: DataFrame, row_id: str, n_boot: int, keep) -> DataFram
     """(b, keep..., w): Poisson resampling weights per replicate, drawn where the row lives.
 
     With-replacement counts of n rows tend to independent Poisson(1) draws, so no replicate
-    needs an index join; equal cells combine map-side in the following aggregation.
+    needs an index join; equal cells combine map-side in the following aggregation. The id is
+    hashed once per row; a draw is a few multiplications.
     """
     keep = list(keep)
-    d = df.select(*keep, F.col(row_id).alias("__id"))
-    d = spread(d, df.count())
-    blocks = F.sequence(F.lit(0), F.lit((n_boot - 1) // DRAWS_PER_HASH))
-    d = d.select(*keep, "__id", F.explode(blocks).alias("__g"))
-    d = d.withColumn("__h", F.md5(F.concat_ws("-", "__g", "__id")))
-    draws = F.array(*[F.struct(
-        (F.col("__g") * DRAWS_PER_HASH + i).alias("b"),
-        F.conv(F.substring("__h", 8 * i + 1, 8), 16, 10).cast("long").alias("m"))
-        for i in range(DRAWS_PER_HASH)])
-    d = d.select(*keep, F.inline(draws)).where(F.col("b") < n_boot)
-    return d.select("b", *keep, poisson_weight(F.col("m")).alias("w"))
+    d = df.select(*keep, md5_int(row_id).cast("long").alias("__s")).repartition("__s")
+    d = d.select(*keep, "__s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long"))).alias("b"))
+    d = d.select("b", *keep, F.expr(draw("__s", "b")).alias("__m"))
+    return d.where(F.col("__m") >= POISSON_LIMITS[0]).select("b", *keep, poisson_weight(F.col("__m")).alias("w"))
 
 
 def percentile_interval(samples: DataFrame, keys, value: str, ci: float = 0.95) -> DataFrame:

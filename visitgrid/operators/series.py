@@ -198,8 +198,7 @@ def all_forecasts(arrays: DataFrame, by, ys: str, h: int) -> DataFrame:
     return d.select(*by, F.inline(rows)).where(F.col("fc").isNotNull())
 
 
-def ts_benchmark(df: DataFrame, by, month="month", value="y", share=0.8, min_months=12,
-                 max_test: int = 400) -> DataFrame:
+def ts_benchmark(df: DataFrame, by, month="month", value="y", share=0.8, min_months=12) -> DataFrame:
     """MAE, RMSE, R2 and rank of each model on each series' last 20 % of months."""
     arrays = to_arrays(df, by, month, value).where(F.size("ys") >= min_months)
     split = F.greatest(F.floor(F.size("ys") * F.lit(share)), F.lit(6)).cast("int")

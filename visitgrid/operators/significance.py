@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,42 +14,56 @@ from visitgrid.operators import evaluate as E
 from visitgrid.operators.sampling import bootstrap_weights, percentile_interval
 from visitgrid.plans.ordered import materialize
 
-# Above this many discordant rows the exact tail equals its normal limit to double precision use.
-EXACT_MAX = 10_000
+def _stirling_error(n: float) -> float:
+    """log(n!) minus Stirling's formula."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) if n else 0.0
+    x = 1 / (n * n)
+    return (1 / 12 - x * (1 / 360 - x * (1 / 1260 - x / 1680))) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x log(x / mean) + mean - x without cancellation near x = mean."""
+    e = (x - mean) / mean
+    if abs(e) > 0.1:
+        return x * math.log(x / mean) + mean - x
+    # the series of (1 + e) log(1 + e) - e
+    term, total, k = e * e, 0.0, 2
+    while True:
+        new = total + term / (k * (k - 1))
+        if new == total:
+            return mean * total
+        total, term, k = new, -term * e, k + 1
+
+
+def binomial_p_value(b: int, c: int) -> float:
+    """Exact two-sided p of b against c at one half: min(1, 2 P(X <= min(b, c))), for any counts.
+
+    The largest term comes from Stirling's series, so no large logarithms cancel; the smaller
+    terms follow by their ratios until they no longer count, about sqrt(b + c) of them.
+    """
+    n, m = b + c, min(b, c)
+    if b == c:
+        return 1.0  # at least half of the distribution lies at or below the middle
+    if m == 0:
+        return min(1.0, 2.0 * 0.5 ** n) if n < 1000 else 0.0
+    top = math.exp(_stirling_error(n) - _stirling_error(m) - _stirling_error(n - m) - _deviance(m, n / 2)
+                   - _deviance(n - m, n / 2)) * math.sqrt(n / (2 * math.pi * m * (n - m)))
+    term, total, k = 1.0, 1.0, m
+    while k > 0 and term > 1e-17 * total:
+        term *= k / (n - k + 1)
+        total += term
+        k -= 1
+    return min(1.0, 2.0 * top * total)
 
 
 def binomial_p(b, c) -> Column:
-    """Exact two-sided p of b against c at one half: min(1, 2 P(X <= min(b, c))).
+    """``binomial_p_value`` of two count columns; there is one row per compared pair of models."""
+    @F.pandas_udf("double")
+    def p(bs: pd.Series, cs: pd.Series) -> pd.Series:
+        return pd.Series([binomial_p_value(int(x), int(y)) for x, y in zip(bs, cs)], dtype=float)
 
-    Terms are summed in logs; beyond EXACT_MAX discordant rows the continuity-corrected
-    normal tail stands in (error far below 1e-4 there).
-    """
-    n, m = (b + c).cast("double"), F.least(b, c).cast("double")
-    start = F.struct((-n * F.log(F.lit(2.0))).alias("t"), F.exp(-n * F.log(F.lit(2.0))).alias("s"),
-                     (-n * F.log(F.lit(2.0))).alias("mx"))
-    steps = F.when(m >= 1, F.sequence(F.lit(1), F.least(m, F.lit(EXACT_MAX)).cast("int")))
-
-    def add(acc, k):
-        t = acc["t"] + F.log((n - k + 1) / k)
-        return F.struct(t.alias("t"), (acc["s"] + F.exp(t)).alias("s"), acc["mx"].alias("mx"))
-
-    tail = F.coalesce(F.aggregate(steps, start, add)["s"], F.exp(-n * F.log(F.lit(2.0))))
-    z = (F.abs(b - c).cast("double") - 1) / F.sqrt(n)
-    exact = F.least(F.lit(1.0), 2 * tail)
-    return F.when(n == 0, F.lit(1.0)).when(n > EXACT_MAX, normal_tail(z)).otherwise(exact)
-
-
-def normal_tail(z) -> Column:
-    """Two-sided normal tail 2(1 - Phi(|z|)) by a rational erfc fit (error below 1.2e-7)."""
-    # Coefficients of the published Chebyshev fit of erfc.
-    coef = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
-            0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
-    x = F.abs(z) / F.sqrt(F.lit(2.0))
-    t = 1.0 / (1.0 + 0.5 * x)
-    poly = F.lit(0.0)
-    for k in reversed(coef):
-        poly = poly * t + F.lit(k)
-    return t * F.exp(-x * x + poly)
+    return p(b, c)
 
 
 def _discordant(df: DataFrame, y: str, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -79,7 +96,7 @@ def winner_vs_all(df: DataFrame, y: str, winner: str, models: list[str]) -> Data
     return mcnemar(df, y, [(winner, m) for m in models if m != winner])
 
 
-def bootstrap_metrics(df: DataFrame, row_id: str, y: str, score: str, n_boot=200,
+def bootstrap_metrics(df: DataFrame, row_id: str, y: str, score: str, n_boot=2000,
                       threshold=0.5) -> DataFrame:
     """Replicate metrics (b, roc_auc, average_precision, f1); one-class replicates drop out."""
     w = bootstrap_weights(df, row_id, n_boot, [y, score])
@@ -94,7 +111,7 @@ def bootstrap_metrics(df: DataFrame, row_id: str, y: str, score: str, n_boot=200
     return f1.join(E.auc_of_curve(pts, ["b"]), "b").join(E.ap_of_curve(pts, ["b"]), "b")
 
 
-def bootstrap_ci(df: DataFrame, row_id: str, y: str, score: str, n_boot=200, ci=0.95,
+def bootstrap_ci(df: DataFrame, row_id: str, y: str, score: str, n_boot=2000, ci=0.95,
                  threshold=0.5) -> DataFrame:
     """One row per metric: point value, percentile interval, spread and replicates used."""
     samples = bootstrap_metrics(df, row_id, y, score, n_boot, threshold)
@@ -108,7 +125,7 @@ def bootstrap_ci(df: DataFrame, row_id: str, y: str, score: str, n_boot=200, ci=
     return point.join(spans, "metric")
 
 
-def bootstrap_multiclass(df: DataFrame, row_id: str, y: str, pred: str, n_boot=200, ci=0.95) -> DataFrame:
+def bootstrap_multiclass(df: DataFrame, row_id: str, y: str, pred: str, n_boot=1000, ci=0.95) -> DataFrame:
     """Percentile intervals of accuracy, f1_weighted and f1_macro."""
     w = bootstrap_weights(df, row_id, n_boot, [y, pred])
     cells = w.groupBy("b", F.col(y).alias("actual"), F.col(pred).alias("predicted")).agg(F.sum("w").alias("n"))

@@ -1,8 +1,8 @@
 """Order-dependent building blocks that stay distributed when one key holds most rows.
 
-A window over (key) sorts a whole key in one task. The helpers here first shrink the
-input to cells (one row per key and value), then, when many cells remain, split every
-key by global value ranges, so no task sees more than about one range of one key.
+A window over (key) sorts a whole key in one task. The helpers here first shrink the input to
+cells (one row per key and value), then cut the cells by global value ranges, so no task sees
+more than one range of one key. There is one plan for every size and every orderable type.
 """
 
 from __future__ import annotations
@@ -10,23 +10,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Up to this many cells in all, a plain window per key is the cheaper exact plan.
-WINDOW_CELLS = 2_000_000
-MAX_SPLITS = 4096
-
-
 _LOCAL: list[tempfile.TemporaryDirectory] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared folder (spark.checkpoint.dir); a temporary one only where unset."""
+    """The session's shared folder (spark.checkpoint.dir).
+
+    Only a session on one machine may go without: it gets a temporary folder. On a cluster the
+    executors would write to their own disks, so a missing setting is an error there.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.TemporaryDirectory(prefix="visitgrid-"))
     return _LOCAL[0].name
@@ -48,39 +48,21 @@ def value_cells(df: DataFrame, keys, value, **sums) -> DataFrame:
     return df.groupBy(*keys, value).agg(*aggs)
 
 
-def _split_points(cells: DataFrame, value: str) -> list[float]:
-    """At most MAX_SPLITS range bounds, close to equal depth over all cells."""
-    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    n = max(8, min(MAX_SPLITS, parts * 4))
-    probs = [i / n for i in range(1, n)]
-    return sorted(set(cells.approxQuantile(value, probs, 1.0 / (4 * n))))
-
-
 def prefix_sums(cells: DataFrame, keys, value: str, sums, descending=False,
-                window_cells: int | None = None) -> DataFrame:
+                ranges: int | None = None) -> DataFrame:
     """Add ``cum_<s>`` (inclusive running sum in value order) and ``tot_<s>`` per key.
 
-    ``cells`` must hold one row per (keys, value) and a non-null numeric value.
+    ``cells`` must hold one row per (keys, value) and a non-null value of any orderable type. The
+    cells are written once, cut in value ranges (as many as the session's shuffle partitions, or
+    ``ranges``); a running sum inside a range starts at the totals of the ranges before it.
     """
-    limit = WINDOW_CELLS if window_cells is None else window_cells
     keys, sums = list(keys), list(sums)
-    cells = materialize(cells)
-    order = F.col(value).desc() if descending else F.col(value).asc()
+    spark = cells.sparkSession
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    names = cells.columns
+    # the range number is written with the cells, so every reader sees the same cut
+    ranged = materialize(cells.repartitionByRange(n, value, *keys).withColumn("__b", F.spark_partition_id()))
     key_cols = [F.col(k) for k in keys]
-    if cells.count() <= limit:  # read from the file footers
-        run = Window.partitionBy(*key_cols).orderBy(order).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        whole = Window.partitionBy(*key_cols)
-        return cells.select(
-            "*",
-            *[F.sum(s).over(run).alias(f"cum_{s}") for s in sums],
-            *[F.sum(s).over(whole).alias(f"tot_{s}") for s in sums])
-
-    splits = [-float("inf"), *_split_points(cells, value), float("inf")]
-    ranged = cells.withColumn("__v", F.col(value).cast("double"))
-    ranged = Bucketizer(splits=splits, inputCol="__v", outputCol="__b",
-                        handleInvalid="keep").transform(ranged).drop("__v")
-    # one row per (key, range): at most MAX_SPLITS rows per key
     totals = ranged.groupBy(*keys, "__b").agg(*[F.sum(s).alias(f"__{s}") for s in sums])
     b_order = F.col("__b").desc() if descending else F.col("__b").asc()
     before = Window.partitionBy(*key_cols).orderBy(b_order).rowsBetween(
@@ -90,21 +72,20 @@ def prefix_sums(cells: DataFrame, keys, value: str, sums, descending=False,
         *[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__b").alias("__ob"),
         *[F.coalesce(F.sum(f"__{s}").over(before), F.lit(0)).alias(f"__off_{s}") for s in sums],
         *[F.sum(f"__{s}").over(whole).alias(f"tot_{s}") for s in sums])
+    order = F.col(value).desc() if descending else F.col(value).asc()
     run = Window.partitionBy(*key_cols, F.col("__b")).orderBy(order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     local = ranged.select("*", *[F.sum(s).over(run).alias(f"__run_{s}") for s in sums])
     on = F.col("__b") == F.col("__ob")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    joined = local.join(offsets, on)
-    return joined.select(
-        *cells.columns,
-        *[(F.col(f"__run_{s}") + F.col(f"__off_{s}")).alias(f"cum_{s}") for s in sums],
+    return local.join(offsets, on).select(
+        *names, *[(F.col(f"__run_{s}") + F.col(f"__off_{s}")).alias(f"cum_{s}") for s in sums],
         *[F.col(f"tot_{s}") for s in sums])
 
 
 def exact_quantiles(df: DataFrame, keys, value: str, probs: dict[str, float],
-                    window_cells: int | None = None, weight: str | None = None) -> DataFrame:
+                    ranges: int | None = None, weight: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation, one output column per entry of ``probs``.
 
     Ranks come from running counts over distinct values, so no task holds a whole key.
@@ -112,7 +93,7 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs: dict[str, float],
     """
     w = F.lit(1) if weight is None else F.col(weight)
     cells = value_cells(df.where(F.col(value).isNotNull()), keys, value, __cnt=w)
-    ranked = prefix_sums(cells, keys, value, ["__cnt"], window_cells=window_cells)
+    ranked = prefix_sums(cells, keys, value, ["__cnt"], ranges=ranges)
     lo_rank = F.col("cum___cnt") - F.col("__cnt")
     aggs = []
     for name, p in probs.items():
@@ -140,23 +121,48 @@ def discrete_quantiles(df: DataFrame, keys, value: str, probs: dict[str, float],
     return df.groupBy(*keys).agg(*aggs, *q)
 
 
-def spread(df: DataFrame, rows: int, small: int = 20_000_000) -> DataFrame:
-    """Give a small input as many partitions as there are cores before heavy per-row work.
+def first_by_hash(df: DataFrame, keys, hash_col: str, row_id: str, quotas: DataFrame, out: str) -> DataFrame:
+    """Mark the first rows per key in (hash, id) order; ``quotas``: (keys, __quota), one row per key.
 
-    Large inputs already have enough splits and are left alone.
+    ``hash_col`` is a 32-bit number. Counts per key and 16-bit hash bucket find the bucket where
+    a key's quota ends: rows of lower buckets are in, of higher ones out, and only the rows of
+    that one bucket (1/65536 of a key) are sorted.
     """
-    if rows > small:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
-def top_rows(df: DataFrame, keys, order, k: int, salts: int = 64, rank="rn") -> DataFrame:
-    """The first ``k`` rows per key by ``order``; hot keys are cut down in salted parts first.
-
-    ``order`` must be a total order. Only k * salts rows of a key reach the last task.
+    keys = list(keys)
+    bucket = F.shiftright(F.col(hash_col).cast("long"), 16)
+    rows = df.withColumn("__hb", bucket)
+    cells = rows.groupBy(*keys, "__hb").agg(F.count(F.lit(1)).alias("__n"))
+    run = Window.partitionBy(*keys).orderBy("__hb").rowsBetween(Window.unboundedPreceding, -1)
+    named = quotas.select(*[F.col(k).alias(f"__q_{k}") for k in keys], "__quota")
+
+    def same(other, prefix):
+        on = F.lit(True)
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(other[f"{prefix}{k}"])
+        return on
+
+    ends = (cells.withColumn("__before", F.coalesce(F.sum("__n").over(run), F.lit(0)))
+            .join(named, same(named, "__q_")).where(
+                (F.col("__before") < F.col("__quota")) & (F.col("__before") + F.col("__n") >= F.col("__quota"))))
+    ends = materialize(ends.select(*[F.col(k).alias(f"__e_{k}") for k in keys], F.col("__hb").alias("__cut"),
+                                   (F.col("__quota") - F.col("__before")).alias("__left")))
+    # a key without an end has quota 0 (all out) or more than its rows, which quotas rule out
+    joined = rows.join(ends, same(ends, "__e_"), "left")
+    tied = F.coalesce(F.col("__hb") == F.col("__cut"), F.lit(False))
+    plain = joined.where(~tied).withColumn(out, F.coalesce(F.col("__hb") < F.col("__cut"), F.lit(False)))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(hash_col, row_id))
+    cut = joined.where(tied).withColumn(out, rank <= F.col("__left"))
+    return plain.unionByName(cut).select(*df.columns, out)
+
+
+def top_rows(df: DataFrame, keys, order, k: int, rank="rn") -> DataFrame:
+    """The first ``k`` rows per key by ``order``; keys are cut down per input partition first.
+
+    ``order`` must be a total order. A hot key is sorted in as many parts as the input has
+    partitions, and only k rows of each part reach the last step.
     """
     order = list(order)
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    salted = df.withColumn("__salt", F.spark_partition_id())
     part = Window.partitionBy(*keys, "__salt").orderBy(*order)
     cut = salted.withColumn("__rn", F.row_number().over(part)).where(F.col("__rn") <= k)
     final = Window.partitionBy(*keys).orderBy(*order)
