@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -6,6 +7,7 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 sys.path.insert(0, str(ROOT / "tests"))
+sys.path.insert(0, str(ROOT / "tests" / "llm"))
 
 
 @pytest.fixture(scope="session")
@@ -13,7 +15,8 @@ def spark():
     from pyspark.sql import SparkSession
     s = (SparkSession.builder.master("local[4]").appName("tests")
          .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-         .config("spark.driver.memory", "6g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+         .config("spark.driver.memory", "6g")
+         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="visitgrid-tests-")).config("spark.sql.session.timeZone", "UTC").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

@@ -3,6 +3,7 @@
 import math
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -16,7 +17,8 @@ def session(cpus="8"):
     from pyspark.sql import SparkSession
     s = (SparkSession.builder.master(f"local[{cpus}]").appName("check")
          .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-         .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC")
+         .config("spark.driver.memory", "12g").config("spark.ui.showConsoleProgress", "false")
+         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="visitgrid-check-")).config("spark.sql.session.timeZone", "UTC")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     return s

@@ -1,4 +1,4 @@
-"""The distributed ordering primitives against brute force, on both of their plans."""
+"""The distributed ordering primitives against brute force, in one range and in many."""
 
 import random
 
@@ -12,7 +12,7 @@ from visitgrid.operators import sampling as S
 from visitgrid.plans import ordered as O
 from visitgrid.plans.neighbors import nearest
 
-PATHS = [pytest.param(None, id="window"), pytest.param(0, id="ranges")]
+PATHS = [pytest.param(1, id="one"), pytest.param(17, id="many")]
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +29,7 @@ def test_prefix_sums(skewed, limit):
     df, rows = skewed
     cells = O.value_cells(df, ["k"], "v")
     for descending in (False, True):
-        out = O.prefix_sums(cells, ["k"], "v", ["n"], descending, window_cells=limit).collect()
+        out = O.prefix_sums(cells, ["k"], "v", ["n"], descending, ranges=limit).collect()
         by = {}
         for k, v, _ in rows:
             by.setdefault(k, []).append(v)
@@ -44,7 +44,7 @@ def test_exact_quantiles(skewed, limit):
     df, rows = skewed
     probs = {"a": 0.01, "m": 0.5, "z": 0.9}
     for keys in (["k"], []):
-        out = O.exact_quantiles(df, keys, "v", probs, window_cells=limit).collect()
+        out = O.exact_quantiles(df, keys, "v", probs, ranges=limit).collect()
         for r in out:
             vs = [v for k, v, _ in rows if not keys or k == r["k"]]
             for n, p in probs.items():
@@ -54,12 +54,12 @@ def test_exact_quantiles(skewed, limit):
 @pytest.mark.parametrize("limit", PATHS)
 def test_auc_and_ap(skewed, limit):
     df, rows = skewed
-    auc = {r["k"]: r["roc_auc"] for r in E.roc_auc(df, "y", "v", ["k"], window_cells=limit).collect()}
+    auc = {r["k"]: r["roc_auc"] for r in E.roc_auc(df, "y", "v", ["k"], ranges=limit).collect()}
     pos = [v for k, v, y in rows if k == 0 and y]
     neg = [v for k, v, y in rows if k == 0 and not y]
     want = np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg])
     assert auc[0] == pytest.approx(want)
-    ap = {r["k"]: r["average_precision"] for r in E.average_precision(df, "y", "v", ["k"], window_cells=limit).collect()}
+    ap = {r["k"]: r["average_precision"] for r in E.average_precision(df, "y", "v", ["k"], ranges=limit).collect()}
     data = sorted(((v, y) for k, v, y in rows if k == 0), reverse=True)
     total, tp, fp, last, score = sum(y for _, y in data), 0, 0, 0.0, 0.0
     for i, (v, y) in enumerate(data):
@@ -86,7 +86,7 @@ def test_edge_scores(spark):
 
 def test_top_rows(spark):
     df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"), "id")
-    out = O.top_rows(df, ["k"], [F.desc("id")], 7, salts=8).collect()
+    out = O.top_rows(df, ["k"], [F.desc("id")], 7).collect()
     by = {}
     for r in df.collect():
         by.setdefault(r["k"], []).append(r["id"])
@@ -151,3 +151,64 @@ def test_row_calibration(spark):
     assert sorted(p for p, _, _ in n["low"]) == [0.5, 0.55]          # the likeliest stay
     assert sorted(p for p, c, _ in n["high"] if c == 1) == [0.2, 0.25, 0.3, 0.35]
     assert sorted(i for _, _, i in n["tie"]) == sorted(r[0] for r in rows if r[1] == "tie")[:4]
+
+
+@pytest.mark.parametrize("kind", ["text", "day"])
+def test_prefix_sums_of_any_type(spark, kind):
+    """Text and date values, one hot key, more ranges than some keys have values."""
+    value = F.concat(F.lit("v"), F.lpad(F.col("id"), 5, "0")) if kind == "text" else F.date_add(F.lit("2020-01-01"), F.col("id").cast("int"))
+    df = spark.range(600).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("k"),
+                                 value.alias("v"), (F.col("id") % 4).alias("n"))
+    rows = df.collect()
+    for descending in (False, True):
+        for r in O.prefix_sums(df, ["k"], "v", ["n"], descending, ranges=9).collect():
+            mine = [x for x in rows if x["k"] == r["k"]]
+            assert r["cum_n"] == sum(x["n"] for x in mine if (x["v"] >= r["v"] if descending else x["v"] <= r["v"]))
+            assert r["tot_n"] == sum(x["n"] for x in mine)
+
+
+def test_row_calibration_with_text_ids(spark):
+    df = spark.range(40).select(F.concat(F.lit("row-"), F.lpad(F.col("id"), 3, "0")).alias("row_id"), F.lit("t").alias("type"), F.lit(0.5).alias("p"))
+    f = spark.createDataFrame([("t", 0.25)], "type string, factor double")
+    assert sorted(r["row_id"] for r in FC.row_calibration(df, f).collect()) == [f"row-{k:03d}" for k in range(10)]
+
+
+def test_stratified_kfold(spark):
+    df = spark.range(1003).select("id", F.when(F.col("id") % 100 == 0, "rare").when(F.col("id") == 7, None).otherwise("common").alias("y"))
+    n = {}
+    for r in S.stratified_kfold(df, "id", "y", 3).collect():
+        n.setdefault(r["y"], [0, 0, 0])[r["fold"]] += 1
+    assert {k: max(v) - min(v) for k, v in n.items()} == {"rare": 1, "common": 0, None: 1} or all(max(v) - min(v) <= 1 for v in n.values())
+    assert sum(map(sum, n.values())) == 1003
+
+
+@pytest.mark.parametrize("b, c", [(0, 0), (5, 5), (0, 7), (3, 9), (40, 60), (5001, 5001), (50_000, 50_000), (4_900, 5_100),
+                                  (499_000, 501_000), (500_000, 500_000), (499_999, 500_001), (0, 5000), (10 ** 6, 10 ** 6 + 3000)])
+def test_binomial_p_value(b, c):
+    """Against sums of exact binomial coefficients."""
+    from fractions import Fraction
+    from visitgrid.operators.significance import binomial_p_value
+    n, m = b + c, min(b, c)
+    if b == c:
+        assert binomial_p_value(b, c) == 1.0
+        return
+    if n <= 10_000:
+        term, total = 1, 1
+        for k in range(1, m + 1):
+            term = term * (n - k + 1) // k
+            total += term
+        want = min(1.0, float(Fraction(2 * total, 2 ** n)))
+    else:  # the same sum in 60 digits
+        from decimal import Decimal, getcontext
+        getcontext().prec = 60
+        term = Decimal(1)
+        for k in range(1, m + 1):  # log of the largest term would cancel; scale by 2 per step instead
+            term = term * (n - k + 1) / k
+        total, t = Decimal(0), term
+        for k in range(m, 0, -1):
+            total += t
+            t = t * k / (n - k + 1)
+            if t < term * Decimal(10) ** -40:
+                break
+        want = min(1.0, float(2 * total / Decimal(2) ** n))
+    assert binomial_p_value(b, c) == pytest.approx(want, rel=1e-9, abs=1e-300)

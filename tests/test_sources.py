@@ -40,6 +40,38 @@ def test_store_rebuilds_only_for_new_data(spark, tmp_path):
         assert len(calls) == n
 
 
+def test_store_rebuilds_damaged_tables_only(spark, tmp_path):
+    a = spark.range(10)
+    store = ResultStore(spark, str(tmp_path), a)
+    first = store.table("t", lambda: spark.range(5).repartition(3))
+    files = first.inputFiles()
+    assert store.table("t", lambda: 1 / 0).count() == 5
+    with open(files[0].removeprefix("file:"), "wb") as f:
+        f.write(b"no parquet at all")
+    for crc in tmp_path.rglob(".*.crc"):
+        crc.write_bytes(b"")
+    assert store.table("t", lambda: spark.range(7)).count() == 7
+    newer = ResultStore(spark, str(tmp_path), spark.range(11))
+    newer.table("t", lambda: spark.range(1))
+    assert newer.drop_others() == 1 and newer.table("t", lambda: 1 / 0).count() == 1
+
+
+def test_checkpoint_dir_is_needed_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    try:
+        O.checkpoint_dir(Session())
+    except ValueError:
+        return
+    raise AssertionError("a machine-local folder was taken on a cluster")
+
+
 def test_checkpoint_dir_comes_from_the_session(spark, tmp_path, monkeypatch):
     class Conf:
         def get(self, key, default=None):

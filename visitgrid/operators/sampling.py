@@ -166,7 +166,7 @@ def bootstrap_weights(df: DataFrame, row_id: str, n_boot: int, keep) -> DataFram
     d = df.select(*keep, md5_int(row_id).cast("long").alias("__s")).repartition("__s")
     d = d.select(*keep, "__s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long"))).alias("b"))
     d = d.select("b", *keep, F.expr(draw("__s", "b")).alias("__m"))
-    return d.where(F.col("__m") >= POISSON_LIMITS[0]).select("b", *keep, poisson_weight(F.col("__m")).alias("w"))
+    return d.select("b", *keep, poisson_weight(F.col("__m")).alias("w"))
 
 
 def percentile_interval(samples: DataFrame, keys, value: str, ci: float = 0.95) -> DataFrame:
