@@ -66,7 +66,7 @@ def train(texts: list, labels: list) -> dict:
     """Feature weights, sentence bias and base rate from document labels."""
     y = np.array(labels, dtype=float)
     if not len(y) or y.min() == y.max():
-        return {"weights": {}, "bias": -35.0, "base": float(y.mean()) if len(y) else 0.0}
+        return {"weights": {}, "bias": float("-inf"), "base": float(y.mean()) if len(y) else 0.0}
     vocabulary: dict[str, int] = {}
     features: dict[str, int] = {}
     parts: list[np.ndarray] = []  # features of each word
@@ -159,7 +159,8 @@ class WordWeights(dict):
 
 def score(text, words: WordWeights, bias: float, base: float) -> tuple[float, list[tuple[int, int, float]]]:
     """The document's score and its offending sentences as (start, end, score)."""
-    quiet, found, plain = np.log1p(-min(base, 1 - 1e-12)), [], np.log1p(-sigmoid(bias))
+    quiet, found = np.log1p(-min(base, 1 - 1e-12)), []
+    plain = np.log1p(-sigmoid(bias)) if np.isfinite(bias) else 0.0
     if not isinstance(text, str):
         return float(1 - np.exp(quiet)), found
     spans = sentences(text)
