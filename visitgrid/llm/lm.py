@@ -32,7 +32,7 @@ from visitgrid.plans.ordered import materialize
 
 ORDER, MIN_COUNT, BACKOFF = 3, 2, 0.4
 #: N-grams are hashed to so many bits.
-BITS = 56
+BITS = 54
 #: A block closes at so many bytes of text or documents.
 BLOCK_BYTES, BLOCK_DOCS = 6 << 20, 60_000
 
@@ -46,7 +46,7 @@ def blocks(docs: DataFrame) -> DataFrame:
     def row(block, ids, texts):
         import zstandard
         words = [t.split() for t in texts]
-        data = zstandard.ZstdCompressor(level=3).compress(b" ".join(w for t in words for w in t))
+        data = zstandard.ZstdCompressor(level=9).compress(b" ".join(w for t in words for w in t))
         cols = [[block], [ids], [[len(w) for w in words]], [data], [None], [None]]
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
