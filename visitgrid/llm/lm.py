@@ -122,23 +122,22 @@ def _answered(table: pa.Table) -> pa.Table:
 def _scored(order: int, total_words: int):
     """Function that scores the documents of one block from its words and the counts it asked for."""
 
+    known = WordHashes()
+
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         body = next(r for r in rows if r["words"] is not None)
         sizes = np.array(body["sizes"], dtype=np.int64)
         parts = sorted((r["bucket"], r["answer"]) for r in rows if r["answer"] is not None)
         counted = np.concatenate([unpack(a, "u8") for _, a in parts] or [np.empty(0, np.uint64)]).astype(np.float64)
-        by_order = grams(body["words"], sizes, order, WordHashes())
-        every = np.concatenate(by_order)
-        own = np.unique(every[every > 0])
+        every = np.concatenate(grams(body["words"], sizes, order, known))
+        inside = np.flatnonzero(every)
+        own, place = np.unique(every[inside], return_inverse=True)
         if len(own) != len(counted):
             raise ValueError("a block's n-grams and their counts differ")
-
-        def count(g):
-            at = np.searchsorted(own, g)
-            return np.where(g > 0, counted[np.minimum(at, len(own) - 1)], 0.0) if len(own) else np.zeros(len(g))
-
-        c = [count(g) for g in by_order]
+        c = np.zeros(len(every))
+        c[inside] = counted[place]
+        c = np.split(c, order)
         # the context of the n-gram ending at a word is the (n-1)-gram ending at the word before
         result = np.log(np.maximum(c[0], 1) / max(total_words, 1)) + (order - 1) * math.log(BACKOFF)
         for n in range(2, order + 1):
