@@ -22,3 +22,13 @@ def raw_bytes(text) -> bytes:
     """UTF-8 of a text; null is empty. bytes.split() and bytes.lower() know ASCII only, as the
     word rule ``[^\\x20\\x09-\\x0D]+`` and the lower-casing of A-Z ask."""
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
+
+
+def hash_sample(df: DataFrame, n: int) -> DataFrame:
+    """At most ``n`` rows of (doc_id, text, ...), those with the smallest hash of both.
+
+    Only hashes are sorted, ``n`` of each partition; the texts of other rows never move.
+    """
+    h = F.xxhash64("doc_id", F.xxhash64("text"))
+    last = df.select(h.alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    return df.where(h <= F.lit(last)).limit(n) if last is not None else df.limit(0)
