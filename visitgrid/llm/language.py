@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitgrid.llm.common import held_out
+from visitgrid.llm.common import hash_sample, held_out
 
 #: Bound of the rows learned from.
 SAMPLE = 4000
@@ -109,10 +109,9 @@ def train(texts: list[str], labels: list[str]) -> dict:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     """Trains on at most ``sample`` labelled rows that are not held out."""
-    rows = (docs.select("doc_id", "text", "lang")
-            .where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-            .orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample)
-            .select("text", F.col("lang").cast("string").alias("lang")).toPandas())
+    usable = (docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+              .where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()))
+    rows = hash_sample(usable, sample).select("text", "lang").toPandas().sort_values(["lang", "text"], kind="stable")
     return train(rows["text"].tolist(), rows["lang"].tolist())
 
 
