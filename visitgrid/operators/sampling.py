@@ -3,7 +3,9 @@ partitioning and survive a recomputed task."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitgrid.functions.core import md5_int, md5_unit
@@ -147,26 +149,37 @@ def draw(seed: str, b: str) -> str:
     return f"(({y} * {y} % {DRAW_PRIME} + {y} * {DRAW_C}) % {DRAW_PRIME})"
 
 
-def poisson_weight(m: Column) -> Column:
-    """How often a row enters one bootstrap replicate, from a draw."""
-    out = F.lit(0)
-    for limit in POISSON_LIMITS:
-        out = out + (m >= F.lit(limit)).cast("int")
-    return out.cast("long")
+def draws(seeds: np.ndarray, n_boot: int) -> np.ndarray:
+    """``draw`` of every seed (rows) and replicate (columns)."""
+    b = np.arange(n_boot, dtype=np.int64)[None, :]
+    x = (seeds[:, None] % DRAW_PRIME + b * DRAW_A % DRAW_PRIME + 1) % DRAW_PRIME
+    y = (x * x % DRAW_PRIME * DRAW_B + x + DRAW_C) % DRAW_PRIME
+    return (y * y % DRAW_PRIME + y * DRAW_C) % DRAW_PRIME
 
 
-def bootstrap_weights(df: DataFrame, row_id: str, n_boot: int, keep) -> DataFrame:
+def bootstrap_weights(df: DataFrame, row_id: str, n_boot: int, keep, positive=False) -> DataFrame:
     """(b, keep..., w): Poisson resampling weights per replicate, drawn where the row lives.
 
     With-replacement counts of n rows tend to independent Poisson(1) draws, so no replicate
     needs an index join; equal cells combine map-side in the following aggregation. The id is
-    hashed once per row; a draw is a few multiplications.
+    hashed once per row; the draws of a few hundred rows are made together. ``positive``: rows
+    of weight 0 are left out.
     """
     keep = list(keep)
-    d = df.select(*keep, md5_int(row_id).cast("long").alias("__s")).repartition("__s")
-    d = d.select(*keep, "__s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long"))).alias("b"))
-    d = d.select("b", *keep, F.expr(draw("__s", "b")).alias("__m"))
-    return d.select("b", *keep, poisson_weight(F.col("__m")).alias("w"))
+    d = df.select(*keep, md5_int(row_id).alias("__s")).repartition("__s")
+    step = max(1, 1_000_000 // n_boot)
+
+    def run(batches):
+        for batch in batches:
+            for part in (batch.slice(lo, step) for lo in range(0, batch.num_rows, step)):
+                w = np.searchsorted(POISSON_LIMITS, draws(part.column("__s").to_numpy(), n_boot), side="right")
+                i, b = np.nonzero(w) if positive else np.indices(w.shape).reshape(2, -1)
+                cols = [pa.array(b.astype(np.int64)), *(part.column(c).take(pa.array(i)) for c in keep),
+                        pa.array(w[i, b].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(cols, names=["b", *keep, "w"])
+
+    kinds = dict(d.dtypes)
+    return d.mapInArrow(run, ", ".join(["b long", *(f"`{c}` {kinds[c]}" for c in keep), "w long"]))
 
 
 def percentile_interval(samples: DataFrame, keys, value: str, ci: float = 0.95) -> DataFrame:

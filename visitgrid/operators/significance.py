@@ -99,7 +99,7 @@ def winner_vs_all(df: DataFrame, y: str, winner: str, models: list[str]) -> Data
 def bootstrap_metrics(df: DataFrame, row_id: str, y: str, score: str, n_boot=2000,
                       threshold=0.5) -> DataFrame:
     """Replicate metrics (b, roc_auc, average_precision, f1); one-class replicates drop out."""
-    w = bootstrap_weights(df, row_id, n_boot, [y, score]).where("w > 0")
+    w = bootstrap_weights(df, row_id, n_boot, [y, score], positive=True)
     pts = materialize(E.curve(E.score_cells(w, y, score, ["b"], "w"), ["b"]))
     above = F.col("score") >= threshold
     f1 = pts.groupBy("b").agg(
@@ -127,7 +127,7 @@ def bootstrap_ci(df: DataFrame, row_id: str, y: str, score: str, n_boot=2000, ci
 
 def bootstrap_multiclass(df: DataFrame, row_id: str, y: str, pred: str, n_boot=1000, ci=0.95) -> DataFrame:
     """Percentile intervals of accuracy, f1_weighted and f1_macro."""
-    w = bootstrap_weights(df, row_id, n_boot, [y, pred]).where("w > 0")
+    w = bootstrap_weights(df, row_id, n_boot, [y, pred], positive=True)
     cells = w.groupBy("b", F.col(y).alias("actual"), F.col(pred).alias("predicted")).agg(F.sum("w").alias("n"))
     per = E.per_class_report(cells, ["b"])
     s = F.sum("support")
