@@ -9,12 +9,12 @@ from visitgrid.llm import jaccard as J
 from visitgrid.llm.components import components
 
 
-def brute(rows):
+def brute(rows, size=4, percent=85):
     """(n_shingles, component) per row, by all pairs."""
     sets = []
     for i, t in rows:
         w = (t or "").encode().lower().split()
-        sets.append(frozenset(tuple(w[k:k + 4]) for k in range(max(1, len(w) - 3))) if w else frozenset())
+        sets.append(frozenset(tuple(w[k:k + size]) for k in range(max(1, len(w) - size + 1))) if w else frozenset())
     up = list(range(len(rows)))
 
     def top(x):
@@ -25,7 +25,7 @@ def brute(rows):
     for a in range(len(rows)):
         for b in range(a):
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 up[top(a)] = top(b)
     least = {}
     for k, (i, _) in enumerate(rows):
@@ -34,8 +34,8 @@ def brute(rows):
     return sorted(((i, len(s), (least.get(top(k)) if s else i)) for k, ((i, _), s) in enumerate(zip(rows, sets))), key=str)
 
 
-def got(df):
-    return sorted((tuple(r) for r in J.jaccard_join(df).collect()), key=str)
+def got(df, *how):
+    return sorted((tuple(r) for r in J.jaccard_join(df, *how).collect()), key=str)
 
 
 @settings(max_examples=200, deadline=None)
@@ -83,6 +83,33 @@ def test_groups(spark, monkeypatch):
     assert got(df) == want
 
 
+def test_other_thresholds(spark, monkeypatch):
+    rows = family(6, 120)
+    df = docs(spark, [(i, t, "en", "a") for i, t in rows])
+    assert brute(rows, 5, 80) != brute(rows)
+    assert got(df, 5, 80) == brute(rows, 5, 80)
+    for name, value in (("TILE_DOCS", 5), ("TILE_SHINGLES", 700)):
+        monkeypatch.setattr(J, name, value)
+    assert got(df, 5, 80) == brute(rows, 5, 80)
+
+
+def test_large_group_meets_its_hub_only(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(300):
+        words = base[:]
+        words[rng.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    monkeypatch.setattr(J, "TILE_DOCS", 5)
+    df = docs(spark, [(i, t, "en", "a") for i, t in rows])
+    assert got(df) == brute(rows)
+    _, kept = J.survivors(df.select(df.doc_id.alias("rep"), "text"))
+    near = J.banded(kept, J.cells(kept))
+    assert near.count() == near.where("near = 1").count() == 300
+    assert J.tiled(near).count() == 0  # 1830 pairs of blocks without the hub
+
+
 def test_keep_one(spark):
     out = J.keep_one(docs(spark))
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]

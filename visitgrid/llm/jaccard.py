@@ -1,22 +1,28 @@
 """N-gram Jaccard join by T-occurrence search (DivideSkip), down to connected groups.
 
-Two documents link when the Jaccard similarity of their shingle sets is at least ``PERCENT`` / 100.
+Two documents link when the Jaccard similarity of their sets of ``size``-word shingles is at least
+``percent`` / 100.
 
 1. Exact copies collapse to one representative before anything is shingled.
 2. Inverted lists: every block of documents sends its shingles, sorted and packed, to the bucket
    of their hash range. A bucket knows the length of every list and drops lists of one document,
    which are most. Shingles that are frequent inside a block ("long" ones) send no postings to
    the bucket but pass by it, so one very common passage cannot fill a task.
-3. A document of n shingles needs T = ceil(n * PERCENT / 100) shared ones with any partner. With
+3. A document of n shingles needs T = ceil(n * percent / 100) shared ones with any partner. With
    fewer than T lists of two or more it links with nothing and goes. Otherwise its n - T + 1
    shortest lists must hold every partner (the lists set aside number T - 1): documents that meet
    in such a list fall in one cell.
-4. Cells are cut in blocks of similar set size and bounded volume, and every pair of blocks whose
-   sizes allow a link is one tile. In a tile DivideSkip runs for each document of one block against
-   the inverted lists of the other: short lists are merged with counts, the candidates are probed
-   in the long lists by binary search, and those that reach the exact overlap are links. A tile
-   returns a spanning forest of its links, never its pairs.
-5. Links join into components.
+4. A cell larger than one tile gets a hub: of its commonest set sizes, the document that shares the
+   largest part of its shingles. Every document of the cell is compared with the hub. Those that
+   link are one group already and need not meet each other, so one large group of near copies
+   costs in proportion to its size.
+5. Cells are cut in blocks of similar set size and bounded volume, and every pair of blocks whose
+   sizes allow a link is one tile, but for pairs of blocks that are both linked to the hub. In a
+   tile DivideSkip runs for each document of one block against the inverted lists of the other:
+   short lists are merged with counts, the candidates are probed in the long lists by binary
+   search, and those that reach the exact overlap are links. A tile returns a spanning forest of
+   its links, never its pairs.
+6. Links join into components.
 
 Nothing is capped: a large cell makes more tiles.
 
@@ -198,12 +204,12 @@ def _listed(table: pa.Table) -> pa.Table:
                     names=["doc", "tok", "length", "rep"])
 
 
-def partner_overlap(n):
+def partner_overlap(n, percent: int = PERCENT):
     """T: the least overlap of a set of n with any partner."""
-    return F.floor((n * PERCENT + 99) / 100)
+    return F.floor((n * percent + 99) / 100)
 
 
-def survivors(reps: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
+def survivors(reps: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(sizes, kept): the set size of every representative, and the ranked postings of those that
     share enough shingles to have a partner: rep, n, tok and whether its list is in the prefix."""
     spark = reps.sparkSession
@@ -217,7 +223,7 @@ def survivors(reps: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
     ranked = (lists.join(sizes, lists["doc"] == sizes["of"])
               .select("rep", "n", "tok", F.count(F.lit(1)).over(mine).alias("shared"),
                       F.row_number().over(mine.orderBy("length", "tok")).alias("rank")))
-    need = partner_overlap(F.col("n"))
+    need = partner_overlap(F.col("n"), percent)
     # lists of one document come first in the order by length; they are the n - shared absent ones
     kept = ranked.where(F.col("shared") >= need).select(
         "rep", "n", "tok", (F.col("rank") <= F.col("shared") - need + 1).alias("prefix"))
@@ -233,39 +239,51 @@ def cells(kept: DataFrame) -> DataFrame:
     return components(edges.distinct())
 
 
-def tiled(kept: DataFrame, cell_of: DataFrame) -> DataFrame:
-    """Every document in the tiles of its cell: tile, side (0, 1, or 2 for both), rep, n, toks."""
-    docs = (kept.groupBy("rep", "n").agg(F.sort_array(F.collect_list("tok")).alias("toks"))
-            .join(cell_of, F.col("rep") == F.col("node"))
-            .select(F.col("label").alias("cell"), "rep", "n", "toks"))
-    docs = materialize(docs)
-    volume = F.greatest(F.count(F.lit(1)) / TILE_DOCS, F.sum(F.size("toks")) / TILE_SHINGLES)
-    whole = materialize(docs.groupBy(F.col("cell").alias("c")).agg(volume.alias("v")))
+def banded(kept: DataFrame, cell_of: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """cell, rep, n, toks, band, hub and near of every document: its size class (0 in cells of one
+    tile), the hub of its cell (null in cells of one tile), and 1 if it links with the hub or is it."""
     # set sizes of linked documents differ by less than one band
-    band = F.floor(F.log(F.col("n").cast("double")) / -math.log(PERCENT / 100 - 0.001)).cast("int")
-    banded = materialize(docs.join(whole, docs["cell"] == whole["c"])
-                         .select("cell", "rep", "n", "toks", F.when(F.col("v") <= 1, 0).otherwise(band).alias("band")))
-    blocks = materialize(banded.groupBy(F.col("cell").alias("c"), F.col("band").alias("d"))
+    band = F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100 - 0.001)).cast("int")
+    docs = materialize(kept.groupBy("rep", "n").agg(F.sort_array(F.collect_list("tok")).alias("toks"))
+                       .join(cell_of, F.col("rep") == F.col("node"))
+                       .select(F.col("label").alias("cell"), "rep", "n", "toks"))
+    by_band = docs.groupBy("cell", band.alias("band")).agg(
+        F.count(F.lit(1)).alias("m"), F.sum(F.size("toks")).alias("s"),
+        F.max_by("rep", F.size("toks") / F.col("n")).alias("first"))
+    volume = F.greatest(F.sum("m") / TILE_DOCS, F.sum("s") / TILE_SHINGLES)
+    whole = materialize(by_band.groupBy(F.col("cell").alias("c"))
+                        .agg((volume > 1).alias("large"), F.max_by("first", "m").alias("first")))
+    hubs = materialize(docs.join(whole.where("large"), F.col("rep") == F.col("first"))
+                       .select(F.col("cell").alias("h"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"),
+                               F.col("toks").alias("hub_toks")))
+    both = F.size(F.array_intersect("toks", "hub_toks"))
+    # a document's least overlap with the hub, solved for the overlap: (100 + percent) * both >= percent * (n + n)
+    near = ((100 + percent) * both >= percent * (F.col("n") + F.col("hub_n"))) | (F.col("rep") == F.col("hub"))
+    return materialize(docs.join(whole, F.col("cell") == F.col("c")).join(hubs, F.col("cell") == F.col("h"), "left")
+                       .select("cell", "rep", "n", "toks", F.when(F.col("large"), band).otherwise(0).alias("band"), "hub",
+                               F.coalesce(near, F.lit(False)).cast("int").alias("near")))
+
+
+def tiled(docs: DataFrame) -> DataFrame:
+    """Every document of ``banded`` in the tiles of its cell: the two blocks (band, near, number), its
+    side (0, 1, or 2 for both), rep, n, toks."""
+    volume = F.greatest(F.count(F.lit(1)) / TILE_DOCS, F.sum(F.size("toks")) / TILE_SHINGLES)
+    blocks = materialize(docs.groupBy(F.col("cell").alias("c"), F.col("band").alias("d"), F.col("near").alias("g"))
                          .agg(F.ceil(volume).cast("int").alias("k")))
-
-    def count_of(shift, name):
-        return blocks.select(F.col("c").alias(f"c_{name}"), (F.col("d") + shift).alias(f"d_{name}"), F.col("k").alias(name))
-
-    sized = blocks
-    for shift, name in ((1, "below"), (-1, "above")):
-        other = count_of(shift, name)
-        sized = sized.join(other, (F.col("c") == other[f"c_{name}"]) & (F.col("d") == other[f"d_{name}"]), "left")
-    sized = materialize(sized.select("c", "d", "k", F.coalesce("below", F.lit(0)).alias("below"),
-                                     F.coalesce("above", F.lit(0)).alias("above")))
-    placed = (banded.join(sized, (F.col("cell") == F.col("c")) & (F.col("band") == F.col("d")))
-              .withColumn("i", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")))
-    tiles = F.expr("""concat(
-        transform(sequence(0, k - 1), j -> struct(band as a, least(i, j) as i, band as b, greatest(i, j) as j,
-                                                  case when i = j then 2 when i < j then 0 else 1 end as side)),
-        transform(filter(sequence(0, above), j -> j < above), j -> struct(band as a, i as i, band + 1 as b, j as j, 0 as side)),
-        transform(filter(sequence(0, below), j -> j < below), j -> struct(band - 1 as a, j as i, band as b, i as j, 1 as side)))""")
-    return (placed.withColumn("t", F.explode(tiles))
-            .select("cell", "t.a", "t.i", "t.b", "t.j", "t.side", "rep", "n", "toks"))
+    # the blocks that a block meets: at most six kinds, of its band and the next ones
+    other = blocks.select(F.col("c").alias("c2"), F.col("d").alias("d2"), F.col("g").alias("g2"), F.col("k").alias("k2"))
+    meets = (blocks.withColumn("to", F.explode(F.array(F.col("d") - 1, F.col("d"), F.col("d") + 1)))
+             .join(other, (F.col("c") == F.col("c2")) & (F.col("to") == F.col("d2"))).where("g + g2 < 2")
+             .groupBy("c", "d", "g", "k").agg(F.collect_list(F.struct("d2", "g2", "k2")).alias("meets")))
+    placed = (docs.join(materialize(meets), (F.col("cell") == F.col("c")) & (F.col("band") == F.col("d"))
+                        & (F.col("near") == F.col("g")))
+              .withColumn("own", F.struct("band", "near", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int").alias("no"))))
+    met = F.expr("flatten(transform(meets, m -> transform(sequence(0, m.k2 - 1), "
+                 "j -> struct(m.d2 as band, m.g2 as near, j as no))))")
+    side = F.when(F.col("own") == F.col("met"), 2).when(F.col("own") < F.col("met"), 0).otherwise(1)
+    return (placed.withColumn("met", F.explode(met))
+            .select("cell", F.least("own", "met").alias("lo"), F.greatest("own", "met").alias("hi"), side.alias("side"),
+                    "rep", "n", "toks"))
 
 
 def divide_skip(index: list[np.ndarray], query: np.ndarray, need: int, lists=None) -> tuple[np.ndarray, np.ndarray]:
@@ -304,51 +322,56 @@ def inverted(index: list[np.ndarray]):
     return toks[starts], starts, np.diff(np.r_[starts, len(toks)]), posts, len(index)
 
 
-def _links(table: pa.Table) -> pa.Table:
-    """A spanning forest of the links of one tile."""
-    rep, n, side = (np.array(table.column(c)) for c in ("rep", "n", "side"))
-    toks = [np.asarray(x.values) for x in table.column("toks")]
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    lists = inverted([toks[i] for i in left])
-    up = np.arange(len(rep))
-
-    def top(x):
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    a, b = [], []
-    for q in right:
-        need = -(-int(n[q]) * PERCENT // 100)
-        found, overlap = divide_skip([], toks[q], need, lists)
-        other = left[found]
-        linked = 100 * overlap >= PERCENT * (n[q] + n[other] - overlap)
-        for x in other[linked]:
-            r, s = top(q), top(x)
-            if r != s:
-                up[max(r, s)] = min(r, s)
-                a.append(rep[q])
-                b.append(rep[x])
-    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def links(reps: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
+def _links(percent: int):
+    """Function that gives a spanning forest of the links of one tile."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rep, n, side = (np.array(table.column(c)) for c in ("rep", "n", "side"))
+        toks = [np.asarray(x.values) for x in table.column("toks")]
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        lists = inverted([toks[i] for i in left])
+        up = np.arange(len(rep))
+
+        def top(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        a, b = [], []
+        for q in right:
+            need = -(-int(n[q]) * percent // 100)
+            found, overlap = divide_skip([], toks[q], need, lists)
+            other = left[found]
+            linked = 100 * overlap >= percent * (n[q] + n[other] - overlap)
+            for x in other[linked]:
+                r, s = top(q), top(x)
+                if r != s:
+                    up[max(r, s)] = min(r, s)
+                    a.append(rep[q])
+                    b.append(rep[x])
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def links(reps: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(sizes, links): set sizes of the representatives, and links enough to connect every group."""
-    sizes, kept = survivors(reps, size)
-    tiles = tiled(kept, cells(kept))
-    found = tiles.groupBy("cell", "a", "i", "b", "j").applyInArrow(_links, "a long, b long")
-    return sizes, materialize(found)
+    sizes, kept = survivors(reps, size, percent)
+    docs = banded(kept, cells(kept), percent)
+    found = tiled(docs).groupBy("cell", "lo", "hi").applyInArrow(_links(percent), "a long, b long")
+    with_hub = docs.where("near = 1 and rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    return sizes, materialize(found.union(with_hub))
 
 
-def near_groups(docs: DataFrame, size: int = SIZE) -> DataFrame:
+def near_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, digest, n_shingles, component_id of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
     own = F.coalesce(F.min("doc_id"), F.lit(NO_ID) + F.expr("abs(xxhash64(digest) div 4)")).alias("rep")
     texts = (rows.where(F.col("text").isNotNull()).groupBy("digest").agg(own, F.first("text").alias("text"))
              .select("rep", "text").sortWithinPartitions("rep"))  # blocks come out alike in every attempt
-    sizes, linked = links(texts, size)
+    sizes, linked = links(texts, size, percent)
     groups = components(linked)
     info = sizes.join(groups, sizes["rep"] == groups["node"], "left").select(
         sizes["rep"].alias("of"), "n", F.coalesce("label", "rep").alias("label"))
@@ -361,15 +384,15 @@ def near_groups(docs: DataFrame, size: int = SIZE) -> DataFrame:
         .alias("component_id"))
 
 
-def jaccard_join(docs: DataFrame, size: int = SIZE) -> DataFrame:
+def jaccard_join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    return near_groups(docs, size).drop("digest")
+    return near_groups(docs, size, percent).drop("digest")
 
 
-def keep_one(docs: DataFrame, size: int = SIZE) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """One document of each group, that with the smallest id, with the columns of documents."""
     docs = docs.select(*DOCUMENT_COLUMNS)
-    stay = materialize(near_groups(docs, size).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = materialize(near_groups(docs, size, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
                        .groupBy(F.col("doc_id").alias("id"), F.col("digest").alias("same"))
                        .agg((F.count(F.lit(1)) * F.sign(F.max("n_shingles"))).alias("rows")))
     marked = docs.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
