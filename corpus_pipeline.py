@@ -8,6 +8,10 @@ from visitgrid.llm.common import DOCUMENT_COLUMNS, table
 from visitgrid.plans.ordered import materialize
 
 
+#: Near duplicates share five-word shingles, with a similarity of 0.8 or more.
+NEAR_SIZE, NEAR_PERCENT = 5, 80
+
+
 def quality_stage(spark, docs, sf_dir):
     """Documents that the quality rules reject go."""
     return quality.keep_good(docs)
@@ -15,7 +19,7 @@ def quality_stage(spark, docs, sf_dir):
 
 def near_duplicate_stage(spark, docs, sf_dir):
     """Of each group of linked documents the one with the smallest id stays."""
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, NEAR_SIZE, NEAR_PERCENT)
 
 
 def decontamination_stage(spark, docs, sf_dir):

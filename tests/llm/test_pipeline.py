@@ -28,7 +28,7 @@ def test_stages(spark):
         if name == "quality_rules":
             assert gone == {r["doc_id"] for r in quality.quality_rules(df).where("not kept").collect()}
         elif name == "jaccard_join":
-            assert gone == {r["doc_id"] for r in jaccard.jaccard_join(df).where("doc_id <> component_id").collect()}
+            assert gone == {r["doc_id"] for r in jaccard.jaccard_join(df, P.NEAR_SIZE, P.NEAR_PERCENT).where("doc_id <> component_id").collect()}
         elif name == "decontamination":
             items = P.table(spark, SF, "benchmark")
             assert gone == {r["doc_id"] for r in decontam.contaminated(df, items).collect()}
