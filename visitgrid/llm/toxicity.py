@@ -181,7 +181,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     # the ids are chosen before any text moves
     ids = (known.where(F.col("toxic").isNotNull() & F.col("__id").isNotNull() & ~held_out("__id"))
            .orderBy(F.xxhash64("__id"), "__id", "toxic").limit(sample))
-    rows = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__id")).select("text", "toxic").toPandas()
+    rows = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__id"))
+    # ids that documents repeat must not swell the sample
+    last = rows.orderBy(F.xxhash64("doc_id", "text"), "toxic").limit(sample)
+    rows = last.select("text", "toxic").toPandas()
     rows = rows.sort_values(["toxic", "text"], kind="stable")
     return train(rows["text"].tolist(), rows["toxic"].clip(0, 1).tolist())
 
