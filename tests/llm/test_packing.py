@@ -49,3 +49,19 @@ def test_empty_and_null(spark):
     assert P.packed(empty(spark)).count() == 0
     one = P.packed(docs(spark, [(3, None, None, None), (4, "", None, None)])).collect()
     assert {(r["doc_id"], r["length"], r["doc_tokens"], r["start"]) for r in one} == {(3, 1, 1, 0), (4, 1, 1, 0)}
+
+
+def test_added_tokens_get_their_ids(spark):
+    """Against the tokenizer as the contract loads it, without any option set."""
+    from tokenizers import Tokenizer
+    import public_tokenizers
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|><|endoftext|>  don't\n", "a<|endoftext|", "none here",
+             "über\n\n <|endoftext|>\n 漢字", "<|ENDOFTEXT|> <|endoftext |>"]
+    out = P.packed(docs(spark, [(i, x, None, None) for i, x in enumerate(texts)]), with_ids=True).collect()
+    for i, x in enumerate(texts):
+        rows = sorted((r for r in out if r["doc_id"] == i), key=lambda r: r["start"])
+        want = [*t.encode(x, add_special_tokens=False).ids, 0]
+        assert [k for r in rows for k in r["ids"]] == want and {r["doc_tokens"] for r in rows} == {len(want)}
+        assert [r["ids_crc32"] for r in rows] == [
+            zlib.crc32(np.array(want[r["start"]:r["start"] + r["length"]], dtype="<u4").tobytes()) for r in rows]
