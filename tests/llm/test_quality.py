@@ -69,3 +69,21 @@ def test_sketches_merge(spark):
     few = docs(spark, texts + [(1000, texts[0][1], "en", "other")])
     rows = materialize(Q.measured(few, ["doc_id", "lang", "source"]))
     assert len({str(r["fence"]) for r in Q.fences(Q.sketches(rows), 100).where("s = 'other' or s = 's'").collect()}) == 1
+
+
+def test_fences_of_rates_that_are_mostly_zero(spark):
+    """Where a whole group has no repeats, a text with 28 % repeated words or half its lines goes;
+    where every text has as many, it stays."""
+    def text(i, n, head=0, lines=False):
+        body = [f"w{i}x{k}" for k in range(n)]
+        if lines:
+            return "\n".join([*body, *body])
+        return " ".join([*body[:head], *body])
+
+    plain = [(i, text(i, 86), "en", "a") for i in range(150)]
+    bad = [(1000, text(1000, 86, 14), "en", "a"), (1001, text(1001, 7, 0, True) + "\n" + text(1002, 30), "en", "a")]
+    usual = [(2000 + i, text(2000 + i, 86, 14), "de", "b") for i in range(150)]
+    got = {r["doc_id"]: r for r in Q.quality_rules(docs(spark, plain + bad + usual)).collect()}
+    assert not got[1000]["base_failed"] and not got[1000]["kept"] and got[1000]["n_repeat_words"] == 28
+    assert not got[1001]["base_failed"] and not got[1001]["kept"]
+    assert all(got[i]["kept"] for i, *_ in plain + usual)

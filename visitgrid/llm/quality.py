@@ -32,11 +32,14 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 #: Rates in thousandths: name -> (numerator, denominator, slack added to the fence, two-sided).
 RATES = {
     "symbol_rate": ("n_symbols", "n_words", 100, False),
-    "dup_line_rate": ("n_dup_lines", "n_lines", 500, False),
-    "repeat_rate": ("n_repeat_words", "n_words", 300, False),
-    "echo_rate": ("n_echo_words", "n_words", 200, False),
+    "dup_line_rate": ("n_dup_lines", "n_lines", 100, False),
+    "repeat_rate": ("n_repeat_words", "n_words", 50, False),
+    "echo_rate": ("n_echo_words", "n_words", 50, False),
     "mean_chars": ("word_chars", "n_words", 1500, True),
 }
+#: Rates that are 0 in most documents, so that their quartiles say nothing: the fence lies at twice this
+#: percentage of the rows at least. (Junk makes up more of the rows with symbols: no such fence there.)
+TOP = {"dup_line_rate": 99, "repeat_rate": 99}
 #: A group's own sketch decides from this many documents on.
 MIN_GROUP = 100
 #: Fences lie this many interquartile ranges outside the quartiles.
@@ -140,16 +143,20 @@ def fences(cells: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     upto = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = merged.select("*", F.sum("n").over(upto).alias("cum"), F.sum("n").over(group).alias("tot"))
 
-    def quartile(k: int, measure: str) -> Column:  # the first bucket that reaches k/4 of the rows
-        hit = (F.col("measure") == measure) & (4 * F.col("cum") >= k * F.col("tot"))
+    def quantile(k: int, measure: str) -> Column:  # the first bucket that reaches k % of the rows
+        hit = (F.col("measure") == measure) & (100 * F.col("cum") >= k * F.col("tot"))
         return F.min(F.when(hit, bucket_low(F.col("bucket"))))
 
     q = ranked.groupBy("level", "l", "s").agg(
-        F.max("tot").alias("rows"), *[quartile(k, r).alias(f"{r}_{k}") for r in RATES for k in (1, 3)])
+        F.max("tot").alias("rows"), *[quantile(25 * k, r).alias(f"{r}_{k}") for r in RATES for k in (1, 3)],
+        *[quantile(k, r).alias(f"{r}_top") for r, k in TOP.items()])
     bounds = []
     for r, (_, _, slack, two_sided) in RATES.items():
         reach = REACH * (F.col(f"{r}_3") - F.col(f"{r}_1")) + slack
-        bounds.append((F.col(f"{r}_3") + reach).alias(f"{r}_max"))
+        high = F.col(f"{r}_3") + reach
+        if r in TOP:
+            high = F.greatest(high, 2 * F.col(f"{r}_top") + slack)
+        bounds.append(high.alias(f"{r}_max"))
         if two_sided:
             bounds.append((F.col(f"{r}_1") - reach).alias(f"{r}_min"))
     q = materialize(q.select("level", "l", "s", "rows", F.struct(*bounds).alias("f")))
