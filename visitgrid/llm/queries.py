@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from visitgrid.llm import decontam, jaccard, language, lm, packing, quality, secrets, tokens, toxicity, warc
+from visitgrid.llm import decontam, jaccard, language, lm, merkle, packing, quality, secrets, tokens, toxicity, warc
 from visitgrid.llm.common import table
 
 QUERIES: dict = {}
@@ -66,3 +66,8 @@ def op9(spark, sf_dir):
 @query("op10_jaccard_join")
 def op10(spark, sf_dir):
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@query("op12_merkle_manifest", merkle.SQL)
+def op12(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents"))
