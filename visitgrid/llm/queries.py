@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from visitgrid.llm import decontam, jaccard, language, lm, merkle, packing, quality, secrets, tokens, toxicity, warc
+from visitgrid.llm import (
+    collocations, decontam, extraction, jaccard, language, lm, merkle, packing, quality, secrets, tokens, toxicity, warc)
 from visitgrid.llm.common import table
 
 QUERIES: dict = {}
@@ -68,6 +69,16 @@ def op10(spark, sf_dir):
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+@query("op11_collocations", collocations.SQL)
+def op11(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 @query("op12_merkle_manifest", merkle.SQL)
 def op12(spark, sf_dir):
     return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+@query("op13_html_extraction")
+def op13(spark, sf_dir):
+    return extraction.extracted(table(spark, sf_dir, "pages"))
