@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from visitgrid.plans.ordered import materialize, top_rows
 
 MIN_COUNT, MAX_WORDS, TOP = 10, 3, 2000
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 800_000
 #: Bytes of text whose phrases share a bucket: about 1.5 million rows before they are summed.
 BUCKET_BYTES = 4_500_000
 #: What ends a piece; A-Z in lower case; a tab separates words like a blank.
@@ -76,7 +76,7 @@ class PhraseIndex:
 
     def words(self):
         """All single words: (ids of shape (words, 1), {side: interval starts}, counts)."""
-        ids = np.arange(1, self.alphabet)
+        ids = np.arange(1, self.alphabet, dtype=np.int32)
         counts = np.diff(self.starts)[1:]
         ids, counts = ids[counts > 0], counts[counts > 0]
         return ids[:, None], {side: self.starts[ids] for side in self.transforms}, counts
@@ -86,7 +86,7 @@ class PhraseIndex:
         if side not in self._occurrences:
             t = self.transforms[side].astype(np.int64)
             self._occurrences[side] = np.sort(t * self.n + np.arange(self.n))
-        return np.searchsorted(self._occurrences[side], symbols * self.n + before) - self.starts[symbols]
+        return np.searchsorted(self._occurrences[side], symbols.astype(np.int64) * self.n + before) - self.starts[symbols]
 
     def extended(self, phrases, side: str, last: bool = False):
         """All phrases one word longer on a side. Their interval on that side follows from ranks, the
@@ -99,9 +99,10 @@ class PhraseIndex:
         cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
         own, symbol = np.divmod(keys[cut], self.alphabet)
         n = np.diff(np.concatenate([cut, [len(keys)]]))
+        del keys, rows
         smaller = cut - first[own]
         kept = symbol > 0  # a phrase ends where its piece ends
-        own, symbol, n, smaller = own[kept], symbol[kept], n[kept], smaller[kept]
+        own, symbol, n, smaller = own[kept], symbol[kept].astype(np.int32), n[kept], smaller[kept]
         grown = [symbol[:, None], ids[own]] if side == "left" else [ids[own], symbol[:, None]]
         if last:
             return np.hstack(grown), {}, n
@@ -124,13 +125,13 @@ class Shard:
     def __init__(self):
         self.fresh = itertools.count(1)
         self.ids: dict[bytes, defaultdict] = {}
-        self.parts, self.tokens = [np.zeros(1, np.int64)], 0
+        self.parts, self.tokens = [np.zeros(1, np.int32)], 0
 
     def add(self, lang: bytes, raw: bytes) -> None:
         if lang not in self.ids:
             self.ids[lang] = defaultdict(self.fresh.__next__, {b"\n": 0})
         found = words_of(raw)
-        self.parts.append(np.fromiter(map(self.ids[lang].__getitem__, found), np.int64, len(found)))
+        self.parts.append(np.fromiter(map(self.ids[lang].__getitem__, found), np.int32, len(found)))
         self.tokens += len(found)
 
     def blocks(self, bits: int, longest: int):
@@ -140,7 +141,7 @@ class Shard:
         known = sorted((lang, word, i) for lang, ids in self.ids.items() for word, i in ids.items() if i)
         if not known:
             return
-        place = np.zeros(len(known) + 1, np.int64)
+        place = np.zeros(len(known) + 1, np.int32)
         place[[i for _, _, i in known]] = np.arange(1, len(known) + 1)
         index = PhraseIndex(place[text], longest - 1)
         plain = pa.array([b"", *(word for _, word, _ in known)], pa.binary())
