@@ -13,7 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 
-ROUNDS, RATE, PENALTY, MIN_CHAINS = 300, 0.1, 0.5, 5
+ROUNDS, RATE, PENALTY, MIN_CHAINS = 200, 0.1, 1.0, 8
 
 
 class Field(NamedTuple):
@@ -21,11 +21,6 @@ class Field(NamedTuple):
     edges: list    # [kind][label before][label]
 
 
-def _log_sum(a, axis):
-    top = a.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(a - top).sum(axis=axis))
-
-
 def fit(chains, labels, kinds: int = 2, rounds: int = ROUNDS) -> Field:
     """``chains``: lists of (features, kind of edge); ``labels``: lists of 0 and 1 of the same shape.
 
@@ -37,40 +32,48 @@ def fit(chains, labels, kinds: int = 2, rounds: int = ROUNDS) -> Field:
     if not names:
         return Field({}, [[[0.0, 0.0], [0.0, 0.0]] for _ in range(kinds)])
     number = {f: i for i, f in enumerate(names)}
-    n, longest = len(pairs), max(len(c) for c, _ in pairs)
-    live, gold = np.zeros((n, longest), bool), np.zeros((n, longest), np.int64)
-    kind = np.zeros((n, longest), np.int64)
+    pairs.sort(key=lambda p: -len(p[0]))  # so the chains that reach step t are the first ones
+    n, longest = len(pairs), len(pairs[0][0])
+    reach = [sum(len(c) > t for c, _ in pairs) for t in range(longest)]
+    live, gold = np.zeros((longest, n), bool), np.zeros((longest, n), np.int64)
+    kind = np.zeros((longest, n), np.int64)
     row, col = [], []
     for i, (c, y) in enumerate(pairs):
-        live[i, :len(c)], gold[i, :len(c)] = True, y
+        live[:len(c), i], gold[:len(c), i] = True, y
         for t, (step, k) in enumerate(c):
-            kind[i, t] = k
+            kind[t, i] = k
             known = [number[f] for f in step if f in number]
-            row += [i * longest + t] * len(known)
+            row += [t * n + i] * len(known)
             col += known
     row, col = np.array(row), np.array(col)
-    chain = np.arange(n)
+    inner = [live[1:] & (kind[1:] == k) for k in range(kinds)]
+    told = np.array([[[(on & (gold[:-1] == a) & (gold[1:] == b)).sum() for b in (0, 1)] for a in (0, 1)] for on in inner])
 
     def gradient(w, e):
-        score = np.zeros((n, longest, 2))
-        score[:, :, 1] = np.bincount(row, w[col], n * longest).reshape(n, longest)
-        forward, backward = score.copy(), np.zeros_like(score)
+        score = np.bincount(row, w[col], longest * n).reshape(longest, n)
+        edge = e[kind]
+        forward, backward = np.zeros((2, longest, n)), np.zeros((2, longest, n))
+        forward[1, 0] = score[0]
         for t in range(1, longest):
-            step = _log_sum(forward[:, t - 1, :, None] + e[kind[:, t]], 1) + score[:, t]
-            forward[:, t] = np.where(live[:, t, None], step, forward[:, t - 1])
+            m = reach[t]
+            for b in (0, 1):
+                forward[b, t, :m] = np.logaddexp(forward[0, t - 1, :m] + edge[t, :m, 0, b], forward[1, t - 1, :m] + edge[t, :m, 1, b])
+                forward[b, t, m:] = forward[b, t - 1, m:]  # a chain that has ended keeps its sums
+            forward[1, t, :m] += score[t, :m]
         for t in range(longest - 2, -1, -1):
-            step = _log_sum(e[kind[:, t + 1]] + (score[:, t + 1] + backward[:, t + 1])[:, None, :], 2)
-            backward[:, t] = np.where(live[:, t + 1, None], step, 0)
-        whole = _log_sum(forward[:, -1], 1)
-        one = np.exp(forward[:, :, 1] + backward[:, :, 1] - whole[:, None])
-        gw = np.bincount(col, (np.where(live, gold - one, 0)).ravel()[row], len(names)) - PENALTY * w
-        ge = -PENALTY * e
-        for t in range(1, longest):
-            on = live[:, t]
-            joint = np.exp(forward[:, t - 1, :, None] + e[kind[:, t]] + (score[:, t] + backward[:, t])[:, None, :]
-                           - whole[:, None, None])
-            np.add.at(ge, (kind[on, t], gold[on, t - 1], gold[on, t]), 1.0)
-            np.subtract.at(ge, kind[on, t], joint[on])
+            m = reach[t + 1]
+            for a in (0, 1):
+                backward[a, t, :m] = np.logaddexp(edge[t + 1, :m, a, 0] + backward[0, t + 1, :m],
+                                                  edge[t + 1, :m, a, 1] + score[t + 1, :m] + backward[1, t + 1, :m])
+        whole = np.logaddexp(forward[0, -1], forward[1, -1])
+        one = np.exp(forward[1] + backward[1] - whole)
+        gw = np.bincount(col, np.where(live, gold - one, 0).ravel()[row], len(names)) - PENALTY * w
+        ge = told - PENALTY * e
+        for a in (0, 1):
+            for b in (0, 1):
+                joint = np.exp(forward[a, :-1] + edge[1:, :, a, b] + b * score[1:] + backward[b, 1:] - whole)
+                for k in range(kinds):
+                    ge[k, a, b] -= joint[inner[k]].sum()
         return gw, ge
 
     w, e = np.zeros(len(names)), np.zeros((kinds, 2, 2))

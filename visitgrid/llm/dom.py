@@ -22,6 +22,8 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol optgroup option p pre search "
     "section summary table tbody td tfoot th thead tr ul".split()) | UNSEEN
+#: Elements that tell the part of a page.
+PARTS = frozenset("article aside footer form header main nav section".split())
 #: A start closes these when they are open on top of it.
 NEIGHBOURS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"),
               "tr": ("td", "th", "tr"), "option": ("option",)}
@@ -36,6 +38,7 @@ RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 class Block(NamedTuple):
     text: str
     around: frozenset  # 'in:tag' and 'as:word' of the elements around it
+    near: frozenset    # 'near:word' of the closest element with class or id words, 'part:tag' of the closest part
     element: str       # the nearest block element
     container: int     # number of the element that holds the nearest one
     linked: float      # share of link characters
@@ -45,6 +48,8 @@ class Block(NamedTuple):
 class Frame(NamedTuple):
     name: str
     around: frozenset
+    near: frozenset
+    part: str
     number: int
     parent: int
     main: bool
@@ -54,7 +59,7 @@ class Frame(NamedTuple):
 def leaf_blocks(page: str, known=None) -> list[Block]:
     """The blocks with text, in page order. ``known``: only these features are kept."""
     out: list[Block] = []
-    stack = [Frame("body", frozenset(), 0, 0, False, False)]
+    stack = [Frame("body", frozenset(), frozenset(), "none", 0, 0, False, False)]
     counts: dict[str, int] = {}
     held: list[str] = []
     chars = linked = links = number = 0
@@ -65,7 +70,7 @@ def leaf_blocks(page: str, known=None) -> list[Block]:
             text = " ".join("".join(held).split())
             if text:
                 f = stack[-1]
-                out.append(Block(text, f.around, f.name, f.parent, linked / max(chars, 1), f.main))
+                out.append(Block(text, f.around, f.near | {f"part:{f.part}"}, f.name, f.parent, linked / max(chars, 1), f.main))
             held, chars, linked = [], 0, 0
 
     def pop():
@@ -127,19 +132,21 @@ def leaf_blocks(page: str, known=None) -> list[Block]:
             while stack[-1].name in NEIGHBOURS.get(name, ()):
                 pop()
             top = stack[-1]
-            fresh, main = {f"in:{name}"}, top.main
+            fresh, words, main = {f"in:{name}"}, set(), top.main
             if t[2]:
                 for key, value in ATTRIBUTE.findall(t[2]):
                     value = value.strip("\"'")
                     if key.lower() == "data-main":
                         main = value == "1"
                     else:
-                        fresh.update(f"as:{w.lower()}" for w in WORD.findall(value))
+                        words.update(w.lower() for w in WORD.findall(value))
+            fresh.update(f"as:{w}" for w in words)
+            near = frozenset(f"near:{w}" for w in words) or top.near
             if known is not None:
-                fresh &= known
+                fresh, near = fresh & known, near & known
             number += 1
             counts[name] = counts.get(name, 0) + 1
-            stack.append(Frame(name, top.around if fresh <= top.around else top.around | fresh, number, top.number,
-                               main, top.unseen or name in UNSEEN))
+            stack.append(Frame(name, top.around if fresh <= top.around else top.around | fresh, near, name if name in PARTS else top.part,
+                               number, top.number, main, top.unseen or name in UNSEEN))
     flush()
     return out

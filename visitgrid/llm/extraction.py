@@ -3,7 +3,8 @@
 A page becomes its leaf blocks in page order (``dom``). The steps of its chain are the blocks; their
 features are the tags and the class and id words of all elements around them, their own element,
 and what their text looks like: length, link share, ending, signs, capitals, digits, the words of
-short labels. Edges differ by whether two blocks stand in one container. The field (``crf``) is
+short labels, and the words and the part that are closest. Edges differ by whether two blocks stand in
+one container, and are named alike there. The field (``crf``) is
 trained on labelled pages: by default the layouts of ``layouts``, a fixed number of them, or any
 pages marked in the same way. Its weights go to every task, which decodes page by page.
 
@@ -26,6 +27,8 @@ from visitgrid.llm.layouts import labelled_pages
 
 #: Up to this number of words a block is a label, whose words are features.
 LABEL_WORDS = 4
+#: Kinds of edges: to another container, in one container, in one container and named alike.
+EDGES = 3
 LENGTHS = (1, 2, 4, 8, 16, 32, 64, 128)
 
 
@@ -55,15 +58,16 @@ def chain_of(blocks: list[Block]):
     """(features, kind of edge) of every block; the first edge is not used."""
     out, before = [], None
     for b in blocks:
-        out.append(([*text_features(b), *b.around], int(b.container == before)))
-        before = b.container
+        kind = 0 if before is None or b.container != before.container else 1 if b.near != before.near else 2
+        out.append(([*text_features(b), *b.around, *b.near], kind))
+        before = b
     return out
 
 
 def trained(pages) -> crf.Field:
     """The field that labelled pages give."""
     parsed = [leaf_blocks(p) for p in pages]
-    return crf.fit([chain_of(p) for p in parsed], [[int(b.main) for b in p] for p in parsed])
+    return crf.fit([chain_of(p) for p in parsed], [[int(b.main) for b in p] for p in parsed], kinds=EDGES)
 
 
 @cache

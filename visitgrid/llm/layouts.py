@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import random
 
-PAGES, SEED = 600, 11
+PAGES, SEED = 1500, 11
 
 #: Class and id words by the part of a page that they name.
 MAIN = "content post entry article story body text main blog news page single".split()
@@ -48,6 +48,8 @@ class _Page:
         self.named = rng.random() < 0.8
         self.telling = rng.random() < 0.75
         self.careless = rng.random() < 0.3
+        # the text of some pages is odd: lists with bars, signs, capitals, numbers, no full stops
+        self.odd = rng.choice([None] * 6 + ["bars", "signs", "capitals", "numbers", "bare"])
 
     def word(self):
         return "".join(self.rng.choices(SYLLABLES, k=self.rng.randint(1, 4)))
@@ -55,6 +57,18 @@ class _Page:
     def words(self, low, high):
         return " ".join(self.word() for _ in range(self.rng.randint(low, high)))
 
+    def twisted(self, text):
+        """A text of the article in the page's odd manner."""
+        if self.odd == "bars":
+            return text.replace(" ", " | ")
+        if self.odd == "signs":
+            return "".join(w + self.rng.choice(["### ", "*** ", "&amp;&amp; ", "%%% "]) for w in text.split(" "))
+        if self.odd == "capitals":
+            return text.upper()
+        if self.odd == "numbers":
+            return " ".join(self.rng.choice([w, str(self.rng.randint(1, 10 ** 6))]) for w in text.split(" "))
+        return text.replace(".", "") if self.odd == "bare" else text
+
     def sentences(self, low, high):
         out = []
         for _ in range(self.rng.randint(low, high)):
@@ -115,7 +129,7 @@ class _Page:
                 f"<label>{self.says(part)}</label> <input name=x>" for _ in range(r.randint(1, 3))) + "<button>Ok</button>"
         elif part == "comments":
             one = r.choice(["div", "li", "article", "p"])
-            inner = f"<{r.choice(['h2', 'h3', 'h4'])}>{self.says(part)}</h3>".replace("</h3>", "</h3>") + "".join(
+            inner = f"<h3>{self.says(part)}</h3>" + "".join(
                 f"<{one}{self.name(part)}>{r.choice([f'<b>{self.word()}</b>: ', f'<div>{self.words(1, 2)}</div>', ''])}"
                 f"{r.choice(['{}', '<p>{}</p>', '<p>{}</p><p>{}</p>']).replace('{}', self.sentences(1, 5))}</{one}>" for _ in range(r.randint(1, 5)))
         else:
@@ -126,14 +140,14 @@ class _Page:
         r, out = self.rng, []
         if r.random() < 0.85:
             h = r.choice(["h1", "h1", "h2"])
-            title = f"<{h}>{self.words(2, 9).capitalize()}</{h}>"
+            title = f"<{h}>{self.twisted(self.words(2, 9).capitalize())}</{h}>"
             out.append(r.choice([title, title, f"<header>{title}</header>", f"<div>{title}</div>"]))
         if r.random() < 0.15:
             out.append(self.part("share", off=True))
         for _ in range(r.randint(1, 14)):
             kind = r.random()
             if kind < 0.62:
-                text = self.sentences(1, r.choice([1, 2, 6, 12]))
+                text = self.twisted(self.sentences(1, r.choice([1, 2, 6, 12])))
                 if r.random() < 0.25:
                     text = text.replace(" ", f" {self.link(self.word())} ", 1)
                 if r.random() < 0.2:
@@ -141,7 +155,7 @@ class _Page:
                 br = r.choice(["", "", "<br>"])
                 out.append(f"<p>{text}{br}" + ("" if self.careless and r.random() < 0.4 else "</p>"))
             elif kind < 0.72:
-                out.append(f"<p>{self.words(1, 5).capitalize()}.</p>")
+                out.append(f"<p>{self.twisted(self.words(1, 5).capitalize() + '.')}</p>")
             elif kind < 0.8:
                 out.append(f"<{r.choice(['h2', 'h3'])}>{self.words(1, 6).capitalize()}</h2>")
             elif kind < 0.85:
