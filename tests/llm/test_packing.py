@@ -27,14 +27,24 @@ def test_same_ids_as_the_json_vocabulary():
         assert P.token_ids(t, P.vocabulary()).tolist() == ids_of(t)
 
 
+def test_long_runs():
+    """Runs of a million characters get the ids of the JSON vocabulary's encoder."""
+    n = 1_000_000
+    for t in (" " * n, "ab" + " " * n + "cd", " " * n + "\n", "x" + "\n" * n + " y", "a" + " \t" * (n // 2) + "\tb", "\u3000" * 20_000 + "z",
+              "a" * n, "7" * 100_000, "#" * n, "é" * 100_000, ("w" + " " * 6000) * 5 + "<|endoftext|>" + " " * 6000 + "end"):
+        assert P.token_ids(t, P.vocabulary()).tolist() == ids_of(t), t[:20]
+
+
 def test_round_trip(spark):
-    texts = [x for x in NASTY if x[1] is None or len(x[1]) < 1000] + [(20, "lorem ipsum dolor " * 900, "en", "a")]
+    texts = NASTY + [(20, "lorem ipsum dolor " * 900, "en", "a")]
     out = P.packed(docs(spark, texts), with_ids=True).collect()
     assert len({r["sequence_id"] for r in out}) == len(out)
+    assert len({(r["bucket"], r["place"]) for r in out}) == len(out)
     want = sorted(((-1 if i is None else i), tuple(ids_of(t))) for i, t, _, _ in texts)
     whole = {}
     for r in out:  # the rows of one repeated document are told apart by their sequences
         assert r["length"] == len(r["ids"]) and r["length"] & (r["length"] - 1) == 0 and r["offset"] == 0
+        assert r["bucket"] == r["length"].bit_length() - 1
         assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes())
         whole.setdefault((-1 if r["doc_id"] is None else r["doc_id"]), []).append(r)
     for i, ids in want:
