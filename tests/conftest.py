@@ -10,6 +10,13 @@ sys.path.insert(0, str(ROOT / "tests"))
 sys.path.insert(0, str(ROOT / "tests" / "llm"))
 
 
+@pytest.fixture(scope="session", autouse=True)
+def small_models():
+    """Fewer trees and rounds than the production sizes: the tests are about what surrounds the models."""
+    from visitgrid.operators import models
+    models.TREES, models.TREE_DEPTH, models.ROUNDS = 15, 6, 8
+
+
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession

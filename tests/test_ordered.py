@@ -6,11 +6,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from visitgrid.functions.core import md5_int
 from visitgrid.operators import evaluate as E
 from visitgrid.operators import forecast as FC
+from visitgrid.operators import replicates as RP
 from visitgrid.operators import sampling as S
+from visitgrid.operators import significance as SG
 from visitgrid.plans import ordered as O
-from visitgrid.plans.neighbors import nearest
+from visitgrid.plans.neighbors import nearest, nearest_indexed, recall
 
 PATHS = [pytest.param(1, id="one"), pytest.param(17, id="many")]
 
@@ -39,16 +42,49 @@ def test_prefix_sums(skewed, limit):
             assert (r["cum_n"], r["tot_n"]) == (want, len(vs))
 
 
-@pytest.mark.parametrize("limit", PATHS)
-def test_exact_quantiles(skewed, limit):
+@pytest.mark.parametrize("accuracy", [20, 60, 10_000])
+def test_exact_quantiles(skewed, accuracy):
+    """Coarse sketches make real brackets; the quantiles are exact whatever the accuracy."""
     df, rows = skewed
-    probs = {"a": 0.01, "m": 0.5, "z": 0.9}
+    probs = {"lo": 0.0, "a": 0.01, "m": 0.5, "z": 0.9, "hi": 1.0}
     for keys in (["k"], []):
-        out = O.exact_quantiles(df, keys, "v", probs, ranges=limit).collect()
+        out = O.exact_quantiles(df, keys, "v", probs, accuracy=accuracy).collect()
+        assert len(out) == (40 if keys else 1)
         for r in out:
             vs = [v for k, v, _ in rows if not keys or k == r["k"]]
             for n, p in probs.items():
                 assert r[n] == pytest.approx(np.quantile(vs, p), abs=1e-12)
+    cells = df.groupBy("k", "v").agg(F.count(F.lit(1)).alias("w"))
+    for r in O.exact_quantiles(cells, ["k"], "v", probs, weight="w").collect():
+        assert r["m"] == pytest.approx(np.quantile([v for k, v, _ in rows if k == r["k"]], 0.5), abs=1e-12)
+
+
+def test_quantiles_shuffle_brackets_only(spark):
+    """Distinct values everywhere: the ranked cells are a small share of the rows."""
+    df = spark.range(200_000).select((F.col("id") * 0.1).alias("v"), (F.col("id") % 3).alias("k"))
+    got = {r["k"]: (r["m"], r["q"]) for r in O.exact_quantiles(df, ["k"], "v", {"m": 0.5, "q": 0.9}).collect()}
+    for k in range(3):
+        vs = [i * 0.1 for i in range(200_000) if i % 3 == k]
+        assert got[k] == pytest.approx((np.quantile(vs, 0.5), np.quantile(vs, 0.9)))
+    marks = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *O._marks("v", {"m": 0.5}, O.ACCURACY)).collect()
+    inside = sum(df.where((F.col("k") == r["k"]) & F.col("v").between(r["__lo"][0], r["__hi"][0])).count() for r in marks)
+    assert inside < 0.002 * 200_000
+
+
+def test_wide_quantiles(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 1, 2, 3, 50]), rng.gauss(0, 1), float("nan") if i % 7 == 0 else float(i % 11), None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a int, b double, c double, d double")
+    probs = {"q1": 0.25, "q2": 0.5, "top": 0.999}
+    for accuracy in (30, 200, 10_000):
+        got = {r["feature"]: r for r in O.wide_quantiles(df, ["a", "b", "c", "d"], probs, accuracy, n=F.count, mean=F.avg).collect()}
+        for i, c in enumerate("abc"):
+            vs = [r[i] for r in rows if r[i] is not None and r[i] == r[i]]
+            assert got[c]["n"] == len(vs) and got[c]["mean"] == pytest.approx(np.mean(vs))
+            assert [got[c][p] for p in probs] == pytest.approx([np.quantile(vs, p) for p in probs.values()], abs=1e-12)
+        assert got["d"]["n"] == 0 and got["d"]["q2"] is None
+    assert [r["q2"] for r in O.wide_quantiles(df.limit(0), ["a", "d"], probs).collect()] == [None, None]
+    assert O.exact_quantiles(df.limit(0), [], "b", probs).first()["q2"] is None and O.exact_quantiles(df.limit(0), ["a"], "b", probs).count() == 0
 
 
 @pytest.mark.parametrize("limit", PATHS)
@@ -128,10 +164,99 @@ def test_stratified_split_exact(spark):
     assert n == {(0, "train"): 720, (0, "test"): 180, (1, "train"): 80, (1, "test"): 20}
 
 
-def test_bootstrap_weights_mean_one(spark):
-    df = spark.range(4000).select("id", (F.col("id") % 2).alias("y"))
-    w = S.bootstrap_weights(df, "id", 6, ["y"]).groupBy("b").agg(F.avg("w").alias("m"), F.var_pop("w").alias("v")).collect()
-    assert len(w) == 6 and all(abs(r["m"] - 1) < 0.06 and abs(r["v"] - 1) < 0.12 for r in w)
+def test_weights(spark):
+    seeds = np.array([r["s"] for r in spark.range(4000).select(md5_int("id").alias("s")).collect()])
+    w = S.poisson_weights(seeds, 6)
+    assert (abs(w.mean(axis=0) - 1) < 0.06).all() and (abs(w.var(axis=0) - 1) < 0.12).all()
+    # the draw of the SQL text, by plain whole numbers
+    P, A, B, C = S.DRAW_PRIME, S.DRAW_A, S.DRAW_B, S.DRAW_C
+    for i in (0, 7, 4000 - 1):
+        for b in (0, 5):
+            x = (int(seeds[i]) % P + b * A % P + 1) % P
+            y = (x * x % P * B + x + C) % P
+            m = (y * y % P + y * C) % P
+            assert S.draws(seeds[i:i + 1], 6)[0, b] == m and w[i, b] == sum(m >= c for c in S.POISSON_LIMITS)
+
+
+@pytest.mark.parametrize("digits", [1, 6])
+def test_replicates_by_brute_force(spark, digits):
+    """Many ties and none, over ranges that cut through tied scores; a hot score holds a third."""
+    rng = random.Random(digits)
+    rows = [(i, 0.5 if i % 3 == 0 else round(rng.random(), digits), int(rng.random() < 0.3)) for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, p double, y int")
+    n_boot = 300
+    got = {r["b"]: r for r in SG.bootstrap_metrics(df, "id", "y", "p", n_boot).collect()}
+    seeds = np.array([r["s"] for r in df.select(md5_int("id").alias("s")).collect()])
+    w = S.poisson_weights(seeds, n_boot).astype(float)
+    p, y = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    assert len(got) == n_boot
+    for b in (0, 1, 150, 299):
+        cells = sorted({*p}, reverse=True)
+        pos = np.array([w[(p == s) & (y == 1), b].sum() for s in cells])
+        neg = np.array([w[(p == s) & (y == 0), b].sum() for s in cells])
+        tp, fp = pos.cumsum(), neg.cumsum()
+        auc = (pos * (neg.sum() - fp + 0.5 * neg)).sum() / (pos.sum() * neg.sum())
+        ap = sum(a / pos.sum() * (t / (t + f)) for a, t, f in zip(pos, tp, fp) if t + f)
+        on = np.array(cells) >= 0.5
+        f1 = 2 * pos[on].sum() / (pos[on].sum() + neg[on].sum() + pos.sum())
+        assert (got[b]["roc_auc"], got[b]["average_precision"], got[b]["f1"]) == pytest.approx((auc, ap, f1))
+    one_class = df.where("y = 1")
+    assert SG.bootstrap_metrics(one_class, "id", "y", "p", 10).count() == 0
+    assert SG.bootstrap_metrics(df.limit(0), "id", "y", "p", 10).count() == 0
+
+
+def test_class_replicates_leave_once(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice("abc"), rng.choice(["a", "b", "c", None])) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, y string, p string")
+    cells = {(r["b"], r["actual"], r["predicted"]): r["n"] for r in RP.class_cell_replicates(df, "id", "y", "p", 40).collect()}
+    w = S.poisson_weights(np.array([r["s"] for r in df.select(md5_int("id").alias("s")).collect()]), 40)
+    want = {}
+    for (_, a, p), row in zip(rows, w):
+        for b, n in enumerate(row.tolist()):
+            if n:
+                want[b, a, p] = want.get((b, a, p), 0) + n
+    assert cells == want
+
+
+def test_index_recall_and_growth(spark):
+    """Recall of the index, and shuffled bytes that grow with the rows, copies included."""
+    def side(n, dims=8):
+        rng = np.random.default_rng(n)
+        v = rng.normal(size=(n, dims))
+        v[: n // 3] = v[0]  # a third are copies
+        rows = [(i, [float(x) for x in r], i % 2) for i, r in enumerate(v)]
+        return spark.createDataFrame(rows, "id long, v array<double>, g long").cache()
+
+    met = []
+    for n in (1000, 2000, 4000):
+        df = side(n)
+        q = df.where(F.col("id") >= n // 3).select(F.col("id").alias("q_id"), F.col("v").alias("q_vec"), "g")
+        b = df.select(F.col("id").alias("b_id"), F.col("v").alias("b_vec"), "g")
+        found = nearest_indexed(q, b, 5, "euclidean", within="g", bucket_rows=64).cache()
+        exact = nearest(q, b, 5, "euclidean", group="g")
+        own = exact.join(q.select("q_id", F.col("g").alias("own")), "q_id").where("g = own")
+        r = recall(found, own).first()
+        assert r["recall"] >= 0.9 and found.groupBy("q_id").count().where("count > 5").count() == 0
+        met.append(found.count())
+    assert met[2] < 4.5 * met[0]
+    same = nearest_indexed(q, b, 5, "euclidean", within="g", bucket_rows=10 ** 6)
+    left = {(r["q_id"], r["rn"]): r["b_id"] for r in same.collect()}
+    assert left == {(r["q_id"], r["rn"]): r["b_id"] for r in own.collect()}  # one bucket: exact, ties too
+
+
+def test_smote_classes(spark):
+    rng = random.Random(6)
+    rows = [(i, [rng.random(), rng.random()], c) for i, c in enumerate(["a"] * 60 + ["b"] * 20 + ["c"] * 7 + ["d"])]
+    df = spark.createDataFrame(rows, "id long, v array<double>, y string")
+    out = S.smote_classes(df, "id", "v", "y", ratio=0.5).collect()
+    by = {}
+    for r in out:
+        by[r["y"]] = by.get(r["y"], 0) + 1
+        assert rows[r["id"]][2] == rows[r["neighbour"]][2] == r["y"] and r["id"] != r["neighbour"]
+        for x, a, b in zip(r["v"], rows[r["id"]][1], rows[r["neighbour"]][1]):
+            assert min(a, b) - 1e-12 <= x <= max(a, b) + 1e-12
+    assert by == {"b": 10, "c": 23}  # a is the largest, d has no neighbour
 
 
 def test_row_calibration(spark):

@@ -30,10 +30,13 @@ def _(spark, sf):
     return K.filter_not_status(R.visits(spark, sf)).select("visit_id", "umr_status")
 
 
-@query("dedup_rows", "SELECT l_orderkey, l_returnflag, l_linestatus, l_tax FROM lineitem GROUP BY ALL")
+@query("dedup_rows", """WITH twice AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey%3=0)
+SELECT DISTINCT * REPLACE (strftime(l_shipdate,'%Y-%m-%d') AS l_shipdate) FROM twice""")
 def _(spark, sf):
+    """Whole rows; a third of the table stands there twice."""
     li = R.table(spark, sf, "lineitem")
-    return K.dedup_rows(li.select("l_orderkey", "l_returnflag", "l_linestatus", "l_tax"))
+    df = K.dedup_rows(li.unionByName(li.where("l_orderkey % 3 = 0")))
+    return df.withColumn("l_shipdate", day("l_shipdate"))
 
 
 @query("normalize_package", f"""WITH {R.VISITS_SQL}

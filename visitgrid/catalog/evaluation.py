@@ -1,5 +1,7 @@
 """Evaluation, significance and regression queries."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from visitgrid.catalog.registry import query
@@ -123,12 +125,6 @@ def _(spark, sf):
     return r(E.next_usable_model(ranked, usable), "roc_auc")
 
 
-@query("final_ranking", f"""WITH {REPORT_SQL} SELECT model, round(0.5*roc_auc+0.5*f1_opt,6) AS composite,
-  row_number() OVER (ORDER BY 0.5*roc_auc+0.5*f1_opt DESC, model) AS rank FROM rp""")
-def _(spark, sf):
-    return r(SG.final_ranking(report(spark, sf)), "composite").select("model", "composite", "rank")
-
-
 # -- multiclass -------------------------------------------------------------------
 
 def class_preds(spark, sf):
@@ -267,7 +263,7 @@ def _(spark, sf):
 _NB, _NB_MULTI = 2000, 1000
 _DRAW = S.draw("s", "b")
 _POIS = "+".join(f"(m>={c})::INT" for c in S.POISSON_LIMITS)
-BOOT_SQL = f"""{R.SCORED_SQL}, bw AS (SELECT b, y, p, {_POIS} AS w FROM (SELECT b, y, p, {_DRAW} AS m FROM (SELECT *, {R.MD5.format('id')} AS s FROM sc), (SELECT unnest(range({_NB})) AS b))),
+BOOT_CTES = f"""bw AS (SELECT b, y, p, {_POIS} AS w FROM (SELECT b, y, p, {_DRAW} AS m FROM (SELECT *, {R.MD5.format('id')} AS s FROM sc), (SELECT unnest(range({_NB})) AS b))),
 bc AS (SELECT b, p, sum(w*y) AS pos, sum(w*(1-y)) AS neg FROM bw WHERE w>0 GROUP BY 1,2),
 bu AS (SELECT *, sum(pos) OVER v AS tp, sum(neg) OVER v AS fp, sum(pos) OVER (PARTITION BY b) AS np, sum(neg) OVER (PARTITION BY b) AS nn
   FROM bc WINDOW v AS (PARTITION BY b ORDER BY p DESC)),
@@ -280,10 +276,43 @@ def _ci_sql(m):
   round(quantile_cont({m},0.975),6) AS ci_hi FROM bm"""
 
 
-@query("bootstrap_ci", f"WITH {BOOT_SQL} " + " UNION ALL ".join(_ci_sql(m) for m in ("roc_auc", "average_precision", "f1")))
+_POINTS = {"roc_auc": "(SELECT auc FROM au WHERE model='m1')", "average_precision": "(SELECT ap FROM ap WHERE model='m1')",
+           "f1": "(SELECT 2*tp/(2*tp+fp+fn) FROM cf WHERE model='m1')"}
+
+
+@query("bootstrap_ci", f"WITH {CELLS_SQL}, {BOOT_CTES} SELECT z.*, round(CASE metric " + " ".join(
+    f"WHEN '{m}' THEN {v}" for m, v in _POINTS.items()) + " END,6) AS point FROM (" + " UNION ALL ".join(_ci_sql(m) for m in _POINTS) + ") z")
+def _(spark, sf):
+    return r(SG.bootstrap_ci(R.scored(spark, sf), "id", "y", "p", n_boot=_NB), "std", "ci_lo", "ci_hi", "point")
+
+
+def _boot_ctes(tag, score):
+    """The replicate metrics of one score column, under names of their own."""
+    out = BOOT_CTES.replace("FROM sc)", f"FROM (SELECT id, y, {score} AS p FROM sc))")
+    for name in ("bw", "bc", "bu", "bm"):
+        out = re.sub(rf"\b{name}\b", f"{name}{tag}", out)
+    return out
+
+
+def _span(m, tag):
+    return ", ".join(f"round(quantile_cont({c},{q}),6) AS {c}_{side}" for c in ("roc_auc", "average_precision", "f1")
+                     for side, q in (("lo", 0.025), ("hi", 0.975)))
+
+
+@query("final_ranking", f"""WITH {REPORT_SQL}, {_boot_ctes(1, 'p')}, {_boot_ctes(2, 'p2')},
+rr AS (SELECT model, 0.5*roc_auc+0.5*f1_opt AS composite, row_number() OVER (ORDER BY 0.5*roc_auc+0.5*f1_opt DESC, model) AS rank FROM rp),
+ci AS (SELECT 'm1' AS model, {_span('m1', 1)} FROM bm1 UNION ALL SELECT 'm2', {_span('m2', 2)} FROM bm2),
+bp AS (SELECT y, (p>=0.5)::INT AS m1, (p2>=0.5)::INT AS m2 FROM sc),
+dc AS (SELECT count(*) FILTER (m1<>y AND m2=y) AS b12, count(*) FILTER (m1=y AND m2<>y) AS c12 FROM bp),
+mc AS (SELECT 'm2' AS model, b12 AS b, c12 AS c FROM dc WHERE (SELECT model FROM rr WHERE rank=1)='m1'
+  UNION ALL SELECT 'm1', c12, b12 FROM dc WHERE (SELECT model FROM rr WHERE rank=1)='m2')
+SELECT rr.model, round(composite,6) AS composite, rank, (rank=1)::BIGINT AS winner, ci.* EXCLUDE (model), mc.b, mc.c
+FROM rr JOIN ci ON rr.model=ci.model LEFT JOIN mc ON rr.model=mc.model""")
 def _(spark, sf):
-    df = SG.bootstrap_ci(R.scored(spark, sf), "id", "y", "p", n_boot=_NB)
-    return r(df, "std", "ci_lo", "ci_hi").drop("point")
+    """The ranking with intervals and the winner's discordant counts; p-values are checked by ``mcnemar``."""
+    df = SG.final_comparison(long_scores(spark, sf), "id", n_boot=_NB)
+    spans = [f"{m}_{side}" for m in ("roc_auc", "average_precision", "f1") for side in ("lo", "hi")]
+    return r(df, "composite", *spans).select("model", "composite", "rank", "winner", *spans, "b", "c")
 
 
 _MB = f"""{PREDS_SQL}, bw AS (SELECT b, y, pred, {_POIS} AS w FROM (SELECT b, y, pred, {_DRAW} AS m FROM (SELECT *, {R.MD5.format('id')} AS s FROM mp), (SELECT unnest(range({_NB_MULTI})) AS b))),
@@ -298,12 +327,21 @@ def _(spark, sf):
     return r(SG.bootstrap_multiclass(class_preds(spark, sf), "id", "y", "pred", n_boot=_NB_MULTI), "std", "ci_lo", "ci_hi")
 
 
-@query("compare_two_runs", f"""WITH {CELLS_SQL}, b2 AS (SELECT model, auc-CASE WHEN model='m1' THEN 0.01 ELSE -0.02 END AS auc FROM au)
-SELECT au.model, round(au.auc,6) AS run_a, round(b2.auc,6) AS run_b, round(b2.auc-au.auc,6) AS delta,
-  CASE WHEN b2.auc>au.auc THEN '+' WHEN b2.auc<au.auc THEN '-' ELSE '=' END AS change FROM au JOIN b2 USING (model)""")
+def _run_sql(name, odd):
+    """AUC per model on the rows of one run."""
+    return f"""{name}c AS (SELECT model, p AS score, sum(y) AS pos, count(*)-sum(y) AS neg FROM lg WHERE id%2={odd} GROUP BY 1,2),
+{name}u AS (SELECT *, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY model) AS np, sum(neg) OVER (PARTITION BY model) AS nn
+  FROM {name}c WINDOW w AS (PARTITION BY model ORDER BY score DESC)),
+{name} AS (SELECT model, sum(pos*((nn-fp)+0.5*neg))/(max(np)*max(nn))::DOUBLE AS auc FROM {name}u GROUP BY 1)"""
+
+
+@query("compare_two_runs", f"""WITH {LONG_SQL}, {_run_sql('ra', 0)}, {_run_sql('rb', 1)}
+SELECT ra.model, round(ra.auc,6) AS run_a, round(rb.auc,6) AS run_b, round(rb.auc-ra.auc,6)+0.0 AS delta,
+  CASE WHEN rb.auc>ra.auc THEN '+' WHEN rb.auc<ra.auc THEN '-' ELSE '=' END AS change FROM ra JOIN rb USING (model)""")
 def _(spark, sf):
-    a = E.roc_auc(long_scores(spark, sf), "y", "p", ["model"])
-    b = a.withColumn("roc_auc", F.col("roc_auc") - F.when(F.col("model") == "m1", 0.01).otherwise(-0.02))
+    """Two evaluation runs, each on rows of its own."""
+    lg = long_scores(spark, sf)
+    a, b = (E.roc_auc(lg.where(F.col("id") % 2 == odd), "y", "p", ["model"]) for odd in (0, 1))
     return r(SG.compare_two_runs(a, b), "run_a", "run_b", "delta")
 
 
@@ -412,31 +450,61 @@ def _(spark, sf):
 
 
 @query("group_quantiles", f"""WITH {R.DURATIONS_SQL}, q AS (SELECT type, quantile_cont(y,0.5) AS p50, quantile_cont(y,0.9) AS p90 FROM du WHERE split='train' GROUP BY 1)
-SELECT du.type, round(any_value(p50),6) AS p50, round(any_value(p90),6) AS p90, count(*) AS n_test FROM du JOIN q ON du.type=q.type WHERE split='test' GROUP BY 1""")
+SELECT du.type, round(any_value(p50),6) AS p50, round(any_value(p90),6) AS p90, count(*) AS n_test, round(avg((y<=p50)::INT),6) AS coverage_p50,
+  round(avg((y<=p90)::INT),6) AS coverage_p90 FROM du JOIN q ON du.type=q.type WHERE split='test' GROUP BY 1""")
 def _(spark, sf):
+    # quarter days are exact doubles, so rows at a quantile count alike in both engines
     d = R.durations(spark, sf)
-    df = RG.group_quantiles(d.where("split='train'"), d.where("split='test'"), "type", "y")
-    return r(df.drop("coverage_p50", "coverage_p90"), "p50", "p90")
+    return r(RG.group_quantiles(d.where("split='train'"), d.where("split='test'"), "type", "y"), "p50", "p90", "coverage_p50", "coverage_p90")
+
 
+# the tail of the normal law by the same published fit
+_COEF = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+_POLY = "0.0::DOUBLE"
+for _k in reversed(_COEF):
+    _POLY = f"({_POLY}*t+({_k}::DOUBLE))"
 
-@query("breusch_pagan", f"""WITH {R.DURATIONS_SQL}, c AS (SELECT count(*) AS n, corr((y-yhat)**2, yhat) AS c FROM du) SELECT n, round(n*c*c,4) AS lm FROM c""")
+
+@query("breusch_pagan", f"""WITH {R.DURATIONS_SQL}, c AS (SELECT count(*) AS n, corr((y-yhat)**2, yhat) AS c FROM du), l AS (SELECT n, n*c*c AS lm, sqrt(n*c*c)/sqrt(2.0::DOUBLE) AS x FROM c),
+t AS (SELECT *, 1.0::DOUBLE/(1.0+0.5*x) AS t FROM l)
+SELECT n, round(lm,4) AS lm, round(t*exp(-x*x+{_POLY}),6)+0.0 AS p_value FROM t""")
 def _(spark, sf):
     df = RG.breusch_pagan(R.durations(spark, sf), "y", "yhat")
-    return df.select("n", F.round("lm", 4).alias("lm"))
+    return df.select("n", F.round("lm", 4).alias("lm"), r6("p_value").alias("p_value"))
 
 
-@query("residual_histogram", f"""WITH {R.DURATIONS_SQL}, x AS (SELECT round(y-yhat,9) AS v FROM du), e AS (SELECT min(v) AS lo, max(v) AS hi FROM x)
-SELECT sum(n)::BIGINT AS n FROM (SELECT count(*) AS n FROM x, e WHERE v BETWEEN lo AND hi)""")
+@query("residual_histogram", f"""WITH {R.DURATIONS_SQL}, x AS (SELECT y-yhat AS v FROM du), e AS (SELECT min(v) AS lo, max(v) AS hi FROM x)
+SELECT least(floor(30*(v-lo)/(hi-lo))::BIGINT+1, 30) AS bin, count(*) AS n FROM x, e GROUP BY 1""")
 def _(spark, sf):
-    return RG.residual_histogram(R.durations(spark, sf), "y", "yhat").agg(F.sum("n").alias("n"))
+    return RG.residual_histogram(R.durations(spark, sf), "y", "yhat")
 
 
-@query("qq_points")
+@query("qq_points", f"""WITH {R.DURATIONS_SQL}, c AS (SELECT y-yhat AS residual, count(*) AS n FROM du GROUP BY 1)
+SELECT round(residual,6)+0.0 AS residual, n, round((sum(n) OVER (ORDER BY c.residual)-n/2.0)/sum(n) OVER (),6) AS prob FROM c""")
 def _(spark, sf):
-    return r(RG.qq_points(R.durations(spark, sf), "y", "yhat"), "prob", "theoretical")
+    """The quantiles of the normal law at ``prob`` are tested by hand: SQL has none."""
+    return r(RG.qq_points(R.durations(spark, sf), "y", "yhat"), "prob", "residual").select("residual", "n", "prob")
+
+
+_NU = "({m}+0.5)/4294967296.0::DOUBLE"
+
+
+def _normal_sql(i):
+    u, v = (_NU.format(m=R.MD5.format(f"id||'-'||sg||'-{i}{t}'")) for t in ("", "-b"))
+    return f"sqrt(-2.0::DOUBLE*ln({u}))*cos(6.283185307179586::DOUBLE*({v}))"
 
 
-@query("noise_stability")
+@query("noise_stability", f"""WITH {R.DURATIONS_SQL}, d AS (SELECT id, split, y, ln(1+y) AS ly, ln(1+yhat) AS a, ln(1+yhat2) AS b FROM du),
+mo AS (SELECT var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a,b) AS ab, covar_pop(a,ly) AS ay, covar_pop(b,ly) AS byy, avg(a) AS ma, avg(b) AS mb, avg(ly) AS my FROM d WHERE split='train'),
+co AS (SELECT (ay*bb-byy*ab)/(aa*bb-ab*ab) AS ka, (byy*aa-ay*ab)/(aa*bb-ab*ab) AS kb, ma, mb, my FROM mo),
+st AS (SELECT stddev_pop(a) AS sa, stddev_pop(b) AS sb FROM d WHERE split='test'),
+n AS (SELECT d.*, sg, ka, kb, my-ka*ma-kb*mb AS k0, a+{_normal_sql(0)}*sg*greatest(sa,1e-8) AS na, b+{_normal_sql(1)}*sg*greatest(sb,1e-8) AS nb
+  FROM d, co, st, (SELECT unnest([0.01,0.02,0.05,0.1])::DOUBLE AS sg) WHERE split='test'),
+e AS (SELECT sg, avg(abs(y-greatest(exp(k0+ka*a+kb*b)-1,0))) AS x, avg(abs(y-greatest(exp(k0+ka*na+kb*nb)-1,0))) AS z FROM n GROUP BY 1)
+SELECT sg AS sigma, round(x,5) AS base_mae, round(z,5) AS noisy_mae, round(z-x,5)+0.0 AS delta_mae FROM e""")
 def _(spark, sf):
-    d = R.durations(spark, sf).select("id", "y", F.log1p("yhat").alias("a"), F.log1p("yhat2").alias("b"))
-    return r(RG.noise_stability(d, "id", "y", ["a", "b"], [0.7, 0.3], 0.05), "base_mae", "noisy_mae", "delta_mae")
+    """A linear stack of two predictions, fitted on train rows, under noise on test rows."""
+    d = R.durations(spark, sf).select("id", "split", "y", F.log1p("y").alias("ly"), F.log1p("yhat").alias("a"), F.log1p("yhat2").alias("b"))
+    coef, intercept = RG.fitted_pair(d.where("split = 'train'"), "ly", "a", "b")
+    df = RG.noise_stability(d.where("split = 'test'"), "id", "y", ["a", "b"], coef, intercept)
+    return df.select("sigma", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("base_mae", "noisy_mae", "delta_mae")])

@@ -6,15 +6,17 @@ from visitgrid import columns as C
 from visitgrid.catalog.cleansing import DUR, day
 from visitgrid.catalog.registry import query
 from visitgrid.catalog.stages import Stages
-from visitgrid.catalog.tables import GAPS_SQL, LABELLED_SQL, TYPE_GROUP_SQL, sql_month, type_mapping
+from visitgrid.catalog.tables import BOTH_SQL, GAPS_SQL, LABELLED_SQL, TYPE_GROUP_SQL, sql_month, type_mapping
 from visitgrid.functions.core import floor_days, md5_int, r6
 from visitgrid.operators import aggregates as A
+from visitgrid.operators import bundle as BU
 from visitgrid.operators import cleanse as K
 from visitgrid.operators import features as FE
 from visitgrid.operators import forecast as FC
 from visitgrid.operators import joins as J
 from visitgrid.plans import roles as R
-from visitgrid.plans.ordered import discrete_quantiles, materialize
+from visitgrid.plans.ordered import checkpoint_dir, discrete_quantiles, materialize
+from visitgrid.sources.reuse import ResultStore
 
 # Example sets for the ranking penalties.
 TYPICAL = {"GERMANY": {"A"}, "FRANCE": {"N", "R"}, "CHINA": {"R"}}
@@ -405,3 +407,79 @@ def _(spark, sf):
     fmt = "yyyy-MM-dd HH:mm:ss"
     return df.select("v_nummer", day("umr_start", fmt).alias("umr_start"), day("umr_av", fmt).alias("umr_av"), "umr_status", "umr_art",
                      "prob_coming", "type_probability", "visit_number", "forecast_binary_model", "forecast_threshold", "forecast_timestamp")
+
+
+# -- the trained forecast -----------------------------------------------------------
+
+SPEC = BU.Spec("ent_id", "jk", ("derivat_clean", "bo_clean", "motortyp_clean", "basistyp_clean", "hybrid_clean"), ("c_acctbal", "age_months"))
+
+
+def trained(st):
+    """(bundle, entities, visits); fitted once per data and session folder."""
+    ent = K.clean_categoricals(st.labelled, ["derivat", "bo", "motortyp", "basistyp", "hybrid"])
+    ent = ent.withColumn("age_months", F.months_between(F.lit(R.AS_OF).cast("timestamp"), "sop"))
+    ent, vis = st.once("bundle_entities", lambda: ent), st.cleaned
+    store = ResultStore(st.spark, f"{checkpoint_dir(st.spark)}/bundles", ent, vis)
+    return BU.fit_bundle(store, ent, vis, SPEC), ent, vis
+
+
+@query("trained_champions", """SELECT unnest(['binary','duration','multiclass']) AS task, unnest([3,3,2])::BIGINT AS candidates, 1::BIGINT AS chosen, 1 AS scored""")
+def _(spark, sf):
+    b, _, _ = trained(Stages(spark, sf))
+    return b.champions.groupBy("task").agg(F.count(F.lit(1)).alias("candidates"), F.sum("chosen").alias("chosen"),
+                                           F.min(F.col("score").isNotNull().cast("int")).alias("scored"))
+
+
+@query("trained_backtest", f"""WITH {BOTH_SQL}, ln AS (SELECT trim(unnest(string_split(umr_art,','))) AS type FROM cl WHERE jk IN (SELECT jk FROM ek)),
+c AS (SELECT type, count(*) AS n FROM ln GROUP BY 1)
+SELECT type, n AS count_actual, 1 AS adds_up FROM c UNION ALL SELECT 'TOTAL', sum(n)::BIGINT, 1 FROM c""")
+def _(spark, sf):
+    """Actual counts, and whether predictions, expectations and differences add up to the TOTAL row."""
+    b, ent, vis = trained(Stages(spark, sf))
+    t = materialize(BU.run_backtest(b, ent, vis))
+    total = t.where("type = 'TOTAL'").select(F.struct("count_predicted", "count_expected").alias("t")).scalar()
+    sums = t.where("type <> 'TOTAL'").agg(F.struct(F.sum("count_predicted").alias("p"), F.sum("count_expected").alias("e")).alias("s")).scalar()
+    own = (F.col("diff") == F.col("count_predicted") - F.col("count_actual")) & (F.col("exp_diff") == F.col("count_expected") - F.col("count_actual"))
+    same = (total["count_predicted"] == sums["p"]) & (total["count_expected"] == sums["e"]) & (sums["p"] > 0)
+    return t.select("type", "count_actual", (own & same).cast("int").alias("adds_up"))
+
+
+def trained_rows(st):
+    b, ent, vis = trained(st)
+    factors = FC.calibration_factors(BU.run_backtest(b, ent, vis))
+    return b, materialize(BU.run_forecast(b, ent, R.AS_OF, factors=factors))
+
+
+@query("trained_forecast", f"""WITH {UN_SQL} SELECT 1 AS some_rows, 1 AS all_unseen, 1 AS one_row_per_visit, 1 AS visits_from_one, 1 AS in_horizon, 1 AS counts_reconcile,
+  1 AS probabilities FROM (SELECT count(*) AS n FROM un) WHERE n>0""")
+def _(spark, sf):
+    """What holds for every trained forecast: only unseen entities, each visit once (and once more if
+    duplicated), visits numbered 1 to K, months inside of the horizon, month x type counts that add up."""
+    st = Stages(spark, sf)
+    b, rows = trained_rows(st)
+    un = unseen(st).select(F.col("ent_id").alias("u"))
+    known = rows.join(un, F.col("ent_id") == F.col("u"), "left").agg(F.count_if(F.col("u").isNull()).alias("n")).select("n").scalar()
+    per = rows.groupBy("ent_id", "visit_number", "copy").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).scalar()
+    counted = FC.forecast_counts(rows, R.AS_OF, type_col="cls").agg(F.sum("n")).scalar()
+    now = F.date_trunc("month", F.lit(R.AS_OF).cast("timestamp"))
+    month, p = F.col("estimated_month"), F.col("type_probability")
+    return rows.agg(
+        (F.count(F.lit(1)) > 0).cast("int").alias("some_rows"), (known == 0).cast("int").alias("all_unseen"), (per == 1).cast("int").alias("one_row_per_visit"),
+        F.min(F.col("visit_number").between(1, F.col("k")).cast("int")).alias("visits_from_one"),
+        F.min(month.between(now, F.add_months(now, C.HORIZON_MONTHS)).cast("int")).alias("in_horizon"),
+        (counted == F.count(F.lit(1))).cast("int").alias("counts_reconcile"),
+        F.min(((F.col("prob_coming") >= C.FORECAST_THRESHOLD) & (p >= C.MIN_TYPE_PROBABILITY) & (p <= 1)).cast("int")).alias("probabilities"))
+
+
+@query("trained_export", f"""WITH {R.VISITS_SQL} SELECT umr_status, count(*) AS n, 0::BIGINT AS scored FROM vis GROUP BY 1 UNION ALL SELECT 'Forecast', NULL, NULL""")
+def _(spark, sf):
+    """The whole export per status: history rows are counted; forecast rows hold the champions' names."""
+    st = Stages(spark, sf)
+    b, rows = trained_rows(st)
+    base = ["v_nummer", "umr_start", "umr_av", "umr_status", "umr_art"]
+    df = BU.export(b, R.visits(spark, sf), rows, base, R.AS_OF, direct=["v_nummer"])
+    forecast = F.col("umr_status") == C.FORECAST
+    named = F.col("forecast_binary_model").isin(*SPEC.binary_kinds) & F.col("forecast_duration_model").isin(*SPEC.duration_kinds)
+    out = df.groupBy("umr_status").agg(F.count(F.lit(1)).alias("n"), F.count("prob_coming").alias("scored"), F.min(F.coalesce(named, F.lit(False))).alias("ok"))
+    return out.select("umr_status", F.when(forecast & F.col("ok") & (F.col("n") == F.col("scored")), F.lit(None)).otherwise(F.col("n")).alias("n"),
+                      F.when(forecast & F.col("ok"), F.lit(None)).otherwise(F.col("scored")).alias("scored"))

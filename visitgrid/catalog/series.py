@@ -6,6 +6,7 @@ from visitgrid.catalog.cleansing import cleaned, day
 from visitgrid.catalog.registry import query
 from visitgrid.catalog.tables import sql_month
 from visitgrid.functions.core import r6
+from visitgrid.operators import lags as LG
 from visitgrid.operators import series as TS
 from visitgrid.plans import roles as R
 
@@ -151,17 +152,68 @@ def _(spark, sf):
     return df.select("series_id", "model", day("month", "yyyy-MM").alias("month"), F.round("value", 3).alias("value"))
 
 
-UNIFIED_SQL = f"""{BENCH_SQL}, u AS (SELECT series_id, model, mae, rmse, r2 FROM bm
-  UNION ALL SELECT series_id, 'Ensemble(top3)', avg(mae), avg(rmse), avg(r2) FROM rk WHERE rank<=3 GROUP BY 1)"""
+# Ridge (penalty 1) and plain least squares (penalty 0) per series and fold: normal equations of the
+# scaled, centred lags, solved by elimination, one pivot per step of the recursion (g).
+LAG_SQL = """
+ls AS (SELECT series_id, ys, least(6, greatest(3, len(ys)//5)) AS nl FROM ar),
+rw AS (SELECT series_id, nl, len(ys)-nl AS n, i-nl-1 AS i, list_reverse(ys[i-nl:i-1]) AS x, ys[i] AS y
+  FROM (SELECT *, unnest(range(nl+1, len(ys)+1)) AS i FROM ls WHERE len(ys)>=nl+6)),
+sh AS (SELECT series_id, nl, max(n) AS n, greatest(nl+2, max(n)//3) AS fi, greatest(1, max(n)//6) AS sz FROM rw GROUP BY 1,2),
+fk AS (SELECT *, unnest(range(greatest(1, (n-fi)//sz))) AS k FROM sh),
+fl AS (SELECT series_id, n, k, fi+k*sz AS a, fi+(k+1)*sz AS b FROM fk WHERE fi+(k+1)*sz<=n),
+fo AS (SELECT * FROM fl UNION ALL SELECT series_id, n, max(k)+1, max(b), n FROM fl GROUP BY 1,2 HAVING max(b)<n
+  UNION ALL SELECT series_id, n, 0, fi, n FROM sh WHERE series_id NOT IN (SELECT series_id FROM fl)),
+lx AS (SELECT series_id, i, y, unnest(range(1, nl+1)) AS j, unnest(x) AS v FROM rw),
+mm AS (SELECT lx.series_id, k, a, b, j, min(v) AS lo, max(v) AS hi FROM lx JOIN fo ON lx.series_id=fo.series_id AND i<a GROUP BY ALL),
+sc AS (SELECT lx.series_id, k, a, b, i, lx.j, y, CASE WHEN hi=lo THEN v-lo ELSE (v-lo)/(hi-lo) END AS s FROM lx JOIN mm ON lx.series_id=mm.series_id AND lx.j=mm.j WHERE i<b),
+me AS (SELECT series_id, k, j, avg(s) AS ms, avg(y) AS my FROM sc WHERE i<a GROUP BY ALL),
+ce AS (SELECT sc.series_id, sc.k, a, b, i, sc.j, s-ms AS c, y-my AS t, y, my FROM sc JOIN me ON sc.series_id=me.series_id AND sc.k=me.k AND sc.j=me.j),
+ax AS (SELECT p.series_id, p.k, p.j, q.j AS jj, sum(p.c*q.c) AS v FROM ce p JOIN ce q ON p.series_id=q.series_id AND p.k=q.k AND p.i=q.i WHERE p.i<p.a GROUP BY ALL),
+bx AS (SELECT series_id, k, j, sum(c*t) AS v FROM ce WHERE i<a GROUP BY ALL),
+ro AS (SELECT ax.series_id, ax.k, model, ax.j, list_append(list(ax.v+CASE WHEN ax.j=jj THEN alpha ELSE 0 END ORDER BY jj), any_value(bx.v)) AS r
+  FROM ax JOIN bx ON ax.series_id=bx.series_id AND ax.k=bx.k AND ax.j=bx.j, (SELECT unnest(['Lag-Ridge','Lag-LinearReg']) AS model, unnest([1.0,0.0])::DOUBLE AS alpha)
+  GROUP BY ALL),
+g0 AS (SELECT series_id, k, model, list(r ORDER BY j) AS m FROM (SELECT series_id, k, model, j, r FROM ro) GROUP BY ALL),
+g AS (SELECT series_id, k, model, 0::BIGINT AS p, m FROM g0 UNION ALL
+  SELECT series_id, k, model, p+1, list_transform(range(1, len(m)+1), lambda r: list_transform(range(1, len(m)+2), lambda c:
+    CASE WHEN r=p+1 THEN m[p+1][c]/m[p+1][p+1] ELSE m[r][c]-m[r][p+1]*m[p+1][c]/m[p+1][p+1] END)) FROM g WHERE p<len(m)),
+so AS (SELECT series_id, k, model, unnest(range(1, len(m)+1)) AS j, unnest(list_transform(m, lambda r: r[-1])) AS w FROM g WHERE p=len(m)),
+pl AS (SELECT ce.series_id, ce.k, model, i, any_value(y) AS y, greatest(any_value(my)+sum(c*w), 0) AS pr
+  FROM ce JOIN so ON ce.series_id=so.series_id AND ce.k=so.k AND ce.j=so.j WHERE i>=a GROUP BY ALL),
+lf AS (SELECT series_id, k, model, avg(abs(y-pr)) AS mae, sqrt(avg((y-pr)**2)) AS rmse, 1-sum((y-pr)**2)/nullif(var_pop(y)*count(*),0) AS r2 FROM pl GROUP BY 1,2,3),
+la AS (SELECT series_id, model, avg(mae) AS mae, avg(rmse) AS rmse, avg(r2) AS r2, count(*) AS folds FROM lf GROUP BY 1,2)"""
+
+
+@query("lag_regression_series", f"""WITH RECURSIVE {ARR_SQL}, {LAG_SQL}
+SELECT series_id, model, folds, round(mae,3) AS mae, round(rmse,3) AS rmse, round(r2,4) AS r2 FROM la""")
+def _(spark, sf):
+    df = LG.lag_benchmark(R.monthly(spark, sf), BY, kinds=("Ridge", "LinearReg"))
+    return df.select("series_id", "model", "folds", F.round("mae", 3).alias("mae"), F.round("rmse", 3).alias("rmse"), F.round("r2", 4).alias("r2"))
+
+
+@query("lag_forecast")
+def _(spark, sf):
+    df = LG.lag_forecast(R.monthly(spark, sf), BY, H)
+    return df.select("series_id", day("month", "yyyy-MM").alias("month"), F.round("value", 3).alias("value"))
+
+
+UNIFIED_SQL = f"""RECURSIVE {BENCH_SQL}, {LAG_SQL},
+al AS (SELECT series_id, model, 'Traditional TS' AS family, mae, rmse, r2 FROM bm UNION ALL SELECT series_id, model, 'ML on Lags', mae, rmse, r2 FROM la),
+ar3 AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY mae, model) AS rank FROM al),
+u AS (SELECT * FROM al UNION ALL SELECT series_id, 'Ensemble(top3)', 'Ensemble', avg(mae), avg(rmse), avg(r2) FROM ar3 WHERE rank<=3 GROUP BY 1)"""
 
 
-@query("ts_unified_ranking", f"""WITH {UNIFIED_SQL} SELECT series_id, model, round(mae,3) AS mae, round(rmse,3) AS rmse,
+@query("ts_unified_ranking", f"""WITH {UNIFIED_SQL} SELECT series_id, model, family, round(mae,3) AS mae, round(rmse,3) AS rmse,
   row_number() OVER (PARTITION BY series_id ORDER BY mae, model) AS rank FROM u""")
 def _(spark, sf):
+    """Classical models and lag regressions of every series in one order."""
     from visitgrid.plans.ordered import materialize
-    t = materialize(bench(spark, sf).select("series_id", "model", F.lit("Traditional TS").alias("family"), "mae", "rmse", "r2"))
-    df = TS.ts_unified_ranking(t, BY)
-    return df.select("series_id", "model", F.round("mae", 3).alias("mae"), F.round("rmse", 3).alias("rmse"), "rank")
+    m = materialize(R.monthly(spark, sf))
+    columns = ["series_id", "model", "family", "mae", "rmse", "r2"]
+    t = TS.ts_benchmark(m, BY).withColumn("family", F.lit("Traditional TS")).select(*columns).unionByName(
+        LG.lag_benchmark(m, BY, kinds=("Ridge", "LinearReg")).select(*columns))
+    df = TS.ts_unified_ranking(materialize(t), BY)
+    return df.select("series_id", "model", "family", F.round("mae", 3).alias("mae"), F.round("rmse", 3).alias("rmse"), "rank")
 
 
 @query("ts_quality_gate", f"""WITH {BENCH_SQL} SELECT series_id, model, round(mae/abs((SELECT quantile_cont(o_totalprice,0.5) FROM orders)),6) AS rel_mae,

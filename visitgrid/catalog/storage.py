@@ -57,9 +57,13 @@ def _(spark, sf):
     return back.groupBy("priority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 2).alias("total"))
 
 
-@query("table_fingerprint")
+@query("table_fingerprint", "SELECT count(*) AS n_rows, 6 AS n_cols, 16 AS digits, 1 AS order_free FROM orders")
 def _(spark, sf):
-    return table_fingerprint(R.table(spark, sf, "orders"))
+    """Rows, columns and digits, and whether the fingerprint stays the same in another row order."""
+    o = R.table(spark, sf, "orders")
+    other = table_fingerprint(o.orderBy(F.desc("o_totalprice"), "o_orderkey")).select("fingerprint").scalar()
+    df = table_fingerprint(o)
+    return df.select("n_rows", "n_cols", F.length("fingerprint").alias("digits"), (F.col("fingerprint") == other).cast("int").alias("order_free"))
 
 
 @query("checkpoint_reuse", "SELECT strftime(date_trunc('month',o_orderdate),'%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1")

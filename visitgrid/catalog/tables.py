@@ -13,6 +13,7 @@ from visitgrid.operators import features as FE
 from visitgrid.operators import joins as J
 from visitgrid.operators import sampling as S
 from visitgrid.plans import roles as R
+from visitgrid.plans.ordered import materialize
 
 
 def keyed_entities(spark, sf):
@@ -256,7 +257,8 @@ def _(spark, sf):
 
 def split_entities(spark, sf):
     df = K.clean_categoricals(labelled(spark, sf), ["derivat", "bo", "motortyp"])
-    return S.hash_split(df, "ent_id")
+    # fitted on and applied to: written once, with the columns that the encodings read
+    return materialize(S.hash_split(df, "ent_id").select("ent_id", "split", C.LABEL, "derivat_clean", "bo", "motortyp_clean"))
 
 
 SPLIT_SQL = f"""{LABELLED_SQL}, sp AS (SELECT *, CASE WHEN {R.MD5.format('ent_id')}%100<20 THEN 'test' ELSE 'train' END AS split,
@@ -331,7 +333,7 @@ def _(spark, sf):
 
 
 @query("label_encode", f"""WITH {R.CLEAN_SQL}, c AS (SELECT umr_art, row_number() OVER (ORDER BY umr_art)-1 AS code
-  FROM (SELECT DISTINCT umr_art FROM cl)) SELECT visit_id, cl.umr_art, code FROM cl JOIN c ON cl.umr_art=c.umr_art""")
+  FROM (SELECT umr_art FROM cl GROUP BY 1 HAVING count(*)>=greatest(10, floor((SELECT count(*) FROM cl)*0.001)))) SELECT visit_id, cl.umr_art, code FROM cl JOIN c ON cl.umr_art=c.umr_art""")
 def _(spark, sf):
     return FE.label_encode(cleaned(spark, sf).select("visit_id", "umr_art"), "umr_art").select("visit_id", "umr_art", "code")
 
@@ -444,8 +446,9 @@ def _(spark, sf):
 
 
 def _mi_sql(c):
-    return f"""SELECT '{c}' AS feature, o AS label, CASE WHEN lo=hi THEN 1 ELSE least(floor(({c}-lo)/((hi-lo)/10.0))::BIGINT+1,10) END AS bin
-  FROM (SELECT {c}::DOUBLE AS {c}, l_returnflag AS o FROM lineitem), (SELECT min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi FROM lineitem)"""
+    tenths = ",".join(f"{i / 10}" for i in range(1, 10))
+    return f"""SELECT '{c}' AS feature, o AS label, 1+len(list_filter(list_distinct(edges), lambda e: v>e)) AS bin
+  FROM (SELECT {c}::DOUBLE AS v, l_returnflag AS o FROM lineitem), (SELECT quantile_cont({c}::DOUBLE,[{tenths}]) AS edges FROM lineitem)"""
 
 
 @query("mutual_info_topk", f"""WITH b AS ({_mi_sql('l_quantity')} UNION ALL {_mi_sql('l_extendedprice')} UNION ALL {_mi_sql('l_partkey')}),
@@ -542,6 +545,40 @@ def _(spark, sf):
     return df.select("q_id", "label", "b_id", "rn", r6("score").alias("score"))
 
 
+@query("nearest_examples_indexed", """WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)
+SELECT sum(least(n-1, 5)*n)::BIGINT AS n_exact, 1 AS reached FROM c""")
+def _(spark, sf):
+    """The index against the exact search, within classes: all exact pairs, and whether 0.9 of them are found."""
+    from visitgrid.plans.neighbors import nearest, nearest_indexed, recall
+    e = materialize(R.table(spark, sf, "embeddings"))
+    q = e.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vec"), "label")
+    b = e.select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("b_vec"), "label")
+    exact = nearest(q, b, 5, group="label").join(q.select("q_id", F.col("label").alias("own")), "q_id").where("label = own")
+    r = recall(nearest_indexed(q, b, 5, within="label", bucket_rows=32), materialize(exact))
+    return r.select("n_exact", (F.col("recall") >= 0.9).cast("int").alias("reached"))
+
+
+_CLASS_SMOTE_SQL = f"""c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1),
+ne AS (SELECT label, n, greatest(floor((SELECT max(n) FROM c)*1.0)::BIGINT-n, 0) AS need, least(5, n-1) AS k FROM c),
+mi AS (SELECT vec_id, e.label, embedding::DOUBLE[] AS v, n, need, k, row_number() OVER (PARTITION BY e.label ORDER BY {R.MD5.format('vec_id')}, vec_id)-1 AS pos
+  FROM embeddings e JOIN ne ON e.label=ne.label WHERE need>0 AND k>0),
+pr AS (SELECT a.vec_id AS q_id, b.vec_id AS b_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY
+   round(list_distance(a.v,b.v)**2,9), b.vec_id) AS rn FROM mi a JOIN mi b ON a.label=b.label AND a.vec_id<>b.vec_id),
+cp AS (SELECT vec_id, label, v, k, unnest(range(1, 1+(need//n + CASE WHEN pos<need%n THEN 1 ELSE 0 END))) AS copy FROM mi),
+st AS (SELECT *, {R.MD5.format("vec_id||'-'||copy")}%k+1 AS rn, ({R.MD5.format("vec_id||'-'||copy||'s'")}+0.5)/4294967296.0::DOUBLE AS step FROM cp)"""
+
+
+@query("smote_classes", f"""WITH {_CLASS_SMOTE_SQL}
+SELECT st.vec_id, st.label, st.copy, b_id AS neighbour, round(st.v[1]+step*(mi.v[1]-st.v[1]),5) AS v1, round(st.v[64]+step*(mi.v[64]-st.v[64]),5) AS v64
+FROM st JOIN pr ON pr.q_id=st.vec_id AND pr.rn=st.rn JOIN mi ON mi.vec_id=b_id""")
+def _(spark, sf):
+    e = R.table(spark, sf, "embeddings").select(
+        "vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    df = S.smote_classes(e, "vec_id", "embedding", "label", ratio=1.0)
+    return df.select("vec_id", "label", "copy", "neighbour",
+                     *[(F.round(F.get("embedding", F.lit(i)), 5) + F.lit(0.0)).alias(n) for i, n in ((0, "v1"), (63, "v64"))])
+
+
 @query("smote", f"""WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1),
 par AS (SELECT (SELECT n FROM c WHERE label=3) AS nmin, floor((SELECT max(n) FROM c WHERE label<>3)*2.0)::BIGINT AS goal),
 mi AS (SELECT vec_id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY {R.MD5.format('vec_id')}, vec_id) AS pos FROM embeddings WHERE label=3),

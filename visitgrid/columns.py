@@ -38,10 +38,11 @@ TS_WEIGHT = 0.30
 ATYPICAL_PENALTY, MISMATCH_PENALTY = 0.8, 0.3
 MIN_TEST_ROWS = 500
 
-# Key chains: the documented priority, and the one the fill order gives in effect.
+# Key chains, the documented priority and the one the fill order gives in effect.
 KEY_CHAIN = (AT_NUMBER, BT_NUMBER, V_NUMBER)
 KEY_CHAIN_EFFECTIVE = (V_NUMBER, BT_NUMBER, AT_NUMBER)
 
+# Columns that identify a row.
 ID_COLUMNS = {V_NUMBER, BT_NUMBER, AT_NUMBER, JOIN_KEY, "_merge"}
 
 # Columns that leak a duration target.

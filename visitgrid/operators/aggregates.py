@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from visitgrid import columns as C
 from visitgrid.functions.core import floor_days, month_start, ratio
-from visitgrid.plans.ordered import discrete_quantiles, exact_quantiles, materialize, top_rows
+from visitgrid.plans.ordered import discrete_quantiles, exact_quantiles, materialize, top_rows, wide_quantiles
 
 
 def _one() -> Column:
@@ -40,12 +40,8 @@ def describe_numeric(df: DataFrame, cols=None, digits=3) -> DataFrame:
     """count, mean, std, min, quartiles, max per numeric column (exact quartiles)."""
     if cols is None:
         cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-    long = unpivot_numeric(df, cols).where(F.col("value").isNotNull())
-    base = long.groupBy("feature").agg(
-        _one().alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    q = exact_quantiles(long, ["feature"], "value", {"q25": .25, "q50": .5, "q75": .75})
-    out = base.join(q, "feature")
+    out = wide_quantiles(df, cols, {"q25": .25, "q50": .5, "q75": .75}, count=F.count, mean=F.avg, std=F.stddev_samp,
+                         min=F.min, max=F.max)
     return out.select("feature", "count", *[
         (F.round(c, digits) + F.lit(0.0)).alias(c)
         for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
@@ -119,7 +115,8 @@ def historical_pivot(df: DataFrame, date=C.START, package=C.PACKAGE, types=None)
 def with_group_size(df: DataFrame, keys, name: str) -> DataFrame:
     """Rows per key group as a column; 0 where a key is null."""
     keys = list(keys)
-    sizes = df.dropna(subset=keys).groupBy(*keys).agg(_one().alias(name))
+    # written first: the rows are shuffled by the key only if the table of sizes is measured as large
+    sizes = materialize(df.dropna(subset=keys).groupBy(*keys).agg(_one().alias(name)))
     out = df.join(sizes, keys, "left").withColumn(name, F.coalesce(name, F.lit(0)))
     return out.select(*df.columns, name)
 
@@ -176,10 +173,11 @@ def frequency_feature(df: DataFrame, names: dict[str, str], counts: DataFrame |
     return df
 
 
-def type_stats(df: DataFrame, group: str, value: str, discrete=True) -> DataFrame:
+def type_stats(df: DataFrame, group: str, value: str, discrete=False) -> DataFrame:
     """median, mean, std (sample) and count per group; exact median.
 
-    ``discrete``: the value has few distinct values (whole days), so one pass does it all.
+    ``discrete``: the caller knows that the value has few distinct values (whole days); one pass then
+    does it all, with a buffer of these values per group.
     """
     d = df.where(F.col(group).isNotNull() & F.col(value).isNotNull())
     base = [F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), _one().alias("count")]
@@ -296,18 +294,20 @@ def majority_vote(df: DataFrame, row: str, prediction: str, probability: str) ->
 
 
 def mutual_information(df: DataFrame, label: str, cols, bins: int = 10) -> DataFrame:
-    """Mutual information (nats) of each numeric column, cut into equal-width bins, with the label."""
+    """Mutual information (nats) of each numeric column with the label.
+
+    A column is cut at its own quantiles, so bins hold about equally many rows and an outlier moves
+    no edge. A value equal to an edge falls below it.
+    """
     cols = list(cols)
     d = df.select(label, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
-    # two numbers per column: the bin edges
-    ends = d.agg(*[F.min(c).alias(f"lo_{c}") for c in cols],
-                 *[F.max(c).alias(f"hi_{c}") for c in cols]).first()
+    # bins - 1 numbers per column
+    edges = {r["feature"]: [r[f"e{i}"] for i in range(1, bins)]
+             for r in wide_quantiles(d, cols, {f"e{i}": i / bins for i in range(1, bins)}).collect()}
 
     def bin_of(c):
-        lo, hi = ends[f"lo_{c}"], ends[f"hi_{c}"]
-        if lo is None or lo == hi:
-            return F.lit(1)
-        return F.least(F.width_bucket(F.col(c), F.lit(lo), F.lit(hi), F.lit(bins)), F.lit(bins))
+        inner = sorted({e for e in edges[c] if e is not None})
+        return sum(((F.col(c) > F.lit(e)).cast("int") for e in inner), F.lit(1))
 
     rows = F.array(*[F.struct(F.lit(c).alias("feature"), bin_of(c).cast("long").alias("bin"))
                      for c in cols])

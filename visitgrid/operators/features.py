@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from visitgrid import columns as C
 from visitgrid.functions.core import floor_days, ratio
 from visitgrid.operators.aggregates import unpivot_numeric
-from visitgrid.plans.ordered import discrete_quantiles, exact_quantiles, materialize
+from visitgrid.plans.ordered import discrete_quantiles, exact_quantiles, materialize, wide_quantiles
 
 
 def feature_inventory(df: DataFrame, cat: list[str], num: list[str]) -> DataFrame:
@@ -25,9 +25,7 @@ def feature_inventory(df: DataFrame, cat: list[str], num: list[str]) -> DataFram
 
 def medians(df: DataFrame, cols: Iterable[str]) -> dict[str, float]:
     """Exact medians; one number per column reaches the driver."""
-    long = unpivot_numeric(df, cols).where(F.col("value").isNotNull())
-    rows = exact_quantiles(long, ["feature"], "value", {"m": 0.5}).collect()
-    return {r["feature"]: r["m"] for r in rows}
+    return {r["feature"]: r["m"] for r in wide_quantiles(df, cols, {"m": 0.5}).collect() if r["m"] is not None}
 
 
 def impute(df: DataFrame, cat: Iterable[str], num: Iterable[str],
@@ -145,7 +143,8 @@ def group_target_stats(df: DataFrame, y: str, type_col: str, derivat_col: str |
 
 def standalone_rare_remap(df: DataFrame, cls: str, floor: int = 50, share: float = 0.005) -> DataFrame:
     """Rare combinations become their rarest component (by standalone count; first on ties)."""
-    counts = df.where(F.col(cls).isNotNull()).groupBy(cls).agg(F.count(F.lit(1)).alias("__n"))
+    # written once: the rows behind the counts are read once, and what joins them has a measured size
+    counts = materialize(df.where(F.col(cls).isNotNull()).groupBy(cls).agg(F.count(F.lit(1)).alias("__n")))
     total = counts.agg(F.sum("__n")).scalar()
     limit = F.greatest(F.lit(floor), F.floor(total * F.lit(share)))
     single = counts.where(~F.col(cls).contains(", ")).select(
@@ -157,28 +156,33 @@ def standalone_rare_remap(df: DataFrame, cls: str, floor: int = 50, share: float
                 F.coalesce("__alone", F.lit(0)).alias("a"), F.col("__pos").alias("i"),
                 F.col("__part").alias("p"))).alias("__b"))
             .select(F.col(cls).alias("__c"), F.trim("__b.p").alias("__to")))
-    joined = df.join(best, F.col(cls) == F.col("__c"), "left")
+    joined = df.join(materialize(best), F.col(cls) == F.col("__c"), "left")
     return joined.select(*[F.coalesce("__to", cls).alias(cls) if c == cls else F.col(c)
                            for c in df.columns])
 
 
 def filter_rare_classes(df: DataFrame, cls: str, floor: int = 10, share: float = 0.001) -> DataFrame:
     """Keep classes with at least max(floor, share of all rows) rows."""
-    counts = df.groupBy(cls).agg(F.count(F.lit(1)).alias("__n"))
+    return df.join(kept_classes(df, cls, floor, share), cls, "left_semi")
+
+
+def kept_classes(df: DataFrame, cls: str, floor: int = 10, share: float = 0.001) -> DataFrame:
+    """The classes with at least max(floor, share of all rows) rows, at most 1 / share of them."""
+    counts = materialize(df.groupBy(cls).agg(F.count(F.lit(1)).alias("__n")))
     total = counts.agg(F.sum("__n")).scalar()
-    keep = counts.where(F.col("__n") >= F.greatest(F.lit(floor), F.floor(total * F.lit(share))))
-    return df.join(keep.select(cls), cls, "left_semi")
+    return materialize(counts.where(F.col("__n") >= F.greatest(F.lit(floor), F.floor(total * F.lit(share)))).select(cls))
 
 
-def label_codes(df: DataFrame, cls: str) -> DataFrame:
-    """(class, code) in alphabetical order. Run after ``filter_rare_classes``: every class then
-    has at least 0.1 % of the rows, so the single-task ranking sees at most 1000 rows."""
-    classes = df.where(F.col(cls).isNotNull()).select(cls).distinct()
+def label_codes(df: DataFrame, cls: str, floor: int = 10, share: float = 0.001) -> DataFrame:
+    """(class, code) of the classes that are not rare, in alphabetical order. A class has ``share`` of
+    the rows or more, so the single-task ranking sees at most 1 / share rows."""
+    classes = kept_classes(df.where(F.col(cls).isNotNull()), cls, floor, share)
     return classes.withColumn("code", (F.row_number().over(Window.orderBy(cls)) - 1).cast("long"))
 
 
-def label_encode(df: DataFrame, cls: str, out="code") -> DataFrame:
-    codes = label_codes(df, cls).withColumnRenamed("code", out)
+def label_encode(df: DataFrame, cls: str, out="code", floor: int = 10, share: float = 0.001) -> DataFrame:
+    """Rows of the classes that are not rare, with the class's code."""
+    codes = materialize(label_codes(df, cls, floor, share).withColumnRenamed("code", out))
     return df.join(codes, cls)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import json
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as MC
@@ -21,9 +22,35 @@ from visitgrid.functions.core import md5_int
 from visitgrid.operators import evaluate as E
 from visitgrid.operators.aggregates import consensus_importance
 from visitgrid.operators.sampling import hash_folds, stratified_kfold
-from visitgrid.plans.ordered import exact_quantiles, materialize
+from visitgrid.plans.ordered import exact_quantiles, materialize, wide_quantiles
 
 SEED = 42
+#: Bound of the labelled rows that one fit reads (None: all of them); chosen by a hash of the row.
+FIT_ROWS = 20_000
+#: Rows per partition of the table that a fit reads, so that small fits run in few tasks.
+FIT_PARTITION = 10_000
+# Sizes of the models, trees and rounds as well as depths.
+TREES, TREE_DEPTH, ROUNDS, ROUND_DEPTH, STEP, LINEAR_ITERATIONS = 300, 20, 300, 5, 0.05, 1000
+
+
+def together(fits, threads: int = 4) -> list:
+    """Results of functions, called in parallel threads: the short jobs of one fit fill the gaps of another."""
+    with ThreadPoolExecutor(threads) as pool:
+        return [f.result() for f in [pool.submit(fit) for fit in fits]]
+
+
+def fit_table(df: DataFrame, columns, bound: int | None = None) -> DataFrame:
+    """The rows that a fit reads, written once: at most about ``bound`` (FIT_ROWS) of them."""
+    bound = FIT_ROWS if bound is None else bound
+    columns = list(dict.fromkeys(columns))
+    rows = df.select(*columns)
+    n = rows.count()
+    h = F.pmod(F.xxhash64(*columns), F.lit(1 << 20))
+    if bound and n > bound:
+        rows = rows.where(h < int(bound / n * (1 << 20)))
+    parts = max(1, -(-min(n, bound or n) // FIT_PARTITION))
+    # one order of the rows, whatever order they came in: equal tables give equal models
+    return materialize(rows.withColumn("__h", h).repartition(parts, "__h").sortWithinPartitions("__h", *columns).drop("__h"))
 
 
 def _assembler(features: list[str], out="features") -> VectorAssembler:
@@ -61,11 +88,11 @@ def classifier(kind: str, label: str, weight: str | None = None, **params):
     if weight is not None:
         kw["weightCol"] = weight
     if kind == "logreg":
-        return MC.LogisticRegression(**{"maxIter": 100, "standardization": True, **kw})
+        return MC.LogisticRegression(**{"maxIter": LINEAR_ITERATIONS, "standardization": True, **kw})
     if kind == "rf":
-        return MC.RandomForestClassifier(**{"numTrees": 20, "maxDepth": 5, "seed": SEED, **kw})
+        return MC.RandomForestClassifier(**{"numTrees": TREES, "maxDepth": TREE_DEPTH, "minInstancesPerNode": 2, "seed": SEED, **kw})
     if kind == "gbt":
-        return MC.GBTClassifier(**{"maxIter": 10, "maxDepth": 4, "seed": SEED, **kw})
+        return MC.GBTClassifier(**{"maxIter": ROUNDS, "maxDepth": ROUND_DEPTH, "stepSize": STEP, "seed": SEED, **kw})
     raise ValueError(kind)
 
 
@@ -75,16 +102,17 @@ def regressor(kind: str, label: str, **params):
     if kind in ("ridge", "lasso", "elastic"):
         mix = {"ridge": 0.0, "lasso": 1.0, "elastic": 0.3}[kind]
         reg = {"ridge": 1e-3, "lasso": 0.01, "elastic": 0.005}[kind]
-        return MR.LinearRegression(**{"maxIter": 100, "elasticNetParam": mix, "regParam": reg, **kw, **params})
+        return MR.LinearRegression(**{"maxIter": LINEAR_ITERATIONS, "elasticNetParam": mix, "regParam": reg, **kw, **params})
     if kind == "rf":
-        return MR.RandomForestRegressor(**{"numTrees": 20, "maxDepth": 5, "seed": SEED, **kw, **params})
+        return MR.RandomForestRegressor(**{"numTrees": TREES, "maxDepth": TREE_DEPTH, "minInstancesPerNode": 2, "seed": SEED, **kw, **params})
     if kind == "gbt":
-        return MR.GBTRegressor(**{"maxIter": 10, "maxDepth": 4, "seed": SEED, **kw, **params})
+        return MR.GBTRegressor(**{"maxIter": ROUNDS, "maxDepth": ROUND_DEPTH, "stepSize": STEP, "seed": SEED, **kw, **params})
     raise ValueError(kind)
 
 
 def fit_classifier(train: DataFrame, features, label, kind="logreg", balanced=True, **params) -> PipelineModel:
     weight = None
+    train = fit_table(train, [*features, label])
     if balanced:
         train, weight = with_class_weight(train, label), "__w"
     return Pipeline(stages=[_assembler(features), classifier(kind, label, weight, **params)]).fit(train)
@@ -93,8 +121,8 @@ def fit_classifier(train: DataFrame, features, label, kind="logreg", balanced=Tr
 def fit_gbt_multiclass(train: DataFrame, features, label, **params) -> PipelineModel:
     """Boosted trees are binary in Spark ML: one model per class."""
     ovr = MC.OneVsRest(classifier=classifier("gbt", label, **params), labelCol=label,
-                       featuresCol="features", parallelism=2)
-    return Pipeline(stages=[_assembler(features), ovr]).fit(train)
+                       featuresCol="features", parallelism=4)
+    return Pipeline(stages=[_assembler(features), ovr]).fit(fit_table(train, [*features, label]))
 
 
 def fit_regressor(train: DataFrame, features, label, kind="ridge", **params) -> PipelineModel:
@@ -104,7 +132,7 @@ def fit_regressor(train: DataFrame, features, label, kind="ridge", **params) ->
                   StandardScaler(inputCol="__raw", outputCol="features", withMean=True, withStd=True)]
     else:
         stages = [_assembler(features)]
-    return Pipeline(stages=[*stages, regressor(kind, label, **params)]).fit(train)
+    return Pipeline(stages=[*stages, regressor(kind, label, **params)]).fit(fit_table(train, [*features, label]))
 
 
 def positive_score(model: PipelineModel, df: DataFrame, out="p") -> DataFrame:
@@ -148,9 +176,9 @@ def importance_table(model: PipelineModel, features, name: str, train: DataFrame
 def rf_importance_prefilter(train: DataFrame, features, label, top: int, task="class") -> tuple[list[str], DataFrame]:
     """Names of the ``top`` features of a scout forest, and its importance table."""
     if task == "class":
-        m = fit_classifier(train, features, label, "rf", maxDepth=5, numTrees=20)
+        m = fit_classifier(train, features, label, "rf")
     else:
-        m = fit_regressor(train, features, label, "rf", maxDepth=5, numTrees=20)
+        m = fit_regressor(train, features, label, "rf")
     table = importance_table(m, features, "scout", train)
     ranked = table.orderBy(F.desc("importance"), F.asc("feature")).limit(top)
     return [r["feature"] for r in ranked.collect()], ranked
@@ -160,16 +188,14 @@ def feature_selection_retrain(train: DataFrame, test: DataFrame, features, label
                               kinds=("rf", "gbt")) -> DataFrame:
     """Consensus features of several ensembles, then AUC of each model before and after."""
     tables, before = None, None
-    for kind in kinds:
-        m = fit_classifier(train, features, label, kind)
+    for kind, m in zip(kinds, together([lambda kind=kind: fit_classifier(train, features, label, kind) for kind in kinds])):
         t = importance_table(m, features, kind, train)
         s = positive_score(m, test, "__p").select(F.lit(kind).alias("model"), label, "__p")
         tables = t if tables is None else tables.unionByName(t)
         before = s if before is None else before.unionByName(s)
     kept = [r["feature"] for r in consensus_importance(tables, top).collect()]
     after = None
-    for kind in kinds:
-        m = fit_classifier(train, kept, label, kind)
+    for kind, m in zip(kinds, together([lambda kind=kind: fit_classifier(train, kept, label, kind) for kind in kinds])):
         s = positive_score(m, test, "__p").select(F.lit(kind).alias("model"), label, "__p")
         after = s if after is None else after.unionByName(s)
     a = E.roc_auc(before, label, "__p", ["model"]).withColumnRenamed("roc_auc", "auc_all")
@@ -181,13 +207,13 @@ def cross_validate(df: DataFrame, row_id: str, features, label, kinds=("logreg",
                    fit=fit_classifier) -> DataFrame:
     """Mean and population deviation of the exact fold AUC per model."""
     folds = materialize(stratified_kfold(df, row_id, label, k))
+    jobs = [(i, kind) for i in range(k) for kind in kinds]
+    models = together([lambda i=i, kind=kind: fit(folds.where(F.col("fold") != i), features, label, kind) for i, kind in jobs])
     scores = None
-    for i in range(k):
-        for kind in kinds:
-            m = fit(folds.where(F.col("fold") != i), features, label, kind)
-            s = positive_score(m, folds.where(F.col("fold") == i), "__p").select(
-                F.lit(kind).alias("model"), "fold", label, "__p")
-            scores = s if scores is None else scores.unionByName(s)
+    for (i, kind), m in zip(jobs, models):
+        s = positive_score(m, folds.where(F.col("fold") == i), "__p").select(
+            F.lit(kind).alias("model"), "fold", label, "__p")
+        scores = s if scores is None else scores.unionByName(s)
     auc = E.roc_auc(scores, label, "__p", ["model", "fold"])
     return auc.groupBy("model").agg(F.avg("roc_auc").alias("cv_auc_mean"),
                                     F.stddev_pop("roc_auc").alias("cv_auc_std"))
@@ -196,8 +222,8 @@ def cross_validate(df: DataFrame, row_id: str, features, label, kinds=("logreg",
 # Parameter choices of the random search.
 SEARCH_SPACE = {
     "logreg": {"regParam": [0.0, 0.001, 0.01, 0.1], "elasticNetParam": [0.0, 0.5, 1.0]},
-    "rf": {"numTrees": [10, 20, 30], "maxDepth": [3, 5, 7], "minInstancesPerNode": [1, 5, 10]},
-    "gbt": {"maxIter": [5, 10, 20], "maxDepth": [2, 3, 5], "stepSize": [0.05, 0.1, 0.2]},
+    "rf": {"numTrees": [100, 200, 300], "maxDepth": [5, 10, 20], "minInstancesPerNode": [1, 2, 5]},
+    "gbt": {"maxIter": [100, 200, 300], "maxDepth": [3, 5, 6], "stepSize": [0.03, 0.05, 0.1]},
     "ridge": {"regParam": [0.0001, 0.001, 0.01, 0.1, 1.0]},
 }
 
@@ -291,8 +317,9 @@ def permutation_importance(model: PipelineModel, test: DataFrame, row_id: str, f
 def partial_dependence(model: PipelineModel, df: DataFrame, features, points=10) -> DataFrame:
     """Mean score over all rows with one feature fixed on a grid between its P1 and P99."""
     out = None
+    ends = {r["feature"]: r for r in wide_quantiles(df, features, {"lo": 0.01, "hi": 0.99}).collect()}
     for f in features:
-        q = exact_quantiles(df, [], f, {"lo": 0.01, "hi": 0.99}).first()
+        q = ends[f]
         grid = [q["lo"] + (q["hi"] - q["lo"]) * i / (points - 1) for i in range(points)]
         at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(v).alias("v"))
                                  for i, v in enumerate(grid)]))
@@ -338,14 +365,13 @@ def out_of_fold(df: DataFrame, row_id: str, features, label, kinds, k=3, task="c
     """Wide out-of-fold predictions: one column per model kind."""
     folds = materialize(stratified_kfold(df, row_id, label, k) if task == "class" else hash_folds(df, row_id, k))
     rows = None
+    fit = fit_classifier if task == "class" else fit_regressor
+    jobs = [(i, kind) for i in range(k) for kind in kinds]
+    models = dict(zip(jobs, together([lambda i=i, kind=kind: fit(folds.where(F.col("fold") != i), features, label, kind) for i, kind in jobs])))
     for i in range(k):
-        tr, va = folds.where(F.col("fold") != i), folds.where(F.col("fold") == i)
-        wide = va.select(row_id, label, *features)
+        wide = folds.where(F.col("fold") == i).select(row_id, label, *features)
         for kind in kinds:
-            if task == "class":
-                wide = positive_score(fit_classifier(tr, features, label, kind), wide, f"oof_{kind}")
-            else:
-                wide = predicted(fit_regressor(tr, features, label, kind), wide, f"oof_{kind}")
+            wide = (positive_score if task == "class" else predicted)(models[i, kind], wide, f"oof_{kind}")
         part = wide.select(row_id, label, *[f"oof_{kind}" for kind in kinds])
         rows = part if rows is None else rows.unionByName(part)
     return rows
@@ -370,6 +396,114 @@ def stack_predict(models: dict, meta: PipelineModel, df: DataFrame, task="class"
     return scored.select(*df.columns, out)
 
 
+def class_vector(model: PipelineModel, df: DataFrame, out: str) -> DataFrame:
+    """The probabilities of all classes as one vector column next to the input columns."""
+    return model.transform(df).select(*df.columns, F.col("probability").alias(out))
+
+
+def out_of_fold_classes(df: DataFrame, row_id: str, features, label, kinds, k=3) -> DataFrame:
+    """Wide out-of-fold probability vectors ``oof_<kind>`` of a classification with any number of classes.
+
+    Every fold has every class (folds are dealt by class), so all vectors have one entry per class.
+    """
+    folds = materialize(stratified_kfold(df.select(row_id, label, *features), row_id, label, k))
+    rows = None
+    jobs = [(i, kind) for i in range(k) for kind in kinds]
+    models = dict(zip(jobs, together([lambda i=i, kind=kind: fit_classifier(folds.where(F.col("fold") != i), features, label, kind)
+                                      for i, kind in jobs])))
+    for i in range(k):
+        wide = folds.where(F.col("fold") == i).drop("fold")
+        for kind in kinds:
+            wide = class_vector(models[i, kind], wide, f"oof_{kind}")
+        part = wide.select(row_id, label, *[f"oof_{kind}" for kind in kinds])
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def stack_classes(train: DataFrame, row_id: str, features, label, kinds, k=3):
+    """(base models, meta model): a multinomial model learns from the bases' out-of-fold vectors; the
+    bases are then fitted on all rows."""
+    oof = materialize(out_of_fold_classes(train, row_id, features, label, kinds, k))
+    meta = Pipeline(stages=[_assembler([f"oof_{kind}" for kind in kinds]), classifier("logreg", label, regParam=1e-3)]).fit(oof)
+    return {kind: fit_classifier(train, features, label, kind) for kind in kinds}, meta
+
+
+def stack_class_predict(bases: dict, meta: PipelineModel, df: DataFrame, out="prediction") -> DataFrame:
+    """The stack's class next to the bases' own, ``<out>_<kind>``."""
+    wide = df
+    for kind, m in bases.items():
+        wide = m.transform(wide).select(*wide.columns, F.col("probability").alias(f"oof_{kind}"), F.col("prediction").alias(f"{out}_{kind}"))
+    return meta.transform(wide).select(*df.columns, *[f"{out}_{kind}" for kind in bases], F.col("prediction").alias(out))
+
+
+def sigmoid_maps(scores: DataFrame, by: str, p: str, hit: str, rounds=25) -> DataFrame:
+    """(by, a, b): per group the map 1 / (1 + exp(-(a p + b))) of greatest likelihood, by Newton's method.
+
+    A round is one aggregation over all rows for all groups at once: five sums per group. Targets are
+    smoothed toward one half by the counts of both outcomes, so separable groups stay finite.
+    """
+    rows = materialize(scores.select(F.col(by).alias("__g"), F.col(p).cast("double").alias("__p"), (F.col(hit) == 1).cast("double").alias("__y")))
+    counts = materialize(rows.groupBy("__g").agg(F.sum("__y").alias("pos"), F.sum(1 - F.col("__y")).alias("neg")))
+    state = counts.select("__g", ((F.col("pos") + 1) / (F.col("pos") + 2)).alias("hi"), (1 / (F.col("neg") + 2)).alias("lo"),
+                          F.lit(0.0).alias("a"), F.log((F.col("pos") + 1) / (F.col("neg") + 1)).alias("b"))
+    for _ in range(rounds):
+        state = materialize(state)
+        at = rows.join(state.withColumnRenamed("__g", "__s"), F.col("__g").eqNullSafe(F.col("__s")))
+        q = 1 / (1 + F.exp(-(F.col("a") * F.col("__p") + F.col("b"))))
+        t = F.when(F.col("__y") == 1, F.col("hi")).otherwise(F.col("lo"))
+        w = F.greatest(q * (1 - q), F.lit(1e-12))
+        g = at.groupBy("__g", "hi", "lo", "a", "b").agg(
+            F.sum((t - q) * F.col("__p")).alias("ga"), F.sum(t - q).alias("gb"), F.sum(w * F.col("__p") * F.col("__p")).alias("haa"),
+            F.sum(w * F.col("__p")).alias("hab"), F.sum(w).alias("hbb"))
+        det = F.greatest(F.col("haa") * F.col("hbb") - F.col("hab") * F.col("hab"), F.lit(1e-12))
+        da = (F.col("ga") * F.col("hbb") - F.col("gb") * F.col("hab")) / det
+        db = (F.col("gb") * F.col("haa") - F.col("ga") * F.col("hab")) / det
+        # long steps are shortened: far from the optimum the curve says little
+        size = F.greatest(F.abs(da), F.abs(db))
+        cut = F.when(size > 10, 10 / size).otherwise(F.lit(1.0))
+        moved = materialize(g.select("__g", "hi", "lo", (F.col("a") + cut * da).alias("a"), (F.col("b") + cut * db).alias("b"), size.alias("moved")))
+        state = moved.drop("moved")
+        if (moved.agg(F.max("moved")).first()[0] or 0) < 1e-9:
+            break
+    return state.select(F.col("__g").alias(by), "a", "b")
+
+
+def calibrated_classes(scores: DataFrame, maps: DataFrame, row_id: str, by="cls", p="p") -> DataFrame:
+    """One-vs-rest calibration: every class's score through its map, then scaled to sum to one per row."""
+    m = maps.select(F.col(by).alias("__c"), "a", "b")
+    j = scores.join(m, F.col(by).eqNullSafe(F.col("__c")), "left")
+    q = F.coalesce(1 / (1 + F.exp(-(F.col("a") * F.col(p) + F.col("b")))), F.col(p))
+    per = Window.partitionBy(row_id)
+    j = j.withColumn("__q", q)
+    return j.select(*[c for c in scores.columns if c != p], F.coalesce(
+        F.try_divide(F.col("__q"), F.sum("__q").over(per)), F.lit(1.0) / F.count(F.lit(1)).over(per)).alias(p))
+
+
+def blend_classes(train: DataFrame, vectors: list[str], label: str) -> PipelineModel:
+    """Multinomial blend of two scorers' probability vectors: 2C input columns for C classes."""
+    return Pipeline(stages=[_assembler(vectors), classifier("logreg", label, regParam=1e-3)]).fit(train)
+
+
+def quantile_forest(train: DataFrame, new: DataFrame, row_id: str, features, label, probs: dict[str, float], **params) -> DataFrame:
+    """Quantiles of the target per new row, by a forest whose leaves keep the quantiles of their train rows.
+
+    The leaves of all trees are one table (tree, leaf) with exact quantiles; a row takes the mean of its
+    leaves' quantiles, weighted by their rows. Leaves hold 20 rows or more unless ``params`` say otherwise.
+    """
+    model = fit_regressor(train, features, label, "rf", **{"minInstancesPerNode": 20, "maxDepth": 10, "leafCol": "leaves", **params})
+
+    def leaves(df, *keep):
+        at = model.transform(df).select(*keep, F.posexplode(vector_to_array("leaves")).alias("tree", "leaf"))
+        return at.withColumn("leaf", F.col("leaf").cast("int"))
+
+    # a leaf's rows are few (the trees split down to them), so its percentile buffer is small
+    table = materialize(leaves(fit_table(train, [*features, label]), F.col(label).alias("__y")).groupBy("tree", "leaf").agg(
+        F.count(F.lit(1)).alias("__n"), *[F.percentile("__y", F.lit(p)).alias(f"__{n}") for n, p in probs.items()]))
+    found = leaves(new, F.col(row_id).alias("__id")).join(table, ["tree", "leaf"]).groupBy("__id").agg(
+        *[(F.sum(F.col(f"__{n}") * F.col("__n")) / F.sum("__n")).alias(n) for n in probs])
+    return new.join(found, new[row_id] == found["__id"]).drop("__id")
+
+
 def soft_vote(preds: DataFrame, row_id: str) -> DataFrame:
     """Mean probability over models; class 1 above one half."""
     out = preds.groupBy(row_id).agg(F.avg("p").alias("p"))

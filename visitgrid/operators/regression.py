@@ -151,6 +151,16 @@ def qq_points(df: DataFrame, y: str, yhat: str) -> DataFrame:
     return r.select("residual", "n", mid.alias("prob"), _normal_quantile(mid).alias("theoretical"))
 
 
+def fitted_pair(df: DataFrame, y: str, a: str, b: str) -> tuple[list[float], float]:
+    """(coefficients, intercept) of least squares on two columns, from one row of moments."""
+    m = df.agg(*[F.covar_pop(x, z).alias(n) for n, (x, z) in {
+        "aa": (a, a), "bb": (b, b), "ab": (a, b), "ay": (a, y), "by": (b, y)}.items()],
+        *[F.avg(c).alias(f"m{i}") for i, c in enumerate((a, b, y))]).first()
+    det = m["aa"] * m["bb"] - m["ab"] ** 2
+    ka, kb = (m["ay"] * m["bb"] - m["by"] * m["ab"]) / det, (m["by"] * m["aa"] - m["ay"] * m["ab"]) / det
+    return [ka, kb], m["m2"] - ka * m["m0"] - kb * m["m1"]
+
+
 def noise_stability(df: DataFrame, row_id: str, y: str, preds: list[str], coef: list[float],
                     intercept: float, sigmas=(0.01, 0.02, 0.05, 0.10)) -> DataFrame:
     """MAE change of a linear stack when its inputs get hashed normal noise of sigma * std."""

@@ -4,12 +4,11 @@ partitioning and survive a recomputed task."""
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitgrid.functions.core import md5_int, md5_unit
-from visitgrid.plans.neighbors import nearest
+from visitgrid.plans.neighbors import nearest, nearest_indexed
 from visitgrid.plans.ordered import exact_quantiles, first_by_hash, materialize, prefix_sums
 
 
@@ -32,8 +31,8 @@ def hash_folds(df: DataFrame, row_id: str, k: int = 3, out="fold") -> DataFrame:
     return df.withColumn(out, (md5_int(row_id) % k).cast("long"))
 
 
-def stratified_kfold(df: DataFrame, row_id: str, label: str, k: int = 3, out="fold") -> DataFrame:
-    """Folds that hold every class to within one row: the rank of an id in its class by hash, mod k.
+def hash_rank(df: DataFrame, row_id: str, label: str, out="rank") -> DataFrame:
+    """The rank (from 0) of an id in its class by hash.
 
     Counts per class and 16-bit hash bucket give the rank where a bucket begins, so only the rows
     of one bucket of one class are sorted together.
@@ -46,7 +45,13 @@ def stratified_kfold(df: DataFrame, row_id: str, label: str, k: int = 3, out="fo
     inner = F.row_number().over(Window.partitionBy(label, "__hb").orderBy("__h", row_id)) - 1
     joined = rows.withColumn("__i", inner).join(
         starts, F.col(label).eqNullSafe(F.col("__l")) & (F.col("__hb") == F.col("__b")))
-    return joined.select(*df.columns, F.pmod(F.col("__start") + F.col("__i"), F.lit(k)).cast("long").alias(out))
+    return joined.select(*df.columns, (F.col("__start") + F.col("__i")).cast("long").alias(out))
+
+
+def stratified_kfold(df: DataFrame, row_id: str, label: str, k: int = 3, out="fold") -> DataFrame:
+    """Folds that hold every class to within one row: the rank of an id in its class by hash, mod k."""
+    ranked = hash_rank(df, row_id, label, "__rank")
+    return ranked.select(*df.columns, F.pmod("__rank", F.lit(k)).cast("long").alias(out))
 
 
 def chronological_split(series: DataFrame, by, month="month", share=0.8, min_train=0,
@@ -131,6 +136,51 @@ def smote(df: DataFrame, row_id: str, vec: str, label: str, minority, ratio=0.6,
                        mixed.alias(vec))
 
 
+def smote_classes(df: DataFrame, row_id: str, vec: str, label: str, ratio=0.6, k=5, search=nearest_indexed, **index) -> DataFrame:
+    """Synthetic rows for every class below ``ratio`` of the largest one, up to that size.
+
+    As ``smote``, for all classes in one pass: neighbours are searched within classes, by ``search``
+    (``nearest_indexed``, whose work grows with the rows). A class of n rows uses min(k, n - 1)
+    neighbours; a class of one row gets no copies. Returns (row_id, copy, neighbour, label, vec).
+    """
+    counts = df.groupBy(F.col(label).alias("__l")).agg(F.count(F.lit(1)).alias("__n"))
+    top = counts.agg(F.max("__n")).scalar()
+    need = materialize(counts.select("__l", "__n", F.greatest(F.floor(top * F.lit(float(ratio))).cast("long") - F.col("__n"), F.lit(0)).alias("__need"),
+                                     F.least(F.lit(k), F.col("__n") - 1).cast("long").alias("__k"))
+                       .where((F.col("__need") > 0) & (F.col("__k") > 0)))
+    small = df.join(need, F.col(label).eqNullSafe(F.col("__l"))).select(row_id, vec, label, "__n", "__need", "__k")
+    ranked = materialize(hash_rank(small, row_id, label, "__rank"))
+    q = ranked.select(F.col(row_id).alias("q_id"), F.col(vec).alias("q_vec"), F.col(label).alias("__class"))
+    b = ranked.select(F.col(row_id).alias("b_id"), F.col(vec).alias("b_vec"), F.col(label).alias("__class"))
+    near = search(q, b, k, metric="euclidean", within="__class", **index)
+    # every row makes need // n copies; the first need % n rows by hash make one more
+    copies = F.floor(F.col("__need") / F.col("__n")) + (F.col("__rank") < F.col("__need") % F.col("__n")).cast("long")
+    todo = (ranked.withColumn("__c", copies).where("__c > 0")
+            .select(F.col(row_id).alias("q_id"), label, "__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__c"))).alias("copy")))
+    listed = near.groupBy("q_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rn", "b_id"))), lambda x: x["b_id"]).alias("__near"))
+    tag = F.concat_ws("-", F.col("q_id"), F.col("copy"))
+    # a row for which the index met no other one is copied as it is
+    at = (md5_int(tag) % F.greatest(F.least(F.col("__k"), F.size("__near")), F.lit(1))).cast("int")
+    pick = todo.join(listed, "q_id", "left").select(
+        "q_id", label, "copy", F.coalesce(F.get("__near", at), F.col("q_id")).alias("b_id"), md5_unit(F.concat(tag, F.lit("s"))).alias("step"))
+    both = pick.join(q.select("q_id", "q_vec"), "q_id").join(b.select("b_id", "b_vec"), "b_id")
+    mixed = F.zip_with("q_vec", "b_vec", lambda x, y: x + F.col("step") * (y - x))
+    return both.select(F.col("q_id").alias(row_id), "copy", F.col("b_id").alias("neighbour"), label, mixed.alias(vec))
+
+
+def resampled(train: DataFrame, row_id: str, features, label: str, ratio: float | None, k=5, **index) -> DataFrame:
+    """(features..., label, synthetic): the rows, and synthetic ones of every class below ``ratio`` of
+    the largest. Without a ratio the rows alone. Null features count as 0 in the synthetic rows."""
+    features = list(features)
+    rows = train.select(*[F.col(f).cast("double").alias(f) for f in features], label, F.lit(False).alias("synthetic"))
+    if ratio is None:
+        return rows
+    vec = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
+    more = smote_classes(train.select(row_id, label, vec.alias("__v")), row_id, "__v", label, ratio, k, **index)
+    return rows.unionByName(more.select(
+        *[F.get("__v", F.lit(i)).alias(f) for i, f in enumerate(features)], label, F.lit(True).alias("synthetic")))
+
+
 # Cumulative Poisson(1) probabilities for 0..9 events.
 POISSON_CDF = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
                0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
@@ -149,37 +199,35 @@ def draw(seed: str, b: str) -> str:
     return f"(({y} * {y} % {DRAW_PRIME} + {y} * {DRAW_C}) % {DRAW_PRIME})"
 
 
+def _modulo(x: np.ndarray) -> np.ndarray:
+    """x modulo DRAW_PRIME = 2 ** 31 - 1 for 0 <= x < 2 ** 63, by folding the high bits twice."""
+    x = (x & DRAW_PRIME) + (x >> 31)
+    x = (x & DRAW_PRIME) + (x >> 31)
+    return np.where(x >= DRAW_PRIME, x - DRAW_PRIME, x)
+
+
 def draws(seeds: np.ndarray, n_boot: int) -> np.ndarray:
     """``draw`` of every seed (rows) and replicate (columns)."""
-    b = np.arange(n_boot, dtype=np.int64)[None, :]
-    x = (seeds[:, None] % DRAW_PRIME + b * DRAW_A % DRAW_PRIME + 1) % DRAW_PRIME
-    y = (x * x % DRAW_PRIME * DRAW_B + x + DRAW_C) % DRAW_PRIME
-    return (y * y % DRAW_PRIME + y * DRAW_C) % DRAW_PRIME
+    b = np.arange(n_boot, dtype=np.int64) * DRAW_A % DRAW_PRIME
+    x = _modulo(seeds[:, None] % DRAW_PRIME + b[None, :] + 1)
+    y = _modulo(_modulo(x * x) * DRAW_B + x + DRAW_C)
+    return _modulo(_modulo(y * y) + _modulo(y * DRAW_C))
 
 
-def bootstrap_weights(df: DataFrame, row_id: str, n_boot: int, keep, positive=False) -> DataFrame:
-    """(b, keep..., w): Poisson resampling weights per replicate, drawn where the row lives.
+def poisson_weights(seeds: np.ndarray, n_boot: int) -> np.ndarray:
+    """Poisson(1) resampling weights of rows (by their 32-bit seeds) in all replicates.
 
     With-replacement counts of n rows tend to independent Poisson(1) draws, so no replicate
-    needs an index join; equal cells combine map-side in the following aggregation. The id is
-    hashed once per row; the draws of a few hundred rows are made together. ``positive``: rows
-    of weight 0 are left out.
+    needs an index join.
     """
-    keep = list(keep)
-    d = df.select(*keep, md5_int(row_id).alias("__s")).repartition("__s")
-    step = max(1, 1_000_000 // n_boot)
-
-    def run(batches):
-        for batch in batches:
-            for part in (batch.slice(lo, step) for lo in range(0, batch.num_rows, step)):
-                w = np.searchsorted(POISSON_LIMITS, draws(part.column("__s").to_numpy(), n_boot), side="right")
-                i, b = np.nonzero(w) if positive else np.indices(w.shape).reshape(2, -1)
-                cols = [pa.array(b.astype(np.int64)), *(part.column(c).take(pa.array(i)) for c in keep),
-                        pa.array(w[i, b].astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(cols, names=["b", *keep, "w"])
-
-    kinds = dict(d.dtypes)
-    return d.mapInArrow(run, ", ".join(["b long", *(f"`{c}` {kinds[c]}" for c in keep), "w long"]))
+    m = draws(seeds.astype(np.int64), n_boot)
+    w = np.zeros(m.shape, np.int16)
+    for limit in POISSON_LIMITS:
+        above = m >= limit
+        if not above.any():
+            break
+        w += above
+    return w
 
 
 def percentile_interval(samples: DataFrame, keys, value: str, ci: float = 0.95) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from visitgrid import columns as C
 from visitgrid.functions.core import ratio
 from visitgrid.operators import evaluate as E
-from visitgrid.operators.sampling import bootstrap_weights, percentile_interval
+from visitgrid.operators.replicates import bootstrap_metrics, class_cell_replicates
+from visitgrid.operators.sampling import percentile_interval
 from visitgrid.plans.ordered import materialize
 
 def _stirling_error(n: float) -> float:
@@ -46,7 +47,7 @@ def binomial_p_value(b: int, c: int) -> float:
     if b == c:
         return 1.0  # at least half of the distribution lies at or below the middle
     if m == 0:
-        return min(1.0, 2.0 * 0.5 ** n) if n < 1000 else 0.0
+        return min(1.0, 2.0 * 0.5 ** n)  # below the smallest number it is 0
     top = math.exp(_stirling_error(n) - _stirling_error(m) - _stirling_error(n - m) - _deviance(m, n / 2)
                    - _deviance(n - m, n / 2)) * math.sqrt(n / (2 * math.pi * m * (n - m)))
     term, total, k = 1.0, 1.0, m
@@ -109,21 +110,6 @@ def winner_vs_all(df: DataFrame, y: str, winner: str, models: list[str]) -> Data
     return mcnemar(df, y, [(winner, m) for m in models if m != winner])
 
 
-def bootstrap_metrics(df: DataFrame, row_id: str, y: str, score: str, n_boot=2000,
-                      threshold=0.5) -> DataFrame:
-    """Replicate metrics (b, roc_auc, average_precision, f1); one-class replicates drop out."""
-    w = bootstrap_weights(df, row_id, n_boot, [y, score], positive=True)
-    pts = materialize(E.curve(E.score_cells(w, y, score, ["b"], "w"), ["b"]))
-    above = F.col("score") >= threshold
-    f1 = pts.groupBy("b").agg(
-        F.sum(F.when(above, F.col("pos")).otherwise(0)).alias("tp"),
-        F.sum(F.when(above, F.col("neg")).otherwise(0)).alias("fp"),
-        F.max("n_pos").alias("p"), F.max("n_neg").alias("n"))
-    f1 = f1.where((F.col("p") > 0) & (F.col("n") > 0)).select(
-        "b", ratio(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("p"), 0).alias("f1"))
-    return f1.join(E.auc_of_curve(pts, ["b"]), "b").join(E.ap_of_curve(pts, ["b"]), "b")
-
-
 def bootstrap_ci(df: DataFrame, row_id: str, y: str, score: str, n_boot=2000, ci=0.95,
                  threshold=0.5) -> DataFrame:
     """One row per metric: point value, percentile interval, spread and replicates used."""
@@ -140,8 +126,7 @@ def bootstrap_ci(df: DataFrame, row_id: str, y: str, score: str, n_boot=2000, ci
 
 def bootstrap_multiclass(df: DataFrame, row_id: str, y: str, pred: str, n_boot=1000, ci=0.95) -> DataFrame:
     """Percentile intervals of accuracy, f1_weighted and f1_macro."""
-    w = bootstrap_weights(df, row_id, n_boot, [y, pred], positive=True)
-    cells = w.groupBy("b", F.col(y).alias("actual"), F.col(pred).alias("predicted")).agg(F.sum("w").alias("n"))
+    cells = class_cell_replicates(df, row_id, y, pred, n_boot)
     per = E.per_class_report(cells, ["b"])
     s = F.sum("support")
     m = per.groupBy("b").agg(
@@ -178,6 +163,42 @@ def final_ranking(report: DataFrame, min_rows=C.MIN_TEST_ROWS) -> DataFrame:
     return E.rank_models(t, "composite", min_rows)
 
 
+def final_comparison(scores: DataFrame, row_id: str, y="y", score="p", model="model", n_boot=2000, alpha=0.05,
+                     min_rows=C.MIN_TEST_ROWS, threshold=0.5) -> DataFrame:
+    """The final ranking with its evidence: one row per model.
+
+    ``scores``: (row_id, y, model, p), all models on the same rows. Adds to the ranking the bootstrap
+    intervals of AUC, average precision and F1, the discordant counts and exact p-value of McNemar's
+    test against the winner (null for the winner), and ``winner``. There are as many bootstrap passes
+    as models, whose names are the only rows on the driver.
+    """
+    scores = materialize(scores.select(row_id, y, model, score))
+    ranked = materialize(final_ranking(E.binary_report(scores, y, score, [model]), min_rows))
+    names = [r[model] for r in ranked.orderBy("rank").collect()]
+    spans = None
+    for name in names:
+        samples = bootstrap_metrics(scores.where(F.col(model) == name), row_id, y, score, n_boot, threshold)
+        rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("roc_auc", "average_precision", "f1")])
+        part = samples.select(F.lit(name).alias("__m"), F.inline(rows))
+        spans = part if spans is None else spans.unionByName(part)
+    ci = percentile_interval(materialize(spans), ["__m", "metric"], "v")
+    wide = ci.groupBy("__m").agg(*[F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{side}")
+                                   for m in ("roc_auc", "average_precision", "f1") for side, c in (("lo", "ci_lo"), ("hi", "ci_hi"))])
+    # one column of class predictions per model: the winner meets every other one in one pass
+    columns = {name: f"m{i}" for i, name in enumerate(names)}
+    preds = scores.groupBy(row_id, y).agg(*[F.max(F.when(F.col(model) == name, (F.col(score) >= threshold).cast("long"))).alias(c)
+                                            for name, c in columns.items()])
+    against = winner_vs_all(preds, y, columns[names[0]], list(columns.values())) if len(names) > 1 else None
+    out = ranked.join(wide, F.col(model) == F.col("__m"), "left").drop("__m").withColumn("winner", (F.col("rank") == 1).cast("long"))
+    if against is None:
+        return out
+    label = F.lit(None).cast("string")
+    for name, c in columns.items():
+        label = F.when(F.col("model_b") == c, F.lit(name)).otherwise(label)
+    test = against.select(label.alias("__m"), "b", "c", "p_value", (F.col("p_value") < alpha).cast("long").alias("differs"))
+    return out.join(test, F.col(model) == F.col("__m"), "left").drop("__m")
+
+
 def champion_by_task(runs: DataFrame, task="task", metric="metric", lower_is_better="lower") -> DataFrame:
     """Best run per task: ``runs`` has (task, source, model, metric, lower); ties by source."""
     v = F.when(F.col(lower_is_better) == 1, -F.col(metric)).otherwise(F.col(metric))

@@ -84,16 +84,119 @@ def prefix_sums(cells: DataFrame, keys, value: str, sums, descending=False,
         *[F.col(f"tot_{s}") for s in sums])
 
 
-def exact_quantiles(df: DataFrame, keys, value: str, probs: dict[str, float],
-                    ranges: int | None = None, weight: str | None = None) -> DataFrame:
+#: Ranks of the sketch are off by at most rows / ACCURACY; brackets reach twice as far. Up to twice as
+#: many rows that is less than a few ranks, and the bracket is open: the sketch holds such keys whole.
+ACCURACY = 10_000
+
+
+def _marks(value: str, probs: dict[str, float], accuracy: int) -> list:
+    """Aggregates of the first pass: lower and upper bracket of every quantile (null: open)."""
+    many = F.count(value) > 2 * accuracy
+    reach = 2.0 / accuracy
+    ends = [max(p - reach, 0.0) for p in probs.values()], [min(p + reach, 1.0) for p in probs.values()]
+    lo, hi = (F.percentile_approx(value, F.array(*[F.lit(e) for e in es]), F.lit(accuracy)) for es in ends)
+    # the sketch's own ends are exact only by this
+    lo = F.transform(lo, lambda x, i: F.when(F.get(F.lit(ends[0]), i) == 0, F.lit(None)).otherwise(x))
+    hi = F.transform(hi, lambda x, i: F.when(F.get(F.lit(ends[1]), i) == 1, F.lit(None)).otherwise(x))
+    none = F.array_repeat(F.lit(None), len(probs))
+    return [F.when(many, lo).otherwise(none).alias("__lo"), F.when(many, hi).otherwise(none).alias("__hi")]
+
+
+def _picked(cells: DataFrame, facts: DataFrame, keys, probs: dict[str, float]) -> DataFrame:
+    """Quantiles from cells (keys, __p, __v, __n) inside the brackets and facts (keys, __tot, __below)."""
+    keys = list(keys)
+    run = Window.partitionBy(*keys, "__p").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = cells.withColumn("__cum", F.sum("__n").over(run))
+    named = facts.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__tot", "__below")
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    joined = ranked.join(named, on) if keys else ranked.select(
+        "*", *[named.select(c).scalar().alias(c) for c in ("__tot", "__below")])
+    end = F.col("__cum") + F.get("__below", F.col("__p"))
+    aggs = []
+    for i, (name, p) in enumerate(probs.items()):
+        pos = F.lit(float(p)) * (F.col("__tot") - 1)
+        for side, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            hit = (F.col("__p") == i) & (end - F.col("__n") <= at) & (at < end)
+            aggs.append(F.max(F.when(hit, F.col("__v").cast("double"))).alias(f"__{side}_{name}"))
+    out = joined.groupBy(*keys).agg(F.max("__tot").alias("__tot"), *aggs)
+    cols = []
+    for name, p in probs.items():
+        pos = F.lit(float(p)) * (F.col("__tot") - 1)
+        lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
+        missed = F.when(F.col("__tot") > 0, F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double"))
+        cols.append(F.when(lo.isNotNull() & hi.isNotNull(), lo + (hi - lo) * (pos - F.floor(pos))).otherwise(missed).alias(name))
+    return out.select(*keys, *cols)
+
+
+def _inside(v, lo, hi):
+    return (lo.isNull() | (v >= lo)) & (hi.isNull() | (v <= hi))
+
+
+def exact_quantiles(df: DataFrame, keys, value: str, probs: dict[str, float], weight: str | None = None,
+                    accuracy: int = ACCURACY) -> DataFrame:
     """Exact quantiles with linear interpolation, one output column per entry of ``probs``.
 
-    Ranks come from running counts over distinct values, so no task holds a whole key.
-    ``weight``: rows are already counted cells.
+    Two passes over (keys, value), which are written once. The first keeps a mergeable sketch per key
+    and takes a bracket around every quantile from it. The second counts the rows below a bracket
+    and the distinct values inside it; only these, a few thousandths of the rows, are shuffled and
+    ranked. ``weight``: rows are already counted cells, and all of them are ranked.
     """
-    w = F.lit(1) if weight is None else F.col(weight)
-    cells = value_cells(df.where(F.col(value).isNotNull()), keys, value, __cnt=w)
-    ranked = prefix_sums(cells, keys, value, ["__cnt"], ranges=ranges)
+    keys = list(keys)
+    if weight is not None:
+        return _cell_quantiles(df, keys, value, probs, weight)
+    number = F.col(value) if dict(df.dtypes)[value] not in ("float", "double") else F.nanvl(F.col(value).cast("double"), F.lit(None))
+    rows = materialize(df.select(*keys, number.alias("__v")).where(F.col("__v").isNotNull()))
+    first = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__tot"), *_marks("__v", probs, accuracy)))
+    if keys:
+        marks = first.select(*[F.col(k).alias(f"__m_{k}") for k in keys], "__lo", "__hi")
+        on = F.lit(True)
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"__m_{k}"))
+        marked = rows.join(marks, on)
+    else:
+        marked = rows.select("*", *[first.select(c).scalar().alias(c) for c in ("__lo", "__hi")])
+    below = [F.count_if(F.col("__v") < F.get("__lo", F.lit(i))) for i in range(len(probs))]
+    facts = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("__tot"), F.array(*below).alias("__below"))
+    spots = F.filter(F.array(*[F.lit(i) for i in range(len(probs))]), lambda i: _inside(
+        F.col("__v"), F.get("__lo", i), F.get("__hi", i)))
+    cells = marked.select(*keys, "__v", F.explode(spots).alias("__p")).groupBy(*keys, "__p", "__v").agg(F.count(F.lit(1)).alias("__n"))
+    return _picked(cells, facts, keys, probs)
+
+
+def wide_quantiles(df: DataFrame, cols, probs: dict[str, float], accuracy: int = ACCURACY, **stats) -> DataFrame:
+    """(feature, [stats], quantiles) of many numeric columns: the two passes of ``exact_quantiles`` for
+    all columns at once, over the source itself. ``stats``: functions of a column to an aggregate,
+    taken along in the first pass. Rows are never exploded, only their values inside a bracket."""
+    cols = list(cols)
+
+    def v(c):
+        return F.nanvl(F.col(c).cast("double"), F.lit(None))
+
+    numbers = df.select(*[v(c).alias(c) for c in cols])
+    aggs = [F.struct(F.count(c).alias("__tot"), *_marks(c, probs, accuracy), *[fn(c).alias(n) for n, fn in stats.items()]).alias(c) for c in cols]
+    facts = materialize(numbers.agg(*aggs))
+    marks = facts.first()  # one row: 2 numbers per column and quantile
+    # a row of brackets is small and the same for all rows: literals
+    bounds = {c: list(zip(marks[c]["__lo"] or [], marks[c]["__hi"] or [])) for c in cols}
+    low = numbers.agg(*[F.array(*[F.count_if(F.col(c) < F.lit(lo)) if lo is not None else F.lit(0).cast("long") for lo, _ in bounds[c]])
+                        .cast("array<bigint>").alias(c) for c in cols]).first()
+    spots = F.filter(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i).alias("__p"), F.when(
+        _inside(F.col(c), F.lit(lo).cast("double"), F.lit(hi).cast("double")), F.col(c)).alias("__v"))
+        for c in cols for i, (lo, hi) in enumerate(bounds[c])] or [F.struct(F.lit("").alias("feature"), F.lit(0).alias("__p"), F.lit(
+            None).cast("double").alias("__v"))]), lambda x: x["__v"].isNotNull())
+    cells = numbers.select(F.inline(spots)).groupBy("feature", "__p", "__v").agg(F.count(F.lit(1)).alias("__n"))
+    known = df.sparkSession.createDataFrame([(c, marks[c]["__tot"], list(low[c])) for c in cols], "feature string, __tot long, __below array<long>")
+    found = _picked(cells, known, ["feature"], probs)
+    table = facts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("__f"), *[F.col(c)[n].alias(n) for n in stats]) for c in cols])))
+    return table.join(found, F.col("__f") == F.col("feature"), "left").select(F.col("__f").alias("feature"), *stats, *probs)
+
+
+def _cell_quantiles(df: DataFrame, keys, value: str, probs: dict[str, float], weight: str) -> DataFrame:
+    """Exact quantiles of counted cells, by running counts over distinct values."""
+    cells = value_cells(df.where(F.col(value).isNotNull()), keys, value, __cnt=F.col(weight))
+    ranked = prefix_sums(cells, keys, value, ["__cnt"])
     lo_rank = F.col("cum___cnt") - F.col("__cnt")
     aggs = []
     for name, p in probs.items():
