@@ -411,7 +411,8 @@ def _(spark, sf):
 
 # -- the trained forecast -----------------------------------------------------------
 
-SPEC = BU.Spec("ent_id", "jk", ("derivat_clean", "bo_clean", "motortyp_clean", "basistyp_clean", "hybrid_clean"), ("c_acctbal", "age_months"))
+SPEC = BU.Spec("ent_id", "jk", ("derivat_clean", "bo_clean", "motortyp_clean", "basistyp_clean", "hybrid_clean"), ("c_acctbal", "age_months"),
+               binary_kinds=("logreg", "rf"), duration_kinds=("ridge", "rf"))
 
 
 def trained(st):
@@ -423,7 +424,7 @@ def trained(st):
     return BU.fit_bundle(store, ent, vis, SPEC), ent, vis
 
 
-@query("trained_champions", """SELECT unnest(['binary','duration','multiclass']) AS task, unnest([3,3,2])::BIGINT AS candidates, 1::BIGINT AS chosen, 1 AS scored""")
+@query("trained_champions", """SELECT unnest(['binary','duration','multiclass']) AS task, unnest([2,2,2])::BIGINT AS candidates, 1::BIGINT AS chosen, 1 AS scored""")
 def _(spark, sf):
     b, _, _ = trained(Stages(spark, sf))
     return b.champions.groupBy("task").agg(F.count(F.lit(1)).alias("candidates"), F.sum("chosen").alias("chosen"),

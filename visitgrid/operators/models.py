@@ -30,7 +30,7 @@ FIT_ROWS = 20_000
 #: Rows per partition of the table that a fit reads, so that small fits run in few tasks.
 FIT_PARTITION = 10_000
 # Sizes of the models, trees and rounds as well as depths.
-TREES, TREE_DEPTH, ROUNDS, ROUND_DEPTH, STEP, LINEAR_ITERATIONS = 300, 20, 300, 5, 0.05, 1000
+TREES, TREE_DEPTH, ROUNDS, ROUND_DEPTH, STEP, LINEAR_ITERATIONS = 300, 20, 100, 5, 0.1, 1000
 
 
 def together(fits, threads: int = 4) -> list:
