@@ -9,6 +9,7 @@ from visitgrid.llm import language as G
 from visitgrid.llm import toxicity as T
 
 SF = "/root/testdata/sf0.01"
+PROSE_LIKE = "and then the dog, über 40 Jahre alt, a brown fox; "
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables absent")
 
 
@@ -38,6 +39,35 @@ def test_language_cases(spark):
     assert G.identify(nothing).first()["lang_pred"] == "und"
 
 
+def test_language_by_hand(spark):
+    """Hashed n-grams, means and the calibrated softmax recomputed with plain whole numbers and loops."""
+    import math
+    import re
+    texts = ["the quick brown fox", "Über die Brücke, 12 mal!", "où est  la gare ?", "x", "de 3 de", PROSE_LIKE * 3]
+    model = G.train(["the fox and the dog", "a quick brown thing"] * 4 + ["über die brücke und der", "mal gehen wir"] * 4, ["en"] * 8 + ["de"] * 8)
+
+    def scores(text):
+        clean = " " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " "
+        total, n = [0.0] * len(model["langs"]), 0
+        for size in G.SIZES:
+            for i in range(len(clean) - size + 1):
+                h = size
+                for ch in clean[i:i + size]:
+                    h = (h + ord(ch)) * 0x9E3779B97F4A7C15 % 2 ** 64
+                    h ^= h >> 29
+                row = model["table"][(h >> 20) % G.BUCKETS]
+                total, n = [t + float(v) for t, v in zip(total, row)], n + 1
+        z = [(t / max(n, 1) + b) / model["t"] for t, b in zip(total, model["bias"])]
+        e = [math.exp(v - max(z)) for v in z]
+        return [v / sum(e) for v in e]
+
+    out = {r["doc_id"]: r for r in G.predict(docs(spark, [(i, t, None, None) for i, t in enumerate(texts)]), model).collect()}
+    for i, t in enumerate(texts):
+        p = scores(t)
+        assert out[i]["lang_pred"] == model["langs"][p.index(max(p))] and out[i]["score"] == pytest.approx(max(p), abs=1e-6)
+        assert out[i]["rejected"] == (max(p) < model["floor"])
+
+
 def test_language_parts():
     model = G.train(["hello there my friend"] * 5 + ["guten tag mein freund"] * 5, ["en"] * 5 + ["de"] * 5)
     text = "guten tag lieber freund " * 60_000

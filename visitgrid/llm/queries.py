@@ -64,7 +64,21 @@ def op9(spark, sf_dir):
     return lm.lm_scores(table(spark, sf_dir, "documents"))
 
 
-@query("op10_jaccard_join")
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Shared shingles counted by a join, links by exact whole numbers, groups by reachability.
+JACCARD_SQL = rf"""WITH RECURSIVE
+w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+l AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {jaccard.SIZE} THEN [array_to_string(ws, ' ')] ELSE
+  list_distinct(list_transform(range(1, len(ws) - {jaccard.SIZE} + 2), lambda i: array_to_string(ws[i:i + {jaccard.SIZE} - 1], ' '))) END AS ss FROM w),
+s AS (SELECT doc_id, unnest(ss) AS s FROM l),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+k AS (SELECT x, y FROM c JOIN l a ON x = a.doc_id JOIN l b ON y = b.doc_id WHERE 100 * n >= {jaccard.PERCENT} * (len(a.ss) + len(b.ss) - n)),
+e AS (SELECT x, y FROM k UNION SELECT y, x FROM k),
+r AS (SELECT doc_id AS d, doc_id AS m FROM l UNION SELECT r.d, e.y FROM r JOIN e ON r.m = e.x)
+SELECT l.doc_id, len(ss)::BIGINT AS n_shingles, g.m AS component_id FROM l JOIN (SELECT d, min(m) AS m FROM r GROUP BY 1) g ON l.doc_id = g.d"""
+
+
+@query("op10_jaccard_join", JACCARD_SQL)
 def op10(spark, sf_dir):
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
