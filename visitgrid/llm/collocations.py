@@ -259,31 +259,3 @@ def ranked(counts: DataFrame, top: int = TOP) -> DataFrame:
     best = top_rows(scored, ["lang"], [F.desc("score"), F.desc("a"), F.asc("phrase")], top, rank="rank")
     n = counts.where("words = 0").select("lang", "n")
     return best.join(n, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
-
-
-#: The same result from plain word lists.
-SQL = rf"""
-WITH pieces AS (
-  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
-  FROM documents),
-lists AS (
-  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM pieces),
-grams AS (
-  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
-  FROM lists, (SELECT unnest([1, 2, 3]) AS k) WHERE len(ws) >= k),
-f AS (SELECT lang, k, phrase, count(*) AS n FROM grams GROUP BY ALL),
-total AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
-cand AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2 AND n >= {MIN_COUNT}),
-inside AS (SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, n FROM cand WHERE k = 3),
-kept AS (
-  SELECT c.* FROM cand c WHERE NOT EXISTS (
-    SELECT 1 FROM inside i WHERE c.k = 2 AND i.lang = c.lang AND i.phrase = c.phrase AND 100 * i.n >= 50 * c.n)),
-cuts AS (
-  SELECT c.lang, c.phrase, c.n AS a, x.at, l.n AS l, r.n AS r,
-         ((1000000::HUGEINT * c.n * c.n) // (l.n::HUGEINT * r.n))::BIGINT AS score
-  FROM kept c JOIN (SELECT unnest([1, 2]) AS at) x ON x.at < c.k
-  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:x.at], ' ')
-  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[x.at + 1:c.k], ' ')),
-one AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, at) = 1),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM one)
-SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= {TOP}"""

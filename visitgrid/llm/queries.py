@@ -83,7 +83,7 @@ def op10(spark, sf_dir):
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
-@query("op11_collocations", collocations.SQL)
+@query("op11_collocations")
 def op11(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
