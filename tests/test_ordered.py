@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -337,3 +338,22 @@ def test_binomial_p_value(b, c):
                 break
         want = min(1.0, float(2 * total / Decimal(2) ** n))
     assert binomial_p_value(b, c) == pytest.approx(want, rel=1e-9, abs=1e-300)
+
+
+def test_cells_of_tied_ranges_are_drawn_once(spark, monkeypatch):
+    """Ranges of few scores hand their cells on; weights of rows are drawn once, with the same metrics."""
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, round(rng.random(), 1), int(rng.random() < 0.3)) for i in range(600)], "id long, p double, y int")
+    few = [tuple(r) for r in SG.bootstrap_metrics(df, "id", "y", "p", 40).orderBy("b").collect()]
+    monkeypatch.setattr(RP, "KEPT_CELLS", 0)
+    assert [x for r in few for x in r] == pytest.approx([x for r in SG.bootstrap_metrics(df, "id", "y", "p", 40).orderBy("b").collect() for x in r])
+    score, hit = np.repeat([0.9, 0.5, 0.1], 50), np.arange(150) % 3 == 0
+    items = RP._range_items(0, pa.table({"score": score, "hit": hit.astype(int), "seed": np.arange(150)}), 20, 0.5, kept=3)
+    assert [(r["part"], r["score"]) for r in items] == [(0, 0.9), (2, 0.5), (3, 0.1)]
+
+
+def test_summed_weights():
+    seeds, groups = np.arange(7000) * 611953, np.arange(7000) % 3 // 2 * 2
+    w = S.poisson_weights(seeds, 11)
+    assert (S.summed_weights(seeds, groups, 4, 11) == [w[groups == g].sum(axis=0) for g in range(4)]).all()
+    assert (S.summed_weights(seeds[:0], groups[:0], 2, 11) == np.zeros((2, 11))).all()

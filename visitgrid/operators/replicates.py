@@ -3,7 +3,8 @@
 A task holds a range of scores. It draws the weights of a few hundred rows for all replicates at
 once, adds them up per cell, and hands on sums per replicate; neither rows nor cells leave it once
 per replicate. Ranges are put in order by their sums alone: per range the totals of its first
-cell, its last cell and all between, because only these cells can reach into the next range.
+cell, its last cell and all between, because only these cells can reach into the next range. A range of
+few distinct scores hands on every cell, and its weights are drawn only once.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visitgrid.functions.core import md5_int
-from visitgrid.operators.sampling import poisson_weights
+from visitgrid.operators.sampling import summed_weights
 from visitgrid.plans.ordered import materialize
 
 #: Replicates per row of sums, and weights drawn at once.
 SLICE, CHUNK = 250, 400_000
+#: Cells that all ranges together may hand on one by one.
+KEPT_CELLS = 4096
 PARTS = ("pos", "neg", "above_pos", "above_neg", "u")
 _ITEMS = "range int, slice int, part int, score double, " + ", ".join(f"{c} array<double>" for c in PARTS)
 
@@ -35,10 +38,11 @@ def _cells(score, hit, seed, n_boot):
     score come together unless a chunk ends between them."""
     step = max(1, CHUNK // n_boot)
     for lo in range(0, len(score), step):
-        s, h = score[lo:lo + step], hit[lo:lo + step, None]
-        w = poisson_weights(seed[lo:lo + step], n_boot)
-        starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        yield s[starts], np.add.reduceat(w * h, starts, axis=0), np.add.reduceat(w * ~h, starts, axis=0)
+        s, h = score[lo:lo + step], hit[lo:lo + step]
+        first = np.concatenate([[True], s[1:] != s[:-1]])
+        cell, n = np.cumsum(first) - 1, int(first.sum())
+        sums = summed_weights(seed[lo:lo + step], 2 * cell + ~h, 2 * n, n_boot)
+        yield s[first], sums[0::2], sums[1::2]
 
 
 def _merged(cells):
@@ -56,9 +60,24 @@ def _merged(cells):
         yield held
 
 
-def _range_items(key, table, n_boot: int, threshold: float):
+def _cell_items(key, score, hit, seed, n_boot: int, threshold: float):
+    """Every cell as an item of its own; part 1 is left out, which stands for many cells."""
+    cells = ((s[i], pos[i], neg[i]) for s, pos, neg in _merged(_cells(score, hit, seed, n_boot)) for i in range(len(s)))
+    zero = np.zeros(n_boot)
+    rows = []
+    for i, (at, pos, neg) in enumerate(cells):
+        sums = {"pos": pos.astype(float), "neg": neg.astype(float), "u": zero,
+                "above_pos": pos.astype(float) if at >= threshold else zero, "above_neg": neg.astype(float) if at >= threshold else zero}
+        rows += [{"range": key, "slice": k, "part": i + 1 if i else 0, "score": at, **{c: v[lo:lo + SLICE] for c, v in sums.items()}}
+                 for k, lo in enumerate(range(0, n_boot, SLICE))]
+    return rows
+
+
+def _range_items(key, table, n_boot: int, threshold: float, kept: int = 0):
     score, hit, seed = _ordered(table)
     first, last = score[0], score[-1]
+    if 1 + np.count_nonzero(score[1:] != score[:-1]) <= kept:
+        return _cell_items(key, score, hit, seed, n_boot, threshold)
     sums = {part: {c: np.zeros(n_boot) for c in PARTS} for part in (0, 1, 2)}
     for s, pos, neg in _merged(_cells(score, hit, seed, n_boot)):
         for part, on in ((0, s == first), (2, (s == last) & (last != first)), (1, (s != first) & (s != last))):
@@ -110,7 +129,7 @@ def bootstrap_metrics(df: DataFrame, row_id: str, y: str, score: str, n_boot=200
     ranged = materialize(rows.repartitionByRange(n, F.desc("score"), "seed").withColumn("range", F.spark_partition_id()))
 
     def items_of(key, table):
-        return pa.Table.from_pylist(_range_items(key[0].as_py(), table, n_boot, threshold), schema=_arrow(_ITEMS))
+        return pa.Table.from_pylist(_range_items(key[0].as_py(), table, n_boot, threshold, max(2, KEPT_CELLS // n)), schema=_arrow(_ITEMS))
 
     items = materialize(ranged.groupBy("range").applyInArrow(items_of, _ITEMS))
 
@@ -127,13 +146,15 @@ def bootstrap_metrics(df: DataFrame, row_id: str, y: str, score: str, n_boot=200
 
     def inner_of(key, left, right):
         before = sorted(right.to_pylist(), key=lambda r: r["slice"])
+        if not before:  # all its cells are items
+            return _arrow(_INNER).empty_table()
         tp, fp = (np.concatenate([r[c] for r in before]) for c in ("tp", "fp"))
         score, hit, seed = _ordered(left)
+        inside = (score != score[0]) & (score != score[-1])
         total = np.zeros(n_boot)
-        for s, pos, neg in _merged(_cells(score, hit, seed, n_boot)):
-            on = (s != score[0]) & (s != score[-1])
-            p = pos[on].astype(float)
-            tps, fps = tp + np.cumsum(p, axis=0), fp + np.cumsum(neg[on], axis=0)
+        for s, pos, neg in _merged(_cells(score[inside], hit[inside], seed[inside], n_boot)):
+            p = pos.astype(float)
+            tps, fps = tp + np.cumsum(p, axis=0), fp + np.cumsum(neg, axis=0)
             total += _precision(p, tps, fps).sum(axis=0)
             if len(tps):
                 tp, fp = tps[-1], fps[-1]
@@ -144,7 +165,8 @@ def bootstrap_metrics(df: DataFrame, row_id: str, y: str, score: str, n_boot=200
 
     def metrics_of(key, left, right):
         sequence = _sequence(left)
-        ap = np.sum([r["ap"] for r in right.to_pylist()], axis=0)
+        width = len(left.column("pos")[0].as_py())
+        ap = np.sum([np.zeros(width), *(r["ap"] for r in right.to_pylist())], axis=0)
         tp, fp, u = (np.zeros(len(ap)) for _ in range(3))
         tpa, fpa = np.zeros(len(ap)), np.zeros(len(ap))
         for item in sequence:
@@ -195,12 +217,10 @@ def class_cell_replicates(df: DataFrame, row_id: str, y: str, pred: str, n_boot=
         for batch in batches:
             arrow = arrow or pa.schema([batch.schema.field("actual"), batch.schema.field("predicted"), ("ws", pa.list_(pa.int64()))])
             for part in (batch.slice(lo, step) for lo in range(0, batch.num_rows, step)):
-                w = poisson_weights(part.column("seed").to_numpy(), n_boot)
                 keys = list(zip(part.column("actual").to_pylist(), part.column("predicted").to_pylist()))
                 number: dict = {}
                 place = np.array([number.setdefault(k, len(number)) for k in keys])
-                order = np.argsort(place, kind="stable")
-                totals = np.add.reduceat(w[order].astype(np.int64), np.searchsorted(place[order], np.arange(len(number))), axis=0)
+                totals = summed_weights(part.column("seed").to_numpy(), place, len(number), n_boot)
                 for k, i in number.items():
                     sums[k] = sums[k] + totals[i] if k in sums else totals[i]
                 if len(sums) > room:
