@@ -170,3 +170,11 @@ def test_pieces_beside_base_spans(spark, models):
     got = markov(spark, texts, models)
     assert got == {0: ["markov:22:62"], 1: ["markov:20:60"], 2: ["markov:24:64"],
                    3: ["markov:0:40", "markov:64:104"], 4: [], 5: []}
+
+
+def test_ordinary_identifiers_of_all_documents(spark):
+    """No document is left out of the counts, also beyond the old sample of 3000."""
+    docs = spark.range(3100).selectExpr("id AS doc_id", "'plain identifier' AS text")
+    values = S.samples_of(docs).where(f"model = '{S.ORDINARY}'")
+    assert {r["value"]: r["count"] for r in values.groupBy("value").count().collect()} == {
+        "identifier": 3100, "IDENTIFIER": 3100}

@@ -50,8 +50,6 @@ DRAWN = 400
 SMOOTHING = 0.2
 #: Share of the ordinary samples kept aside that may exceed the margin; the least margin.
 FALSE_SHARE, MARGIN = 0.001, 0.25
-#: Bound of the documents that give the sample of ordinary identifiers.
-SAMPLE = 3000
 
 
 def _text() -> Column:
@@ -174,9 +172,10 @@ def drawn(spark, n: int = DRAWN) -> DataFrame:
     return number.select(F.explode(F.array(F.col("a"), F.upper("b"), F.upper(letters), F.lower(letters), letters, base64)).alias("value"))
 
 
-def samples_of(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def samples_of(docs: DataFrame, sample: int | None = None) -> DataFrame:
     """Labelled samples (model, value). Values of the base spans of all documents and drawn strings
-    are random; long words of at most ``sample`` documents, away from base spans, are ordinary."""
+    are random; long words of all documents (of at most ``sample`` of them, if given), away from base
+    spans, are ordinary."""
     def found(pattern):
         return F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
 
@@ -188,7 +187,7 @@ def samples_of(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     words = let(F.regexp_extract_all(blanked(F.col("text")), F.lit(WORD), F.lit(0)), lambda ws: F.concat(
         ws, F.transform(ws, F.upper),
         F.zip_with(ws, F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit("_"), b))))
-    plain = hash_sample(docs, sample).select(F.explode(words).alias("value")).where(
+    plain = (docs if sample is None else hash_sample(docs, sample)).select(F.explode(words).alias("value")).where(
         # letters and digits mixed are neither kind for certain
         F.col("value").rlike(r"\A([0-9]+|[^0-9]+)\z") & F.lower("value").rlike(r"[aeiou0-9]"))
     return (secret.select(model_of(F.col("value")).alias("model"), "value").where("model IS NOT NULL")
@@ -212,8 +211,8 @@ def score(value: Column, ratios: list[list[float]]) -> Column:
     return best / (F.length(value) - 1)
 
 
-def learned(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[list[float]], float]:
-    """The models, and the margin from ordinary samples kept aside."""
+def learned(docs: DataFrame, sample: int | None = None) -> tuple[list[list[float]], float]:
+    """The models, and the margin from ordinary samples kept aside, of all documents."""
     samples = samples_of(docs, sample)
     aside = F.crc32("value") % 4 == 0
     ratios = log_ratios(samples.where((F.col("model") != ORDINARY) | ~aside))
@@ -246,7 +245,7 @@ def prepared(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select("doc_id", *[c for c in columns if c not in ("doc_id", "text")], _text().alias("text"))
 
 
-def secret_scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def secret_scan(docs: DataFrame, sample: int | None = None) -> DataFrame:
     """doc_id, counts per base kind, base_sha256, spans, n_markov of every document."""
     docs = prepared(docs)
     found = scan(docs, learned(docs, sample))
@@ -274,7 +273,7 @@ def marked(text: Column, found: Column, mark: str) -> Column:
     return let(F.struct(blocks_of(text).alias("blocks"), found.alias("found")), cut)
 
 
-def redacted(docs: DataFrame, columns, mark: str = "<secret>", sample: int = SAMPLE) -> DataFrame:
+def redacted(docs: DataFrame, columns, mark: str = "<secret>", sample: int | None = None) -> DataFrame:
     """The documents with every span replaced by ``mark``; n_chars follows. Overlapping spans are
     replaced as one."""
     ready = prepared(docs, *columns)
