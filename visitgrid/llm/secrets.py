@@ -131,14 +131,80 @@ def pair_counts(samples: DataFrame) -> DataFrame:
             .groupBy("model", "pair").agg(F.count(F.lit(1)).alias("n")))
 
 
-def log_ratios(samples: DataFrame) -> list[list[float]]:
+def words_of(docs: DataFrame) -> DataFrame:
+    """(before, value, after, letters, vowel, digits): every long word away from base spans with the words
+    around it, whether it has no digit, a vowel, and nothing but digits."""
+    def around(ws):
+        others = F.greatest(F.size(ws) - 1, F.lit(0))
+        return F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), F.slice(ws, F.lit(1), others)), ws, F.slice(ws, F.lit(2), others))
+
+    found = let(F.regexp_extract_all(blanked(F.col("text")), F.lit(WORD), F.lit(0)), around)
+    rows = docs.where(F.rlike(F.col("text"), F.lit(WORD))).select(F.inline(found)).toDF("before", "value", "after")
+    return rows.where(F.col("value").isNotNull()).select("*", *[e.alias(n) for n, e in zip(("letters", "vowel", "digits"), _traits("value"))])
+
+
+def _traits(word: str) -> tuple[Column, Column, Column]:
+    return ~F.col(word).rlike("[0-9]"), F.col(word).rlike("[AEIOUaeiou]"), F.col(word).rlike(r"\A[0-9]+\z")
+
+
+def _ordinary() -> Column:
+    """Whether a word of ``words_of``, in capitals or not, is an ordinary identifier: letters and digits
+    mixed are neither kind for certain."""
+    return F.col("digits") | (F.col("letters") & F.col("vowel"))
+
+
+def _with(other: str, joined: Column) -> tuple[Column, Column]:
+    """The word and its neighbour as one identifier, and whether that is an ordinary one."""
+    letters, vowel, _ = _traits(other)
+    return joined, F.coalesce(F.col("letters") & letters & (F.col("vowel") | vowel), F.lit(False))
+
+
+def _before() -> tuple[Column, Column]:
+    return _with("before", F.concat("before", F.lit("_"), "value"))
+
+
+def _after() -> tuple[Column, Column]:
+    return _with("after", F.concat("value", F.lit("_"), "after"))
+
+
+def _aside(value: Column) -> Column:
+    """The ordinary samples that the models do not learn from."""
+    return F.crc32(value) % 4 == 0
+
+
+def ordinary_pairs(docs: DataFrame, sample: int | None = None) -> DataFrame:
+    """``pair_counts`` of the ordinary samples that are not kept aside. A word's own pairs are counted once
+    for all identifiers that it is in: the words are counted, and the pairs of distinct words are taken."""
+    def kept(value, ordinary):
+        return (ordinary & ~_aside(value)).cast("long")
+
+    words = words_of(docs if sample is None else hash_sample(docs, sample))
+    counted = words.select("value", kept(F.col("value"), _ordinary()).alias("own"), kept(F.upper("value"), _ordinary()).alias("upper"),
+                           kept(*_before()).alias("second"), kept(*_after()).alias("first"))
+    counted = counted.where("own + upper + second + first > 0").groupBy("value").agg(
+        *[F.sum(c).alias(c) for c in ("own", "upper", "second", "first")])
+
+    def pairs(value, n):
+        return let(F.split(value, ""), lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.struct(
+            F.concat(F.get(c, i - 1), F.get(c, i)).alias("pair"), n.alias("n"))))
+
+    plain = F.col("own") + F.col("second") + F.col("first")
+    ends = F.array(F.struct(F.concat(F.lit("_"), F.left("value", F.lit(1))).alias("pair"), F.col("second").alias("n")),
+                   F.struct(F.concat(F.right("value", F.lit(1)), F.lit("_")).alias("pair"), F.col("first").alias("n")))
+    rows = counted.select(F.inline(F.concat(pairs(F.col("value"), plain), pairs(F.upper("value"), F.col("upper")), ends)))
+    return rows.where("n > 0").groupBy("pair").agg(F.sum("n").alias("n")).select(F.lit(ORDINARY).alias("model"), "pair", "n")
+
+
+def log_ratios(samples: DataFrame, counted: DataFrame | None = None) -> list[list[float]]:
     """Per random model, the log-likelihood ratio of every pair of alphabet characters, row by row:
-    random over ordinary. A model without samples is left out, and all without ordinary ones."""
+    random over ordinary. A model without samples is left out, and all without ordinary ones.
+    ``counted``: pairs of other samples, as of ``pair_counts``."""
     size = len(ALPHABET)
     place = {c: i for i, c in enumerate(ALPHABET)}
     counts: dict[str, list] = {}
     inside = F.col("pair").rlike(r"\A[A-Za-z0-9+/_=-]{2}\z")
-    for r in pair_counts(samples).where(inside).collect():  # at most size ** 2 rows per model
+    found = pair_counts(samples) if counted is None else pair_counts(samples).unionByName(counted)
+    for r in found.where(inside).collect():  # at most size ** 2 rows per model
         rows = counts.setdefault(r["model"], [[0] * size for _ in place])
         rows[place[r["pair"][0]]][place[r["pair"][1]]] += r["n"]
     plain = counts.pop(ORDINARY, None)
@@ -184,12 +250,9 @@ def samples_of(docs: DataFrame, sample: int | None = None) -> DataFrame:
     values = (docs.where(F.rlike(F.col("text"), F.lit(f"{ASSIGN}|(?-i:{ACCESS})|(?-i:{HEX})")))
               .select(F.explode(F.concat(found(ASSIGN), found(ACCESS), found(HEX))).alias("v")).select(tail.alias("value")))
     secret = values.where(F.length("value") >= MIN_ASSIGN).union(drawn(docs.sparkSession))
-    words = let(F.regexp_extract_all(blanked(F.col("text")), F.lit(WORD), F.lit(0)), lambda ws: F.concat(
-        ws, F.transform(ws, F.upper),
-        F.zip_with(ws, F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit("_"), b))))
-    plain = (docs if sample is None else hash_sample(docs, sample)).select(F.explode(words).alias("value")).where(
-        # letters and digits mixed are neither kind for certain
-        F.col("value").rlike(r"\A([0-9]+|[^0-9]+)\z") & F.lower("value").rlike(r"[aeiou0-9]"))
+    each = [(F.col("value"), _ordinary()), (F.upper("value"), _ordinary()), _after()]
+    plain = words_of(docs if sample is None else hash_sample(docs, sample)).select(F.explode(F.array(
+        *[F.when(ordinary, value) for value, ordinary in each])).alias("value")).where(F.col("value").isNotNull())
     return (secret.select(model_of(F.col("value")).alias("model"), "value").where("model IS NOT NULL")
             .union(plain.select(F.lit(ORDINARY).alias("model"), "value")))
 
@@ -214,11 +277,10 @@ def score(value: Column, ratios: list[list[float]]) -> Column:
 def learned(docs: DataFrame, sample: int | None = None) -> tuple[list[list[float]], float]:
     """The models, and the margin from ordinary samples kept aside, of all documents."""
     samples = samples_of(docs, sample)
-    aside = F.crc32("value") % 4 == 0
-    ratios = log_ratios(samples.where((F.col("model") != ORDINARY) | ~aside))
+    ratios = log_ratios(samples.where(F.col("model") != ORDINARY), ordinary_pairs(docs, sample))
     if not ratios:
         return [], MARGIN
-    kept = samples.where((F.col("model") == ORDINARY) & aside & (F.length("value") >= MIN_RUN)).select("value").distinct()
+    kept = samples.where((F.col("model") == ORDINARY) & _aside(F.col("value")) & (F.length("value") >= MIN_RUN)).select("value").distinct()
     (limit,) = kept.agg(F.percentile_approx(score(F.col("value"), ratios), F.lit(1 - FALSE_SHARE), F.lit(10000))).first()
     return ratios, max(limit or MARGIN, MARGIN)
 
