@@ -357,3 +357,20 @@ def test_summed_weights():
     w = S.poisson_weights(seeds, 11)
     assert (S.summed_weights(seeds, groups, 4, 11) == [w[groups == g].sum(axis=0) for g in range(4)]).all()
     assert (S.summed_weights(seeds[:0], groups[:0], 2, 11) == np.zeros((2, 11))).all()
+
+
+def test_nearest_scores_large_tiles_in_parts(spark, monkeypatch):
+    """Tiles of the exact search are large; their queries are scored a few at a time, with the same result."""
+    from visitgrid.plans import neighbors as N
+    rows = spark.range(700).select(F.col("id").alias("i"), (F.col("id") % 3).alias("g"), F.array(
+        *[(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(100)) / 100) for k in range(4)]).alias("v"))
+    q, b = rows.select(F.col("i").alias("q_id"), F.col("v").alias("q_vec")), rows.select(F.col("i").alias("b_id"), F.col("v").alias("b_vec"), "g")
+
+    def found(**kw):
+        return sorted(map(tuple, N.nearest(q, b, 2, group="g", **kw).select("q_id", "g", "b_id", "rn").collect()))
+
+    tiled = found(tile_rows=64)
+    monkeypatch.setattr(N, "SCORED_ROWS", 10_000)
+    assert found() == tiled and len(tiled) == 700 * 3 * 2
+    monkeypatch.setattr(N, "SCORED_ROWS", 50)
+    assert found() == tiled
