@@ -59,3 +59,30 @@ def test_parts_average_like_one_forest(table, monkeypatch):
             sums[r["id"]] = sums.get(r["id"], 0) + n * r["prediction"]
     for r in M.predicted(model, table).collect():
         assert r["prediction"] == pytest.approx(sums[r["id"]] / M.TREES) and abs(r["prediction"] - r["v"]) < 0.2
+
+
+def test_stack_of_a_forest_in_parts(spark, table, monkeypatch):
+    """The vectors of a forest in parts go through an assembler, and one part is scored at a time."""
+    monkeypatch.setattr(FO, "PART_NODES", 400)
+    active, most, whole = [], [], FO.materialize
+
+    def watched(df):
+        if "__sum" not in df.columns:
+            return whole(df)
+        active.append(1)
+        most.append(len(active))
+        try:
+            return whole(df)
+        finally:
+            active.pop()
+
+    monkeypatch.setattr(FO, "materialize", watched)
+    bases, meta = M.stack_classes(table, "id", ["a", "b"], "y", ["logreg", "rf"])
+    assert isinstance(bases["rf"], FO.Forest) and max(most) == 1
+    rows = M.stack_class_predict(bases, meta, table).select("y", "prediction").collect()
+    assert len(rows) == 1500 and sum(r["y"] == r["prediction"] for r in rows) > 1400
+
+
+def test_parts_of_large_forests_are_small():
+    sizes = FO.part_trees(300, 20_000, 20, 2)
+    assert sum(sizes) == 300 and max(sizes) * 12_600 <= 130_000
