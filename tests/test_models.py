@@ -73,3 +73,18 @@ def test_permutation_importance(table):
     got = {r["feature"]: r["importance"] for r in M.permutation_importance(m, table, "id", FEATURES, "y").collect()}
     assert got["a"] > got["b"] > 0
     assert E.roc_auc(M.positive_score(m, table, "p"), "y", "p").first()["roc_auc"] > 0.9
+
+
+def test_learning_curve_deals_its_folds_once(spark, monkeypatch):
+    """Fits and scores read written folds: their plans deal none anew."""
+    df = spark.range(300).select("id", (F.pmod(F.xxhash64("id"), F.lit(100)) / 100).alias("a")).withColumn("y", (F.col("a") > 0.5).cast("int"))
+    plans, fit = [], M.fit_classifier
+
+    def watched(train, *args, **kw):
+        plans.append(train._jdf.queryExecution().optimizedPlan().toString())
+        return fit(train, *args, **kw)
+
+    monkeypatch.setattr(M, "fit_classifier", watched)
+    out = M.learning_curve(df, "id", ["a"], "y", k=2, shares=(0.5, 1.0)).collect()
+    assert len(out) == 4 and len(plans) == 4
+    assert not any("Window" in p or "Join" in p for p in plans)
