@@ -119,6 +119,24 @@ def test_keep_one(spark):
     assert J.keep_one(docs(spark, twice)).count() == 1
 
 
+def test_texts_are_shuffled_compressed(spark, monkeypatch):
+    """The texts of ``keep_one`` and of the copies' table are binary where they are shuffled, and come back
+    as they were: null, empty, and texts that swell far beyond a part."""
+    monkeypatch.setattr(J, "PART_BYTES", 1000)
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate([None, "", "\u00e4 \U0001f600", "x " * 5000, *[f"w{k} " * 300 for k in range(40)], None])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+    small = J.zipped(df)
+    assert dict(small.dtypes)["text"] == "binary"
+    assert sum(len(r["text"] or b"") for r in small.collect()) < 0.1 * sum(len(r[1] or "") for r in rows)
+    back = J.unzipped(small)
+    assert back.schema.simpleString() == df.schema.simpleString() and sorted(map(tuple, back.collect())) == rows
+    seen = []
+    real = J.links
+    monkeypatch.setattr(J, "links", lambda reps, *a: seen.append(dict(reps.dtypes)["text"]) or real(reps, *a))
+    assert sorted(map(tuple, J.keep_one(df).collect())) == rows
+    assert seen == ["binary"]
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)]

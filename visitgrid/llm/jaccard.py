@@ -3,7 +3,8 @@
 Two documents link when the Jaccard similarity of their sets of ``size``-word shingles is at least
 ``percent`` / 100.
 
-1. Exact copies collapse to one representative before anything is shingled.
+1. Exact copies collapse to one representative before anything is shingled. Texts that are shuffled
+   whole are compressed first.
 2. Inverted lists: every block of documents sends its shingles, sorted and packed, to the bucket
    of their hash range. A bucket knows the length of every list and drops lists of one document,
    which are most. Shingles that are frequent inside a block ("long" ones) send no postings to
@@ -57,6 +58,8 @@ LONG = 32
 LONG_LENGTH = 2 ** 31 - 1
 #: A tile's blocks close at about so many shingles or documents.
 TILE_SHINGLES, TILE_DOCS = 16_000, 96
+#: Texts go on from Python in parts of about so many bytes.
+PART_BYTES = 16_000_000
 #: Rows without an id rank behind all others.
 NO_ID = 2 ** 62
 
@@ -112,6 +115,41 @@ def unpack(data: bytes, kind, rising: bool = False) -> np.ndarray:
     return np.cumsum(values, dtype=kind) if rising else values
 
 
+def _swapped(df: DataFrame, kind: str, change) -> DataFrame:
+    """``df`` with its column text through ``change`` (bytes to bytes; null stays) as type ``kind``. A
+    batch goes on in parts, so that no part grows far beyond ``PART_BYTES``."""
+    names = df.columns
+    schema = ", ".join(f"`{f.name}` {kind if f.name == 'text' else f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def run(batches):
+        once = change()
+        for b in batches:
+            at, done, volume = 0, [], 0
+            texts = b.column("text").cast(pa.binary())
+            for k, text in enumerate(texts):
+                done.append(None if text.as_py() is None else once(text.as_py()))
+                volume += len(done[-1] or b"")
+                if volume > PART_BYTES or k + 1 == len(texts):
+                    new = pa.array(done, pa.binary())
+                    new = new.cast(pa.string()) if kind == "string" else new
+                    yield pa.RecordBatch.from_arrays([new if c == "text" else b.column(c).slice(at, k + 1 - at) for c in names], names=names)
+                    at, done, volume = k + 1, [], 0
+
+    return df.mapInArrow(run, schema)
+
+
+def zipped(df: DataFrame) -> DataFrame:
+    """``df`` with its texts as zstd bytes: what a shuffle of whole texts writes is less than half of it."""
+    import zstandard
+    return _swapped(df, "binary", lambda: zstandard.ZstdCompressor(level=1).compress)
+
+
+def unzipped(df: DataFrame) -> DataFrame:
+    """The inverse of ``zipped``."""
+    import zstandard
+    return _swapped(df, "string", lambda: zstandard.ZstdDecompressor().decompress)
+
+
 POSTED = "bucket int, block long, passed boolean, toks binary, runs binary, refs binary, reps binary, sizes binary"
 
 
@@ -145,13 +183,17 @@ def _post(docs: list, block: int, bits: int) -> pa.RecordBatch:
 
 
 def posted(reps: DataFrame, bits: int, size: int = SIZE) -> DataFrame:
-    """Packed shingles of every block of representatives (rep, text), by bucket."""
+    """Packed shingles of every block of representatives (rep, text, plain or zipped), by bucket."""
 
     def run(batches):
+        import zstandard
+        unzip = zstandard.ZstdDecompressor().decompress
         known, docs, volume = WordHashes(), [], 0
         block = TaskContext.get().partitionId() << 20
         for b in batches:
             for rep, text in zip(b.column("rep").to_pylist(), b.column("text").to_pylist()):
+                if isinstance(text, bytes):
+                    text = unzip(text).decode("utf-8", "surrogatepass")
                 toks = shingles(text, size, known)
                 if not len(toks):
                     continue
@@ -368,8 +410,9 @@ def near_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Da
     """doc_id, digest, n_shingles, component_id of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    held = zipped(rows.where(F.col("text").isNotNull()))
     own = F.coalesce(F.min("doc_id"), F.lit(NO_ID) + F.expr("abs(xxhash64(digest) div 4)")).alias("rep")
-    texts = (rows.where(F.col("text").isNotNull()).groupBy("digest").agg(own, F.first("text").alias("text"))
+    texts = (held.groupBy("digest").agg(own, F.first("text").alias("text"))
              .select("rep", "text").sortWithinPartitions("rep"))  # blocks come out alike in every attempt
     sizes, linked = links(texts, size, percent)
     groups = components(linked)
@@ -395,11 +438,11 @@ def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataF
     stay = materialize(near_groups(docs, size, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
                        .groupBy(F.col("doc_id").alias("id"), F.col("digest").alias("same"))
                        .agg((F.count(F.lit(1)) * F.sign(F.max("n_shingles"))).alias("rows")))
-    marked = docs.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    marked = zipped(docs.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256)))
 
     def those(part):
         return marked.join(part, marked["doc_id"].eqNullSafe(part["id"]) & (marked["digest"] == part["same"]))
 
     # only rows that repeat an id and its text are compared with each other
     repeated = those(stay.where("rows > 1")).dropDuplicates(["id", "digest"])
-    return those(stay.where("rows <= 1")).select(*DOCUMENT_COLUMNS).union(repeated.select(*DOCUMENT_COLUMNS))
+    return unzipped(those(stay.where("rows <= 1")).select(*DOCUMENT_COLUMNS).union(repeated.select(*DOCUMENT_COLUMNS)))
