@@ -139,7 +139,7 @@ def _swapped(df: DataFrame, kind: str, change) -> DataFrame:
 
 
 def zipped(df: DataFrame) -> DataFrame:
-    """``df`` with its texts as zstd bytes: what a shuffle of whole texts writes is less than half of it."""
+    """``df`` with its texts as zstd bytes: a shuffle of whole texts writes less of them than of plain ones."""
     import zstandard
     return _swapped(df, "binary", lambda: zstandard.ZstdCompressor(level=1).compress)
 
