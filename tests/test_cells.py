@@ -53,13 +53,19 @@ def test_cuts(spark, table):
     share = np.diff(np.searchsorted(a, [-1, *many, 2])) / N * CL.BINS
     assert share.min() > 0.85 and share.max() < 1.15 and set(many) <= set(a)
     odd = spark.createDataFrame([(float("nan"), None, 0.0), (1.0, None, -0.0), (float("inf"), None, 2.0), (None, None, 2.0)], "x double, none double, z double")
-    assert CL.cuts_of(odd, ["x", "none", "z"]) == [[], [], [2.0]]
-    assert CL.binned(odd, ["x", "none", "z"], [[0.5], [], [2.0]]).count() == 4
+    assert CL.cuts_of(odd, ["z"]) == [[2.0]]
+    # fits ask for finite numbers, as Spark ML's do; scoring takes every row
+    for f in ("x", "none"):
+        with pytest.raises(ValueError, match=f):
+            CL.cuts_of(odd, ["z", f])
+    cells = CL.binned(odd, ["x", "none", "z"], [[0.5], [], [2.0]]).toPandas()["__cell_0"].to_numpy()
+    assert sorted(map(tuple, CL.unpacked([cells], 3).tolist())) == [(1, 0, 0), (1, 0, 0), (1, 0, 1), (1, 0, 1)]
 
 
 def test_forest_on_cells(spark, table, tmp_path):
     x = ["a", "b", "c"]
-    model = M.fit_classifier(table, x, "y", "rf")
+    whole, table = table.fillna(0.0, ["b"]), table.withColumn("b", F.coalesce("b", F.lit(float("nan"))))
+    model = M.fit_classifier(whole, x, "y", "rf")
     assert isinstance(model, CL.CellForest) and model.trees.count() == M.TREES
     rows = model.transform(table).select("id", "y", "probability", "prediction").orderBy("id").collect()
     assert len(rows) == N and sum(r["y"] == r["prediction"] for r in rows) > 0.93 * N
@@ -74,12 +80,12 @@ def test_forest_on_cells(spark, table, tmp_path):
     imp = model.stages[-1].featureImportances
     assert sum(imp) == pytest.approx(1) and imp[0] > imp[1] > 0
     # balanced weights: n / (classes * rows of the class)
-    assert model.weights == pytest.approx([r["weight"] for r in M.class_weights(table, "y").orderBy("y").collect()])
+    assert model.weights == pytest.approx([r["weight"] for r in M.class_weights(whole, "y").orderBy("y").collect()])
     store = ResultStore(spark, str(tmp_path), table)
     store.model("m", lambda: model)
     again = store.model("m", lambda: pytest.fail("fitted twice"))
     assert [r["probability"] for r in again.transform(table).orderBy("id").collect()] == [r["probability"] for r in rows]
-    twice = M.fit_classifier(table.repartition(5), x, "y", "rf")
+    twice = M.fit_classifier(whole.repartition(5), x, "y", "rf")
     assert sorted(bytes(t["data"]) for t in twice.trees.collect()) == sorted(bytes(t["data"]) for t in model.trees.collect())
 
 
